@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 METRICS = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
 #: A rate is an outlier above q75 + FENCE * max(q75 - q25, least spread of the metric).
 FENCE = 3
-SPREADS = {"symbol_rate": 100, "dup_line_rate": 100, "repeat_rate": 50, "word_length": 1500}
+SPREADS = {"symbol_rate": 100, "dup_line_rate": 200, "repeat_rate": 100, "word_length": 1500}
 #: Groups of fewer documents are judged by their language's merged sketch, smaller languages by that of all.
 LEAST_GROUP = 100
 
@@ -214,8 +214,8 @@ m as (
 s as (
   select lang, source, metric, b, spread, count(*) as n from (
     select lang, source, 'symbol_rate' as metric, 100 as spread, {_BIN.format("symbol_rate")} as b from m where not base_failed
-    union all select lang, source, 'dup_line_rate', 100, {_BIN.format("dup_line_rate")} from m where not base_failed
-    union all select lang, source, 'repeat_rate', 50, {_BIN.format("repeat_rate")} from m where not base_failed
+    union all select lang, source, 'dup_line_rate', 200, {_BIN.format("dup_line_rate")} from m where not base_failed
+    union all select lang, source, 'repeat_rate', 100, {_BIN.format("repeat_rate")} from m where not base_failed
     union all select lang, source, 'word_length', 1500, {_BIN.format("word_length")} from m where not base_failed) group by all),
 own as ({_limits("lang source")}), la as ({_limits("lang")}), al as ({_limits("")}),
 t as (
