@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, mixing, nn_descent, packing, quality, simhash, substring, toxicity, url_filter
+from . import html_extract, mixing, nn_descent, packing, quality, simhash, substring, tool_calls, toxicity, url_filter
 from .common import read
 
 
@@ -19,6 +19,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.linked(read(spark, sf_dir, "conversations"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(read(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_tool_call_linking": tool_calls.ORACLE_SQL,
         "op4_quality_rules": quality.ORACLE_SQL,
         "op7_url_filters": url_filter.ORACLE_SQL,
         "op9_mixing_sources": mixing.ORACLE_SQL,
