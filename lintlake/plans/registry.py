@@ -24,3 +24,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from lintlake.plans import rule_queries  # noqa: F401
