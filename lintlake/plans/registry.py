@@ -28,4 +28,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from lintlake.plans import fleet_queries, rule_queries  # noqa: F401
+    from lintlake.plans import fleet_queries, rewrite_queries, rule_queries, stream_queries  # noqa: F401

@@ -132,6 +132,9 @@ SNIPPETS: tuple[tuple[str, str], ...] = (
     ("t", "<a href=\"/w\" />"),
     ("y", "  transition: all 0.2s;"),
     ("y", "  transition: opacity 0.2s;"),
+    ("t", "<button on:click>forward</button>"),
+    ("t", "<a on:click|once on:focus>both</a>"),
+    ("s", "  $: { total = count; }"),
 )
 
 
