@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.text import java
+from lintlake.sources.shared import written
 
 IMPORT = r"""import\s+(?:type\s+)?\{([^}]+)\}\s+from\s+['"](\.[^'"]*)['"]"""
 EXPORT = r"export\s+(?:async\s+)?(const|let|var|function|class|type|interface)\s+(\w+)"
@@ -59,18 +57,6 @@ def unused_files(files: DataFrame, edges: DataFrame) -> DataFrame:
     return files.select("project", "path").join(used, ["project", "path"], "left_anti")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Written to the folder that spark.checkpoint.dir names (a new local one where it is unset) and read again."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("lintlake.scratch.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("lintlake.scratch.dir", root)
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unreachable_files(files: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Files that no chain of imports reaches from ``entries`` (project, path).
 
@@ -78,11 +64,11 @@ def unreachable_files(files: DataFrame, edges: DataFrame, entries: DataFrame) ->
     written out, so lineage stays short and cycles end.
     """
     hops = edges.select("project", F.col("from_path").alias("path"), "to_path").distinct()
-    hops = _written(hops)
-    seen = frontier = _written(entries.select("project", "path").distinct())
+    hops = written(hops)
+    seen = frontier = written(entries.select("project", "path").distinct())
     while not frontier.isEmpty():
         ahead = frontier.join(hops, ["project", "path"]).select("project", F.col("to_path").alias("path")).distinct()
-        frontier = _written(ahead.join(seen, ["project", "path"], "left_anti"))
+        frontier = written(ahead.join(seen, ["project", "path"], "left_anti"))
         seen = seen.unionByName(frontier)
     return files.select("project", "path").join(seen, ["project", "path"], "left_anti")
 

@@ -26,9 +26,10 @@ def _state(marker: Column, window) -> Column:
 
 
 def with_regions(lines: DataFrame) -> DataFrame:
-    """Adds in_script, in_instance, in_style (0/1), style_marker, is_comment, and the lines around each line.
+    """Adds in_script, in_instance, in_style (0/1), style_marker, is_comment, element, import_up, import_text.
 
-    One shuffle and one sort on (project, path) serve all windows. A region's marker lines are outside.
+    element: the tag that starts on a line with a ``<``, put together; import_up, import_text: how far
+    above the import starts that ends on a line with an environment module, and its text. One shuffle and one sort on (project, path) serve all windows. A region's marker lines are outside.
     An opening line that names a module leaves the state of in_instance as it is.
     """
     t = trim(F.col("text"))
@@ -44,10 +45,18 @@ def with_regions(lines: DataFrame) -> DataFrame:
     ahead = [F.lead("text", k).over(order) for k in range(1, ELEMENT)]
     behind = [F.lag("text", k).over(order) for k in range(1, IMPORT + 1)]
     inside = lambda m: F.when(F.col(m).isNotNull(), 0).otherwise(_state(F.col(m), upto))
-    return d.select(
+    d = d.select(
         "*", inside("__s").alias("in_script"), inside("__i").alias("in_instance"), inside("__y").alias("in_style"), F.col("__y").isNotNull().alias("style_marker"),
-        F.array(*ahead).alias("ahead"), F.array(*behind).alias("behind"),
-    ).drop("__s", "__i", "__y")
+        F.array(*ahead).alias("__ahead"), F.array(*behind).alias("__behind"),
+    )
+    text = F.col("text")
+    up, block = import_block(text, F.col("__behind"))
+    ends = F.contains(text, F.lit("from")) & F.contains(text, F.lit("$env"))
+    d = d.withColumns({
+        "element": F.when(F.contains(text, F.lit("<")), element_text(text, F.col("__ahead"))),
+        "import_up": F.when(ends, up), "import_text": F.when(ends, block),
+    })
+    return d.drop("__s", "__i", "__y", "__ahead", "__behind")
 
 
 def element_text(text: Column, ahead: Column) -> Column:

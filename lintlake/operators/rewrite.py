@@ -34,9 +34,18 @@ CHANGES = (
     ("b5", "on:event → onevent"), ("b6", "on:event → onevent"), ("b7", "slot → @render"), ("b8", "let: → snippet"),
 )
 
-_ORDER = Window.partitionBy("project", "path").orderBy("line", "sub")
-_UPTO = _ORDER.rowsBetween(Window.unboundedPreceding, 0)
-_ALL = _ORDER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def _order():
+    return Window.partitionBy("project", "path").orderBy("line", "sub")
+
+
+def _upto():
+    return _order().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _all():
+    return _order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
 
 
 def lines_of(files: DataFrame) -> DataFrame:
@@ -46,7 +55,7 @@ def lines_of(files: DataFrame) -> DataFrame:
 def _region(name: str) -> Column:
     t = trim(F.col("text"))
     marker = F.when(matches(t, rf"^<{name}[\s>]"), 1).when(t == f"</{name}>", 0)
-    return F.when(marker.isNotNull(), 0).otherwise(F.coalesce(F.last(marker, ignorenulls=True).over(_UPTO), F.lit(0)))
+    return F.when(marker.isNotNull(), 0).otherwise(F.coalesce(F.last(marker, ignorenulls=True).over(_upto()), F.lit(0)))
 
 
 def _replace(text: Column, pattern: str, by: str) -> Column:
@@ -68,7 +77,7 @@ def b1_props(lines: DataFrame) -> DataFrame:
     part = F.when(prop, F.when(default != "", F.concat(group(F.col("text"), PROP, 1), F.lit(" = "), default)).otherwise(group(F.col("text"), PROP, 1)))
     d = d.withColumn("part", part)
     place = F.struct("line", "sub")
-    d = d.withColumn("parts", F.collect_list("part").over(_ALL)).withColumn("first", F.min(F.when(F.col("part").isNotNull(), place)).over(_ALL))
+    d = d.withColumn("parts", F.collect_list("part").over(_all())).withColumn("first", F.min(F.when(F.col("part").isNotNull(), place)).over(_all()))
     first = F.col("part").isNotNull() & (place == F.col("first"))
     d = d.where(F.col("part").isNull() | first)
     return _done(d, F.concat(F.lit("  let { "), F.array_join("parts", ", "), F.lit(" } = $props();")), first)
@@ -83,8 +92,8 @@ def b2_reactive(lines: DataFrame) -> DataFrame:
     text = F.col("text")
     net = (F.length(F.translate(text, "}", "")) - F.length(F.translate(text, "{", ""))).cast("int")
     d = lines.withColumn("in_script", _region("script")).withColumn("net", net)
-    d = d.withColumn("at", F.row_number().over(_ORDER)).withColumn("sum", F.sum("net").over(_UPTO))
-    d = d.withColumn("declared", F.collect_set(F.when(matches(text, DECLARED), group(text, DECLARED))).over(_ALL))
+    d = d.withColumn("at", F.row_number().over(_order())).withColumn("sum", F.sum("net").over(_upto()))
+    d = d.withColumn("declared", F.collect_set(F.when(matches(text, DECLARED), group(text, DECLARED))).over(_all()))
     d = d.withColumn("statement", F.when((F.col("in_script") == 1) & matches(text, REACTIVE), group(text, REACTIVE, 2)))
     block = trim(F.col("statement")).startswith("{")
     opens = d.where(block & (F.col("net") != 0)).select(F.col("project").alias("p"), F.col("path").alias("f"), F.col("at").alias("from"), (F.col("sum") - F.col("net")).alias("level"))

@@ -12,7 +12,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from lintlake.functions.text import group, java, matches, position, trim
 from lintlake.operators.catalog import BY_NAME, RULES, Rule, catalog
-from lintlake.operators.lines import element_text, explode_lines, import_block, inside_string, is_comment, with_regions
+from lintlake.operators.lines import explode_lines, inside_string, is_comment, with_regions
+from lintlake.sources.shared import written
 
 #: Patterns of the rules that need more than the catalog's fields.
 SECRETS = (
@@ -44,6 +45,8 @@ SIDE_EFFECTS = (r"console\.\w+\s*\(", r"\bfetch\s*\(", r"\blocalStorage\.\w+", r
 EFFECT, DERIVED = r"\$effect\s*\(", r"\$derived(?:\.by)?\s*\("
 LONG, DEEP = 300, 3
 
+#: Rules beside the array of line rules that read the lines.
+LINE_READERS = ("no-public-env-secrets", "no-giant-component", "no-deep-nesting", "no-multi-script", "no-client-fetch", "form-action-no-validation", "no-unnecessary-state")
 FOUND = ("project", "path", "rule", "line", "col", "message")
 _HIT = "array<struct<rule:string,col:int,message:string>>"
 
@@ -111,7 +114,7 @@ def secret_position(text: Column) -> Column:
 def _special_line_hits() -> dict[str, Column]:
     text, sv = F.col("text"), F.col("path").endswith(".svelte")
     template = sv & (F.col("in_script") == 0)
-    element = element_text(text, F.col("ahead"))
+    element = F.col("element")
     any_of = lambda t, ps: _any(matches(t, p) for p in ps)
     labelled = text.contains("aria-label") | text.contains("aria-describedby")
     out = {}
@@ -138,9 +141,8 @@ def _any(tests: Iterable[Column]) -> Column:
 
 def _public_env(lines: DataFrame) -> DataFrame:
     """Rows at the line where the import starts, not where it names its module."""
-    up, block = import_block(F.col("text"), F.col("behind"))
     ok = (F.col("framework") == "sveltekit") & matches(F.col("text"), PUBLIC_ENV)
-    hits = lines.where(ok).select("project", "path", (F.col("line") - up).cast("int").alias("line"), block.alias("block"))
+    hits = lines.where(ok).select("project", "path", (F.col("line") - F.col("import_up")).cast("int").alias("line"), F.col("import_text").alias("block"))
     return _rows(hits.where(matches(F.col("block"), SENSITIVE)), "no-public-env-secrets", F.col("line"), F.lit(1))
 
 
@@ -297,13 +299,16 @@ def evaluate(files: DataFrame, profiles: DataFrame, names: Iterable[str] | None
     """Findings (project, path, rule, line, col, message) of the named rules, or of all.
 
     Lines are exploded and windowed once for all rules. Rules on single lines are one array
-    expression, exploded; rules on whole files or projects are joins and aggregates beside it.
+    expression, exploded; rules on whole files or projects are joins and aggregates beside it. If
+    several parts need the lines, they are written once to the shared folder and read column by column.
     ``profiles``: project, framework, has_typescript, uses_runes; projects without one are not looked at.
     """
     chosen = [r for r in RULES if names is None or r.name in set(names)]
     want = {r.name for r in chosen}
     gates = profiles.select("project", "framework", "has_typescript", "uses_runes")  # Spark broadcasts it if it turns out small
     lines = with_regions(explode_lines(files)).join(gates, "project")
+    if sum(n in want for n in LINE_READERS) + any(r.line for r in chosen) > 1:
+        lines = written(lines)
     hits = [line_hit(r) for r in chosen if r.line] + [c for n, c in _special_line_hits().items() if n.split("/")[0] in want]
     parts: list[DataFrame] = []
     if hits:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lintlake.sources.corpus import IGNORED
+from lintlake.sources.shared import shared_dir
 
 #: Endings that are watched, and how long a file must be quiet.
 WATCHED, QUIET = r"\.(svelte|ts|js|json)$", "150 milliseconds"
@@ -110,13 +111,7 @@ def rescan(batch: DataFrame, stored: DataFrame) -> DataFrame:
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and gives its result as a table in the shared folder."""
     spark: SparkSession = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lintlake.scratch.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("lintlake.scratch.dir", root)
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, turn: int) -> None:
         batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{at}/out")
