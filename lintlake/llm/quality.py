@@ -142,17 +142,17 @@ def thresholds(sketch: DataFrame, fence: int = FENCE, least_group: int = LEAST_G
     t = own.join(lang, F.col("__own_lang").eqNullSafe(F.col("__lang_lang")) & (F.col("__own_m") == F.col("__lang_m")))
     t = t.join(every, F.col("__own_m") == F.col("__all_m"))
     up = F.when(F.col("own_docs") >= least_group, F.col("own_up")).when(F.col("lang_docs") >= least_group, F.col("lang_up")).otherwise(F.col("all_up"))
-    t = t.select(F.col("__own_lang").alias("t_lang"), F.col("__own_source").alias("t_source"), F.col("__own_m").alias("m"), up.alias("up"))
-    return t.groupBy("t_lang", "t_source").agg(*[F.max(F.when(F.col("m") == m, F.col("up"))).alias(f"t_{m}") for m in METRICS])
+    t = t.select(F.col("__own_lang").alias("__t_lang"), F.col("__own_source").alias("__t_source"), F.col("__own_m").alias("m"), up.alias("up"))
+    return t.groupBy("__t_lang", "__t_source").agg(*[F.max(F.when(F.col("m") == m, F.col("up"))).alias(f"__t_{m}") for m in METRICS])
 
 
 def judged(d: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds __kept: passes the base rule and no rate is above its group's threshold."""
-    on = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
+    on = F.col("lang").eqNullSafe(F.col("__t_lang")) & F.col("source").eqNullSafe(F.col("__t_source"))
     fits = F.lit(True)
     for m in METRICS:
-        fits = fits & (F.col(f"__r.{m}") <= F.coalesce(F.col(f"t_{m}"), F.lit(1 << 60)))
-    return d.join(limits, on, "left").withColumn("__kept", ~F.col("__failed") & fits).drop("t_lang", "t_source", *[f"t_{m}" for m in METRICS])
+        fits = fits & (F.col(f"__r.{m}") <= F.coalesce(F.col(f"__t_{m}"), F.lit(1 << 60)))
+    return d.join(limits, on, "left").withColumn("__kept", ~F.col("__failed") & fits).drop("__t_lang", "__t_source", *[f"__t_{m}" for m in METRICS])
 
 
 def keep(docs: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFra
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """Non-first repeated spans of ``docs`` (doc_id, text): __id, __h (the text's hash), cover (list of lo, hi).
+    """Non-first repeated spans of ``docs`` (doc_id, text): __id, __h (the text's hash), __cover (list of lo, hi).
 
     The first of equal spans is that of the smallest (doc_id, text hash, sentence); a null doc_id comes
     last. Keys are counted first, aggregated map-side, 8 bytes each; only spans whose key repeats are
@@ -102,7 +102,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     at = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("h").alias("h"), F.col("lo").alias("lo"))
     first = may.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last").select("hash", "first")
     later = may.join(first, "hash").where(at != F.col("first")).groupBy("doc_id", "h")
-    return later.agg(F.collect_set(F.struct("lo", "hi")).alias("cover")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "cover")
+    return later.agg(F.collect_set(F.struct("lo", "hi")).alias("cover")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("cover").alias("__cover"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     cover = repeated(docs)
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
-    d = docs.join(cover, on, "left").withColumn("__w", without("text", "cover"))
+    d = docs.join(cover, on, "left").withColumn("__w", without("text", "__cover"))
     text = F.col("__w.text")
     out = [text.alias(c) if c == "text" else F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias(c) if c == "n_chars" else d[c] for c in docs.columns]
     return d.select(*out, F.col("__w.removed").alias("__removed"), F.col("__w.sentences").alias("__sentences"))

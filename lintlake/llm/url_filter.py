@@ -86,11 +86,12 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     p = p.select(*own, "host", "path", rule.alias("rule"), verdict.alias("__v"), canonical(F.col("host"), F.col("path")).alias("__c"))
     keys = listed.where("canonical is not null").select(F.col("canonical").alias("__k")).distinct()
     block, words = _bits(F.col("__c"))
-    may = p.join(F.broadcast(bloom(keys, "__k")), block == F.col("block"), "left")
+    blocks = bloom(keys, "__k").toDF("__block", "__w0", "__w1", "__w2", "__w3")
+    may = p.join(F.broadcast(blocks), block == F.col("__block"), "left")
     passes = F.lit(True)
     for j, w in enumerate(words):
-        passes = passes & (F.col(f"w{j}").bitwiseAND(w) == w)
-    may = may.withColumn("__may", F.coalesce(passes & F.col("__v").isNull(), F.lit(False))).drop("block", "w0", "w1", "w2", "w3")
+        passes = passes & (F.col(f"__w{j}").bitwiseAND(w) == w)
+    may = may.withColumn("__may", F.coalesce(passes & F.col("__v").isNull(), F.lit(False))).drop(*blocks.columns)
     sure = may.where("not __may").withColumn("listed", F.lit(False))
     hits = may.where("__may").join(keys, F.col("__c") == F.col("__k"), "left").withColumn("listed", F.col("__k").isNotNull()).drop("__k")
     out = sure.unionByName(hits)
