@@ -143,6 +143,55 @@ def special_sql() -> dict[str, str]:
     return out
 
 
+def _spans_sql(opener: str, part: str, where: str = "true") -> str:
+    """Calls with their place and what stands in their parentheses: running sums over the files' parentheses."""
+    tail = quote(f"({re2(opener)})$")
+    return f"""sf as (select project, path, string_split(content, '') as cs, length(content) as n from files join profiles using (project) where contains(content, {quote(part)}) and {where}),
+  ch as (select project, path, cs, n, generate_subscripts(cs, 1) as pos, unnest(cs) as c from sf),
+  pa as (select *, sum(case c when '(' then 1 else -1 end) over (partition by project, path order by pos) as s from ch where c in ('(', ')')),
+  op as (select *, pos - length(regexp_extract(array_to_string(cs[greatest(1, pos - 30):pos - 1], ''), {tail}, 1)) as start from pa
+    where c = '(' and regexp_matches(array_to_string(cs[greatest(1, pos - 30):pos - 1], ''), {tail})),
+  en as (select op.project, op.path, op.pos, min(pa.pos) as till from op join pa on pa.project = op.project and pa.path = op.path and pa.pos > op.pos and pa.s = op.s - 1 group by all),
+  sp as (select project, path, array_to_string(cs[pos + 1:coalesce(till, n) - 1], '') as block, array_to_string(cs[1:start - 1], '') as before from op left join en using (project, path, pos)),
+  spans as (select project, path, block, length(before) - length(replace(before, chr(10), '')) + 1 as line, length(before) + 1 - (case when contains(before, chr(10)) then length(before) - instr(reverse(before), chr(10)) + 1 else 0 end) as col from sp)"""
+
+
+def span_queries() -> dict[str, str]:
+    """Whole queries: they need no lines."""
+    base = f"with {FILES_SQL}, {PROFILES_SQL}, "
+    body = sql_trim("block")
+    arrow = re2(r"^\(\s*\)\s*=>")
+    inner = sql_trim(f"regexp_replace(body, {quote(arrow)}, '')")
+    right = f"regexp_replace(stmt, {quote(re2(r'^' + chr(92) + 'w+' + chr(92) + 's*=' + chr(92) + 's*'))}, '')"
+    effects = _or(right, (r"\bconsole\.\w+\s*\(", *R.SIDE_EFFECTS[1:]))
+    effect = f"""{base}{_spans_sql(r"\$effect\s*", "$effect", "ends_with(path, '.svelte')")},
+  b1 as (select *, {body} as body from spans), b2 as (select *, {inner} as inside from b1 where regexp_matches(body, {quote(arrow)})),
+  b3 as (select *, case when starts_with(inside, '{{') and ends_with(inside, '}}') then {sql_trim("substr(inside, 2, greatest(length(inside) - 2, 0))")} else inside end as raw from b2),
+  b4 as (select *, {sql_trim(f"regexp_replace(raw, {quote(re2(';' + chr(92) + 's*$'))}, '')")} as stmt from b3)
+  {_select("no-effect-for-derived", "b4", f"{sql_matches('stmt', '^' + chr(92) + 'w+' + chr(92) + 's*=[^=]')} and not {effects} and not contains(stmt, ';')", col="col")}"""
+    derived = f"""{base}{_spans_sql(r"\$derived(?:\.by)?\s*", "$derived")} {_select("no-derived-side-effect", "spans", _or("block", R.SIDE_EFFECTS), col="col")}"""
+    return {"no-effect-for-derived": effect, "no-derived-side-effect": derived}
+
+
+def fetch_query() -> str:
+    """Brace depth and handler flag line after line, by recursion."""
+    handler = _or("text", R.HANDLER)
+    return f"""{BASE_SQL.replace("with ", "with recursive ", 1)},
+  s0 as (select project, path, line, is_comment, {handler} as handler, case when {sql_matches("text", R.FETCH)} then instr(text, 'fetch') else 0 end as call_at, regexp_replace(text, '[^{{}}]', '', 'g') as b
+    from l where framework = 'sveltekit' and {_SV} and in_script = 1 and not {sql_matches("path", chr(92) + "+(page|layout)" + chr(92) + ".server")}),
+  s1 as (select *, row_number() over w as k, coalesce(line - lag(line) over w, 9) > 1 as fresh, length(b) - 2 * length(replace(b, '{{', '')) as net,
+    coalesce(list_min(list_transform(range(1, length(b) + 1), lambda i: case when b[i] = '}}' then i - 2 * length(replace(b[1:i], '{{', '')) end)), 1 << 20) as low
+    from s0 window w as (partition by project, path order by line)),
+  st(project, path, k, line, depth, lit, hd, hit) as (
+    select project, path, 0::bigint, 0, 0::bigint, false, 0::bigint, 0::bigint from (select distinct project, path from s1)
+    union all
+    select project, path, k, line, case when is_comment then d else d + net end, case when is_comment then o when handler then true else o and d + low > h end,
+      case when is_comment then h when handler then d + net else h end, case when is_comment or handler or (o and d + low > h) then 0 else call_at end
+    from (select s1.*, case when fresh then 0 else st.depth end as d, case when fresh then false else st.lit end as o, case when fresh then 0 else st.hd end as h
+      from st join s1 on s1.project = st.project and s1.path = st.path and s1.k = st.k + 1))
+  {_select("no-client-fetch", "st", "hit > 0", col="hit")}"""
+
+
 def rule_query(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         files = derived_files(spark, sf_dir)
@@ -152,13 +201,13 @@ def rule_query(name: str):
 
 
 def rule_sql() -> dict[str, str]:
-    """The oracle's select for each rule over BASE_SQL; three rules (calls with nested parentheses, a fold) have none."""
+    """The oracle's select for each rule over BASE_SQL; span_queries() and fetch_query() have the other three."""
     return {r.name: line_sql(r) for r in RULES if r.line} | special_sql()
 
 
+WHOLE_SQL = span_queries() | {"no-client-fetch": fetch_query()} | {name: f"{BASE_SQL} {sql}" for name, sql in rule_sql().items()}
 for _rule in RULES:
-    _sql = rule_sql().get(_rule.name)
-    register("rule_" + _rule.name.replace("-", "_"), rule_query(_rule.name), f"{BASE_SQL} {_sql}" if _sql else None)
+    register("rule_" + _rule.name.replace("-", "_"), rule_query(_rule.name), WHOLE_SQL[_rule.name])
 
 
 def secrets_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
