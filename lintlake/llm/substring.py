@@ -100,7 +100,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     rows = d.select("doc_id", "h", F.explode(span_rows("text")).alias("s")).select("doc_id", "h", "s.*")
     may = common.cut(rows.join(twice, "key").drop("key"))
     at = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("h").alias("h"), F.col("lo").alias("lo"))
-    first = may.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last").select("hash", "first")
+    # written, so that the join below is between two plain shuffles, whose hot hashes Spark can split
+    first = common.cut(may.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last").select("hash", "first"))
     later = may.join(first, "hash").where(at != F.col("first")).groupBy("doc_id", "h")
     return later.agg(F.collect_set(F.struct("lo", "hi")).alias("cover")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("cover").alias("__cover"))
 
