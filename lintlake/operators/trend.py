@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Entries that are kept, and the window of a trend; thresholds and band limits of its chart.
@@ -34,12 +34,13 @@ def newest(history: DataFrame, n: int = KEPT) -> DataFrame:
     return history.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= n).drop("__k")
 
 
-def append_history(entries: DataFrame, path: str, n: int = KEPT) -> None:
+def append_history(entries: DataFrame, path: str) -> None:
     """Adds entries to the Parquet table at ``path``; compact_history() prunes it."""
     entries.write.mode("append").parquet(path)
 
 
-def compact_history(spark, path: str, to: str, n: int = KEPT) -> None:
+def compact_history(spark: SparkSession, path: str, to: str, n: int = KEPT) -> None:
+    """Writes the newest ``n`` entries of each project to ``to``; the table at ``path`` stays as it is."""
     newest(spark.read.parquet(path), n).write.mode("overwrite").parquet(to)
 
 

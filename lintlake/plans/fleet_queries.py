@@ -187,6 +187,35 @@ register(
 )
 
 
+def phase_options(spark, sf_dir):
+    """Which phases run for each project, with the lint option left open and dead code switched on by the caller."""
+    d = projects.resolve_configs(derived.config_rows(spark, sf_dir))
+    return d.select("project", projects.phase(None, F.col("lint")).alias("lint"), projects.phase(True, F.col("dead_code")).alias("dead_code"))
+
+
+register(
+    "phase_options", phase_options,
+    "select 'cust' || c_custkey as project, c_custkey % 4 <> 0 as lint, true as dead_code from customer where c_custkey % 4 in (0, 1) or (c_custkey % 4 = 3 and c_custkey % 3 = 0)",
+)
+
+
+def report_json(spark, sf_dir):
+    files, profiles, found = _scan(spark, sf_dir)
+    return report.report_json(found, report.scores(found, profiles), files)
+
+
+register(
+    "report_json", report_json,
+    f"""{FINDINGS_SQL}, pen as (select project, sum({_PENALTY})::bigint as penalty from findings group by project),
+    sc as (select project, {_SCORE.format("coalesce(penalty, 0)")} as score, case when penalty is null then 'Perfect' else {_LABEL.format(_SCORE.format("penalty"))} end as label from profiles left join pen using (project)),
+    n as (select project, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, count(distinct path) as affected,
+      string_agg(to_json({{'path': path, 'line': line, 'col': col, 'rule': rule, 'severity': severity, 'category': category, 'message': message}})::varchar, ',' order by path, line, col, rule, severity, category, message) as ds from findings group by project),
+    t as (select project, count(*) as total from files group by project)
+    select project, '{{"score":' || score || ',"label":"' || label || '","totalFiles":' || total || ',"affectedFiles":' || coalesce(affected, 0) || ',"errors":' || coalesce(errors, 0) || ',"warnings":' || coalesce(warnings, 0) || ',"diagnostics":[' || coalesce(ds, '') || ']}}' as report
+    from sc join t using (project) left join n using (project)""",
+)
+
+
 def _deps(spark, sf_dir):
     return deps.flatten(_manifests(spark, sf_dir))
 
