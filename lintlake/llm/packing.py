@@ -25,17 +25,23 @@ COLUMNS, GAP, PART = 2500, 0.5, 0.001
 
 
 @cache
-def _encoders(vocabulary: str):
-    """The vocabulary as a tokenizers file, and the same ranks for tiktoken, which gives the same ids faster."""
+def _exact(vocabulary: str):
+    """The vocabulary as the tokenizers library reads it; loaded in a worker only when a text needs it."""
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+
+
+@cache
+def _fast(vocabulary: str):
+    """The same vocabulary as tiktoken's ranks, which gives the same ids faster."""
+    import public_tokenizers
+    import tiktoken
+
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return exact, fast
+    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 #: Characters on whose classes all regular expression engines agree; texts with others take the slower path.
@@ -44,12 +50,11 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧€]*")
 
 def ids_of(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
     """The text's ids as the tokenizers library gives them without special tokens added, then 0."""
-    exact, fast = _encoders(vocabulary)
     text = text or ""
     if _PLAIN.fullmatch(text) and "<|" not in text:
-        ids = fast.encode_ordinary(text)
+        ids = _fast(vocabulary).encode_ordinary(text)
     else:
-        ids = exact.encode(text, add_special_tokens=False).ids
+        ids = _exact(vocabulary).encode(text, add_special_tokens=False).ids
     return np.array([*ids, 0], "<u4")
 
 
