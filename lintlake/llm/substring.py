@@ -14,9 +14,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from . import common
 
-#: A span is a run of so many sentences,
-SENTENCES = 3
-#: or of fewer if they have so many words already; runs of fewer words than LEAST are stock phrases, not spans.
+#: A span is one sentence of ENOUGH words, or a run of two sentences or more that has LEAST words; what has
+#: fewer is a stock phrase.
 ENOUGH, LEAST = 40, 15
 
 #: A sentence ends at a line's end, or after a stop (with closing quotes) before white space.
@@ -35,28 +34,37 @@ def segments(text: str) -> list[str]:
 
 
 def spans(text: str | None) -> list[tuple[int, int, bytes]]:
-    """(first sentence, last sentence, 128-bit hash) of the text's spans: one from each sentence, where it fits.
+    """(first sentence, last sentence, 128-bit hash) of the text's spans: the shortest from and the shortest up to each sentence.
 
+    Any longer run is a union of such spans: if it is a copy, they are, so all its sentences are found.
     Sentences are compared lower-case, white space folded. Segments of white space alone are skipped.
     """
     found = [(i, w) for i, s in enumerate(segments(text or "")) if (w := s.lower().encode("utf-8", "surrogatepass").split())]
-    n, out = len(found), []
     lengths = [len(w) for _, w in found]
     joined = [b" ".join(w) for _, w in found]
+    n, runs = len(found), set()
     for i in range(n):
-        words, j = lengths[i], i
-        while words < ENOUGH and j - i + 1 < SENTENCES and j + 1 < n:
-            j += 1
-            words += lengths[j]
-        if words >= ENOUGH or (j - i + 1 == SENTENCES and words >= LEAST):
-            out.append((found[i][0], found[j][0], xxhash.xxh3_128_digest(b"\n".join(joined[i : j + 1]))))
-    return out
+        for step, end in ((1, n - 1), (-1, 0)):
+            words, j = lengths[i], i
+            while words < (LEAST if j != i else ENOUGH) and j != end:
+                j += step
+                words += lengths[j]
+            if words >= (LEAST if j != i else ENOUGH):
+                runs.add((min(i, j), max(i, j)))
+    return [(found[i][0], found[j][0], xxhash.xxh3_128_digest(b"\n".join(joined[i : j + 1]))) for i, j in sorted(runs)]
+
+
+def few(parts: Iterator[pd.Series], n: int = 500) -> Iterator[pd.Series]:
+    """The same rows in smaller parts, so that the spans of few texts are held at a time."""
+    for part in parts:
+        for at in range(0, len(part), n):
+            yield part.iloc[at : at + n]
 
 
 @F.pandas_udf(ArrayType(LongType()))
 def span_keys(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Half of each span's hash: enough to find those that may repeat."""
-    for part in texts:
+    for part in few(texts):
         yield pd.Series([np.frombuffer(b"".join(h[:8] for _, _, h in spans(x)), np.int64) for x in part])
 
 
@@ -65,7 +73,7 @@ _SPAN = StructType([StructField("key", LongType()), StructField("hash", BinaryTy
 
 @F.pandas_udf(ArrayType(_SPAN))
 def span_rows(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in texts:
+    for part in few(texts):
         yield pd.Series(
             [[{"key": int(np.frombuffer(h[:8], np.int64)[0]), "hash": h, "lo": a, "hi": b} for a, b, h in spans(x)] for x in part]
         )
