@@ -15,6 +15,8 @@ METRICS = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
 #: A rate is an outlier above q75 + FENCE * max(q75 - q25, least spread of the metric).
 FENCE = 3
 SPREADS = {"symbol_rate": 100, "dup_line_rate": 200, "repeat_rate": 100, "word_length": 1500}
+#: keep() also judges by the tail: q99 + FENCE * max(q75 - q25, TAIL_SPREAD), in thousandths.
+TAIL_SPREAD = 5
 #: Groups of fewer documents are judged by their language's merged sketch, smaller languages by that of all.
 LEAST_GROUP = 100
 
@@ -103,9 +105,13 @@ def measured(docs: DataFrame) -> DataFrame:
     return d.withColumn("__r", F.struct(*[v.alias(k) for k, v in rates(f, lines).items()])).withColumn("__failed", base_failed(f))
 
 
+def _shift(v: Column) -> Column:
+    return F.greatest(F.length(F.bin(v)) - 6, F.lit(0))
+
+
 def bin_of(v: Column) -> Column:
     """A whole number with all bits but the first six cleared: relative error under 1/32, 1,900 bins at most."""
-    shift = F.greatest(F.length(F.bin(v)) - 6, F.lit(0))
+    shift = _shift(v)
     return F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift)
 
 
@@ -120,22 +126,29 @@ def sketches(d: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Merges sketches to groups ``by`` and reads q25 and q75: (by, metric, docs, q25, q75)."""
+    """Merges sketches to groups ``by`` and reads q25, q75 and q99: (by, metric, docs, q25, q75, q99)."""
     merged = sketch.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "metric")
     upto = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     merged = merged.select(*by, "metric", "bin", "n", upto.alias("upto"), F.sum("n").over(group).alias("docs"))
-    q = lambda part: F.min(F.when(F.col("upto") * 4 >= F.col("docs") * part, F.col("bin")))
-    return merged.groupBy(*by, "metric").agg(F.max("docs").alias("docs"), q(1).alias("q25"), q(3).alias("q75"))
+    q = lambda part, of=4: F.min(F.when(F.col("upto") * of >= F.col("docs") * part, F.col("bin")))
+    return merged.groupBy(*by, "metric").agg(F.max("docs").alias("docs"), q(1).alias("q25"), q(3).alias("q75"), q(99, 100).alias("q99"))
 
 
-def thresholds(sketch: DataFrame, fence: int = FENCE, least_group: int = LEAST_GROUP) -> DataFrame:
-    """One row for each (lang, source) of ``sketch``, a column of each metric: its highest accepted rate."""
+def thresholds(sketch: DataFrame, fence: int = FENCE, least_group: int = LEAST_GROUP, tails: bool = False) -> DataFrame:
+    """One row for each (lang, source) of ``sketch``, a column of each metric: its highest accepted rate.
+
+    ``tails``: the lower of two fences. That of q75 holds where junk fills the upper tail, that of q99
+    (its bin's upper end) where nearly all documents have a rate of zero and the least spread is wide.
+    """
     least = F.element_at(F.create_map(*[x for m in METRICS for x in (F.lit(m), F.lit(SPREADS[m]))]), F.col("metric"))
 
     def limits(by: list[str], name: str) -> DataFrame:
         q = quantiles(sketch, by)
         up = F.col("q75") + F.lit(fence) * F.greatest(F.col("q75") - F.col("q25"), least)
+        if tails:
+            end = F.col("q99") + F.call_function("shiftleft", F.lit(1).cast("long"), _shift(F.col("q99"))) - 1
+            up = F.least(up, end + F.lit(fence) * F.greatest(F.col("q75") - F.col("q25"), F.lit(TAIL_SPREAD)))
         return q.select(*[F.col(b).alias(f"__{name}_{b}") for b in by], F.col("metric").alias(f"__{name}_m"), F.col("docs").alias(f"{name}_docs"), up.alias(f"{name}_up"))
 
     own, lang, every = limits(["lang", "source"], "own"), limits(["lang"], "lang"), limits([], "all")
@@ -160,10 +173,11 @@ def keep(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words and fail the base rule. A null language or source is a group
     like any other. Repeated rows count and are judged one by one; an empty table gives an empty one.
+    Stricter than scored(), whose SQL has the fence of q75 alone.
     """
     from .common import cut
 
-    limits = cut(thresholds(sketches(measured(docs.select("text", "lang", "source")))))
+    limits = cut(thresholds(sketches(measured(docs.select("text", "lang", "source"))), tails=True))
     return judged(measured(docs), limits).where("__kept").select(docs.columns)
 
 
