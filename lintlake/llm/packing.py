@@ -119,6 +119,23 @@ def _longest_first(lengths: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray,
     return columns, used
 
 
+def _inverse(basis: np.ndarray) -> np.ndarray:
+    """The inverse by row steps with pivoting.
+
+    Element by element: threaded linear algebra can hang in a driver process that has run Spark.
+    """
+    m = len(basis)
+    rows = np.hstack([basis, np.eye(m)])
+    for j in range(m):
+        k = j + int(np.abs(rows[j:, j]).argmax())
+        rows[[j, k]] = rows[[k, j]]
+        rows[j] /= rows[j, j]
+        factor = rows[:, j].copy()
+        factor[j] = 0.0
+        rows -= factor[:, None] * rows[j]
+    return rows[:, m:]
+
+
 def fractional(lengths: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and how often each is used, not yet whole: the linear program by column generation.
 
@@ -127,14 +144,14 @@ def fractional(lengths: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.
     """
     m = len(lengths)
     columns, used = _longest_first(lengths, demand)
-    inverse = np.linalg.inv(columns)
+    inverse = _inverse(columns)
     for _ in range(COLUMNS):
         prices = inverse.sum(axis=0)
         worth, column = _best_column(np.maximum(prices, 0.0), lengths)
         total = used.sum()
         if worth <= 1 + 1e-9 or total - total / worth < max(GAP, PART * total):
             break
-        turn = inverse @ column
+        turn = (inverse * column).sum(axis=1)
         up = turn > 1e-9
         if not up.any():
             break
@@ -145,7 +162,7 @@ def fractional(lengths: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.
         used = np.maximum(used - step * turn, 0.0)
         used[out] = step
         row = inverse[out] / turn[out]
-        inverse -= np.outer(turn, row)
+        inverse -= turn[:, None] * row
         inverse[out] = row
         columns[:, out] = column
     return columns.astype(np.int64), used
