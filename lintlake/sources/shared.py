@@ -9,17 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; where it is unset, a new local folder for this session."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lintlake.scratch.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Unset on a local master (a single machine, tests): a new local folder, kept for the session. Unset
+    on a cluster: an error, since executors would each write to a disk of their own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.startswith("local"):
+        root = spark.conf.get("lintlake.scratch.dir", None)
+        if not root:
+            root = "file://" + tempfile.mkdtemp(prefix="spark-")
+            spark.conf.set("lintlake.scratch.dir", root)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("lintlake.scratch.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return root.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once and read again: its lineage ends, and lost executors take nothing with them."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_written_path", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
