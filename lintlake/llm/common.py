@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lintlake.sources.shared import forget, written as cut  # noqa: F401
+
 #: A word: a run of characters other than ASCII white space. bytes.split() cuts alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,43 +15,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set.
-
-    Unset (single machine, tests): a new local folder, kept for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("lintlake.scratch.dir", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("lintlake.scratch.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read again.
-
-    Later readers neither recompute it nor depend on the executors that made it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def forget(*frames: DataFrame) -> None:
-    """Deletes tables of cut() that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_cut_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def with_running(
     df: DataFrame, group: list[str], order: list[Column], value: Column, name: str, bucket: Column, sum_of: str
 ) -> DataFrame:

@@ -10,13 +10,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import common
 
-#: A span is one sentence of ENOUGH words, or a run of two sentences or more that has LEAST words; what has
-#: fewer is a stock phrase.
-ENOUGH, LEAST = 40, 15
+#: Consecutive sentences in a span. Longer repeats are unions of such spans.
+SENTENCES = 2
+#: A passage, a run of covered sentences, goes if it has so many words; a shorter one is a stock phrase.
+LEAST = 20
 
 #: A sentence ends at a line's end, or after a stop (with closing quotes) before white space.
 _END = re.compile(r"\n[\x20\x09-\x0D]*|[.!?…。！？]+[\"'”’)\]]*[\x20\x09-\x0D]+")
@@ -33,25 +34,17 @@ def segments(text: str) -> list[str]:
     return out
 
 
-def spans(text: str | None) -> list[tuple[int, int, bytes]]:
-    """(first sentence, last sentence, 128-bit hash) of the text's spans: the shortest from and the shortest up to each sentence.
+def _words(segment: str) -> list[bytes]:
+    return segment.lower().encode("utf-8", "surrogatepass").split()
 
-    Any longer run is a union of such spans: if it is a copy, they are, so all its sentences are found.
-    Sentences are compared lower-case, white space folded. Segments of white space alone are skipped.
+
+def spans(text: str | None) -> bytes:
+    """The 128-bit hash of every run of SENTENCES consecutive sentences, in order, as pairs of longs.
+
+    Sentences are compared lower-case, white space folded; segments of white space alone are no sentences.
     """
-    found = [(i, w) for i, s in enumerate(segments(text or "")) if (w := s.lower().encode("utf-8", "surrogatepass").split())]
-    lengths = [len(w) for _, w in found]
-    joined = [b" ".join(w) for _, w in found]
-    n, runs = len(found), set()
-    for i in range(n):
-        for step, end in ((1, n - 1), (-1, 0)):
-            words, j = lengths[i], i
-            while words < (LEAST if j != i else ENOUGH) and j != end:
-                j += step
-                words += lengths[j]
-            if words >= (LEAST if j != i else ENOUGH):
-                runs.add((min(i, j), max(i, j)))
-    return [(found[i][0], found[j][0], xxhash.xxh3_128_digest(b"\n".join(joined[i : j + 1]))) for i, j in sorted(runs)]
+    said = [b" ".join(w) for s in segments(text or "") if (w := _words(s))]
+    return b"".join(xxhash.xxh3_128_digest(b"\n".join(said[i : i + SENTENCES])) for i in range(len(said) - SENTENCES + 1))
 
 
 def few(parts: Iterator[pd.Series], n: int = 500) -> Iterator[pd.Series]:
@@ -62,69 +55,73 @@ def few(parts: Iterator[pd.Series], n: int = 500) -> Iterator[pd.Series]:
 
 
 @F.pandas_udf(ArrayType(LongType()))
-def span_keys(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Half of each span's hash: enough to find those that may repeat."""
+def span_hashes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in few(texts):
-        yield pd.Series([np.frombuffer(b"".join(h[:8] for _, _, h in spans(x)), np.int64) for x in part])
+        yield pd.Series([np.frombuffer(spans(x), np.int64) for x in part], dtype=object)
 
 
-_SPAN = StructType([StructField("key", LongType()), StructField("hash", BinaryType()), StructField("lo", IntegerType()), StructField("hi", IntegerType())])
+_CUT = StructType([StructField("text", StringType()), StructField("removed", IntegerType())])
 
 
-@F.pandas_udf(ArrayType(_SPAN))
-def span_rows(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in few(texts):
-        yield pd.Series(
-            [[{"key": int(np.frombuffer(h[:8], np.int64)[0]), "hash": h, "lo": a, "hi": b} for a, b, h in spans(x)] for x in part]
-        )
+def without_spans(text: str, starts: set[int]) -> tuple[str, int]:
+    """The text less its passages, and how many sentences went: ``starts`` are the repeated spans' places."""
+    cuts = segments(text)
+    said = [k for k, s in enumerate(cuts) if s.strip("\t\n\x0b\x0c\r ")]
+    covered = {i + j for i in starts for j in range(SENTENCES)}
+    gone: set[int] = set()
+    run: list[int] = []
+    for i in range(len(said) + 1):
+        if i in covered and i < len(said):
+            run.append(said[i])
+        elif run:
+            if sum(len(_words(cuts[k])) for k in run) >= LEAST:
+                gone.update(run)
+            run = []
+    return "".join(s for k, s in enumerate(cuts) if k not in gone), len(gone)
 
 
-@F.pandas_udf(StructType([StructField("text", StringType()), StructField("removed", IntegerType()), StructField("sentences", IntegerType())]))
+@F.pandas_udf(_CUT)
 def without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """The texts less the sentences of the given spans (lists of lo, hi), and how many went of how many."""
-    for texts, covered in parts:
-        rows = []
-        for text, cover in zip(texts, covered, strict=True):
-            if text is None:
-                rows.append((None, 0, 0))
-                continue
-            cuts = segments(text)
-            gone = {k for x in (cover if cover is not None else ()) for k in range(x["lo"], x["hi"] + 1)}
-            left = text if not gone else "".join(s for k, s in enumerate(cuts) if k not in gone)
-            rows.append((left, len(gone), len(cuts)))
-        yield pd.DataFrame(rows, columns=["text", "removed", "sentences"])
+    """For texts with repeated spans; the others come as nulls."""
+    for texts, starts in parts:
+        rows = [(None, 0) if text is None or at is None else without_spans(text, set(at)) for text, at in zip(texts, starts, strict=True)]
+        yield pd.DataFrame(rows, columns=["text", "removed"])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """Non-first repeated spans of ``docs`` (doc_id, text): __id, __h (the text's hash), __cover (list of lo, hi).
+    """Non-first repeated spans of ``docs`` (doc_id, text): __id, __h (the text's hash), __at (places of spans).
 
-    The first of equal spans is that of the smallest (doc_id, text hash, sentence); a null doc_id comes
-    last. Keys are counted first, aggregated map-side, 8 bytes each; only spans whose key repeats are
-    sent with their full hash, which decides. The spans are hashed again rather than kept.
+    The first of equal spans is that of the smallest (doc_id, text hash, place); a null doc_id comes
+    last. The texts are hashed once and their spans' hashes written. First halves of the hashes are
+    counted, aggregated map-side, 8 bytes each; only spans whose half repeats are sent on with all of
+    their hash, which decides.
     """
-    d = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    keys = d.select(F.explode(span_keys("text")).alias("key"))
-    twice = common.cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    rows = d.select("doc_id", "h", F.explode(span_rows("text")).alias("s")).select("doc_id", "h", "s.*")
-    may = common.cut(rows.join(twice, "key").drop("key"))
-    at = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("h").alias("h"), F.col("lo").alias("lo"))
+    hashed = common.cut(docs.select("doc_id", F.xxhash64("text").alias("h"), span_hashes("text").alias("s")).where(F.size("s") > 0))
+    places = F.transform(F.sequence(F.lit(0), (F.size("s") / 2).cast("int") - 1), lambda i: F.struct(i.alias("at"), F.get("s", i * 2).alias("key"), F.get("s", i * 2 + 1).alias("rest")))
+    rows = hashed.select("doc_id", "h", F.explode(places).alias("x")).select("doc_id", "h", "x.*")
+    twice = common.cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    may = common.cut(rows.join(twice, "key"))
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("h").alias("h"), F.col("at").alias("at"))
+    first = may.groupBy("key", "rest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     # written, so that the join below is between two plain shuffles, whose hot hashes Spark can split
-    first = common.cut(may.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last").select("hash", "first"))
-    later = may.join(first, "hash").where(at != F.col("first")).groupBy("doc_id", "h")
-    return later.agg(F.collect_set(F.struct("lo", "hi")).alias("cover")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("cover").alias("__cover"))
+    first = common.cut(first.where("first != last").select("key", "rest", "first"))
+    later = may.join(first, ["key", "rest"]).where(place != F.col("first")).groupBy("doc_id", "h")
+    return later.agg(F.collect_set("at").alias("at")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("at").alias("__at"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with text cut, and __removed, __sentences: every sentence in a non-first repeated span goes.
-
-    All rows and columns stay; a text whose sentences all go becomes empty; null texts stay null.
-    n_chars, if there, is set to the new length. Rows equal in doc_id and text are one document, which
-    keeps its spans; rows without a doc_id but with the same text likewise. Texts with no repeated
-    span come back unchanged to the byte.
+    """``docs`` with text cut, and __removed, the number of sentences that went.
+
+    Every run of SENTENCES sentences is a span. Sentences in a non-first repeated span are covered;
+    covered sentences in a row are a passage and go, if they have LEAST words together. All rows and
+    columns stay; a text whose sentences all go becomes empty; null texts stay null. n_chars, if there,
+    is set to the new length. Rows equal in doc_id and text are one document, which keeps its spans;
+    rows without a doc_id but with the same text likewise. Texts of one sentence, and those with no
+    repeated passage, come back unchanged to the byte. An empty table gives an empty one.
     """
     cover = repeated(docs)
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
-    d = docs.join(cover, on, "left").withColumn("__w", without("text", "__cover"))
-    text = F.col("__w.text")
+    d = docs.join(cover, on, "left").withColumn("__w", without(F.when(F.col("__at").isNotNull(), F.col("text")), "__at"))
+    text = F.coalesce(F.col("__w.text"), F.col("text"))
     out = [text.alias(c) if c == "text" else F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias(c) if c == "n_chars" else d[c] for c in docs.columns]
-    return d.select(*out, F.col("__w.removed").alias("__removed"), F.col("__w.sentences").alias("__sentences"))
+    return d.select(*out, F.coalesce("__w.removed", F.lit(0)).alias("__removed"))

@@ -25,9 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once and read again: its lineage ends, and lost executors take nothing with them."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{_own(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
@@ -39,6 +48,9 @@ def forget(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_written_path", None)
         if path:
-            context = df.sparkSession.sparkContext
-            where = context._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that this application wrote, once their results are stored elsewhere."""
+    _delete(spark, _own(spark))

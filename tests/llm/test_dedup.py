@@ -8,6 +8,8 @@ from hypothesis import strategies as st
 
 from lintlake.llm import common, simhash, substring
 
+from . import brute
+
 
 def brute_fingerprint(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
@@ -110,13 +112,24 @@ def test_substring_dedup_removes_all_but_the_first(spark):
 
 def test_substring_dedup_against_brute_force(spark):
     rng = random.Random(5)
-    pool = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(rng.randint(3, 30))) + "." for _ in range(40)]
-    docs = {i: " ".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for i in range(80)}
-    first, cover = {}, {}
-    for i in sorted(docs):
-        for a, b, h in substring.spans(docs[i]):
-            if first.setdefault(h, (i, a)) != (i, a):
-                cover.setdefault(i, set()).update(range(a, b + 1))
-    want = {i: "".join(s for k, s in enumerate(substring.segments(t)) if k not in cover.get(i, ())) for i, t in docs.items()}
-    df = spark.createDataFrame([(i, t, "x") for i, t in docs.items()], "doc_id long, text string, lo string")
-    assert {r.doc_id: r.text for r in substring.dedup(df).collect()} == want
+    pool = [" ".join(rng.choice("alpha beta gamma delta Epsilon zeta eta theta".split()) for _ in range(rng.randint(1, 30))) + rng.choice([". ", "!\n", '." ', "\n\n"]) for _ in range(60)]
+    docs = {i: "".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for i in range(120)} | {500: None, 501: "", 502: " \n ", 503: "no end"}
+    df = spark.createDataFrame([(i, t, "x", i) for i, t in docs.items()], "doc_id long, text string, at string, key int")
+    out = substring.dedup(df)
+    assert out.columns == [*df.columns, "__removed"]
+    want = brute.without_repeats(docs)
+    assert {r.doc_id: r.text for r in out.collect()} == want and sum(want[i] != docs[i] for i in docs) > 30
+    assert substring.dedup(df.limit(0)).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aB.!\"') \n\t", max_size=40))
+def test_sentences_are_as_read_plainly(text):
+    assert substring.segments(text) == brute.sentences(text)
+
+
+def test_a_very_long_text_and_a_hot_passage(spark):
+    own = " ".join(f"Sentence {k} has words of its own." for k in range(30_000))
+    rows = [(0, own + PASSAGE)] + [(i, f"Start {i} of this one. {PASSAGE} Own end {i} here.") for i in range(1, 300)]
+    got = {r.doc_id: r.text for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.without_repeats(dict(rows)) and got[0] == rows[0][1] and "river" not in got[7]

@@ -7,7 +7,9 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from lintlake.llm import packing, simhash, substring
+from lintlake.llm import packing, simhash
+
+from . import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -45,13 +47,7 @@ def test_stages_against_brute_force(spark):
     assert two.columns == docs.columns and {r.doc_id: r.text for r in two.collect()} == first
 
     three = stages["substring_dedup"](spark, two, "")
-    seen, want = {}, {}
-    for i in sorted(first):
-        cover = set()
-        for a, b, h in substring.spans(first[i]):
-            if seen.setdefault(h, (i, a)) != (i, a):
-                cover.update(range(a, b + 1))
-        want[i] = "".join(x for k, x in enumerate(substring.segments(first[i])) if k not in cover)
+    want = brute.without_repeats(first)
     got = three.collect()
     assert three.columns == docs.columns and {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
     assert sum(len(t) for t in want.values()) < sum(len(t) for t in first.values())

@@ -31,13 +31,19 @@ def test_short_sentences_beside_a_long_one_go(spark):
         assert left(spark, texts) == [texts[0], texts[1].replace(passage, "")]
 
 
-def test_every_repeated_run_is_covered():
+def test_stock_phrases_stay(spark):
+    texts = [f"Own start {k} here. All rights reserved. Read our terms. Own end {k} there." for k in range(2)]
+    assert left(spark, texts) == texts
+
+
+def test_every_repeated_run_goes(spark):
     rng = random.Random(8)
-    for _ in range(300):
-        run = [[rng.choice(WORDS) for _ in range(rng.choice([1, 2, 4, 9, 20, 45]))] for _ in range(rng.randint(1, 12))]
-        size = sum(map(len, run))
-        text = lambda k: f"own{k}. " + "".join(" ".join(w) + ". " for w in run) + f"end{k}."
-        first = {h for _, _, h in substring.spans(text(0))}
-        gone = {s for a, b, h in substring.spans(text(1)) if h in first for s in range(a, b + 1)}
-        whole = size >= (substring.LEAST if len(run) > 1 else substring.ENOUGH)
-        assert gone == (set(range(1, len(run) + 1)) if whole else set())
+    texts = []
+    for k in range(60):
+        run = [[rng.choice(WORDS) + str(k) for _ in range(rng.choice([1, 2, 4, 9, 20, 45]))] for _ in range(rng.randint(2, 12))]
+        text = lambda end, run=run, k=k: f"own{k}{end}. " + "".join(" ".join(w) + ". " for w in run) + f"end{k}{end}."
+        texts += [text("a"), text("b")]
+        whole = sum(map(len, run)) >= substring.LEAST
+        texts.append(f"own{k}b. end{k}b." if whole else text("b"))  # what is expected of the one before
+    got = left(spark, [t for i, t in enumerate(texts) if i % 3 != 2])
+    assert got[1::2] == texts[2::3]
