@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -13,191 +12,215 @@ import pandas as pd
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
-#: Labelled rows that are learned from at most, by label, and the longest text among them.
-TOXIC_ROWS, ORDINARY_ROWS, LONGEST = 1500, 4000, 50_000
+from . import common
+
+#: Labelled rows that are learned from at most, by label, and windows of theirs, by label.
+TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_WINDOWS = 2500, 5000, 500_000
 #: Bytes of a window and of what it shares with the next, so that no word is lost at a cut.
-WINDOW, SHARED = 64, 16
-TOXIC_BYTES, ORDINARY_BYTES = 256, 2048
-#: So many of the commonest toxic beginnings are put into the toxic dictionary where training left them out.
-OFTEN = 60
-#: Every window ends with these bytes and so does every dictionary: a window is never stored uncompressed.
-PAD = bytes(range(128, 192))
-#: A word's beginning of so many bytes is toxic if, at the lower end of its confidence interval, it is so much likelier in toxic text.
-SHORTEST, PREFIX, LIKELIER, SEEN = 5, 14, 4.0, 6
+WINDOW, SHARED = 24, 16
+#: Bytes of the ordinary dictionary, of the first toxic ones, and of the toxic one in the end.
+ORDINARY_BYTES, FIRST_BYTES, TOXIC_BYTES = 100_000, 100_000, 3072
+#: Parts of the toxic texts, each judged by the dictionary of the others, and rounds of training.
+FOLDS, ROUNDS = 4, 5
+#: Windows that a toxic text gives to the next round: its best, if they save more than this part of ordinary windows.
+PICKED, RARE = 4, 0.997
 #: Saved bytes from which a window counts as a hit, at two levels.
 LEVELS = (2, 4)
+#: Every window ends with these bytes and so does every dictionary: a window is never stored uncompressed.
+PAD = bytes(range(128, 152))
 
 
 @dataclass(frozen=True)
 class Model:
-    """What is sent to the executors: two dictionaries of a few kB and a handful of weights."""
+    """What is sent to the executors: two dictionaries, 103 kB together, and a handful of weights."""
 
     toxic: bytes = b""
     ordinary: bytes = b""
     mean: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
-    bias: float = field(default=0.0)
+    bias: float = 0.0
 
 
 def windows(text: str | None) -> list[bytes]:
-    """The whole text, ASCII lower-case and white space folded, in overlapping windows."""
+    """The whole text, lower-cased and white space folded, in overlapping windows."""
     joined = b" " + b" ".join((text or "").lower().encode("utf-8", "replace").split()) + b" "
-    return [joined[i : i + WINDOW + SHARED] + PAD for i in range(0, max(1, len(joined) - SHARED), WINDOW)]
+    return [joined[i : i + WINDOW + SHARED] for i in range(0, max(1, len(joined) - SHARED), WINDOW)]
 
 
 @cache
-def _compressors(toxic: bytes, ordinary: bytes) -> tuple[zstd.ZstdCompressor, zstd.ZstdCompressor]:
+def _compressor(content: bytes) -> zstd.ZstdCompressor:
     params = zstd.ZstdCompressionParameters(
-        window_log=13, chain_log=12, hash_log=12, search_log=4, min_match=5, target_length=32, strategy=zstd.STRATEGY_LAZY,
+        window_log=19, chain_log=16, hash_log=16, search_log=4, min_match=4, target_length=32, strategy=zstd.STRATEGY_LAZY,
         write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS,
     )
-    make = lambda content: zstd.ZstdCompressor(
-        dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params
-    )
-    return make(toxic + ordinary + PAD), make(ordinary + PAD)
-
+    return zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content + PAD, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params)
 
-def features(text: str | None, model: Model) -> list[float]:
-    """From the bytes that the toxic dictionary saves in each window against the ordinary one."""
-    toxic, ordinary = _compressors(model.toxic, model.ordinary)
-    saved = np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows(text)], np.float64)
-    top = np.sort(saved)[-3:]
-    rate = [float((saved >= k).mean()) for k in LEVELS]
-    return [float(top[-1]), float(top.mean()), float(saved.mean()), *rate, math.log1p(len(saved)), float(top[-1] >= 5) - rate[1], math.log1p(float((saved >= LEVELS[1]).sum()))]
-
-
-def score_of(x: Sequence[float], model: Model) -> float:
-    z = model.bias + sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale, strict=True))
-    return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
+def _lengths(parts: Sequence[bytes], content: bytes) -> np.ndarray:
+    compress = _compressor(content).compress
+    return np.array([len(compress(w + PAD)) for w in parts], np.float64)
 
-def _trained(size: int, samples: list[bytes]) -> bytes:
-    """The content of a dictionary that zstandard trains; the samples' end where they are too few to train on."""
-    content = b"".join(samples)
-    if len(content) > 4 * size and len(samples) >= 16:
-        times = max(1, 100 * size // len(content))
-        try:
-            return zstd.train_dictionary(size + 300, samples * times).as_bytes()[-size:]
-        except zstd.ZstdError:
-            pass
-    return content[-size:]
-
-
-def _distinct(texts: list[str]) -> list[str]:
-    """Texts that share less than a quarter of their 8-word runs with those before: copies would count as evidence twice."""
-    seen: set[int] = set()
-    out = []
-    for t in texts:
-        w = t.lower().split()
-        runs = {hash(tuple(w[i : i + 8])) for i in range(max(1, len(w) - 7))}
-        if len(runs & seen) * 4 <= len(runs):
-            out.append(t)
-        seen |= runs
-    return out
 
+def saved(parts: Sequence[bytes], toxic: bytes, ordinary: bytes) -> np.ndarray:
+    """Bytes of each window that the toxic dictionary saves. The ordinary one stands behind both, so ordinary words cost both the same."""
+    return _lengths(parts, ordinary) - _lengths(parts, toxic + ordinary)
 
-def _words(text: str) -> list[bytes]:
-    return [b" " + w + b" " for w in text.lower().encode("utf-8", "replace").split()]
 
+def features(gain: np.ndarray) -> list[float]:
+    """Of a text's windows' saved bytes: the largest, the three largest, the mean, hits at two levels, the text's length."""
+    top = np.sort(gain)[-3:]
+    hits = [math.log1p(float((gain >= k).sum())) for k in LEVELS]
+    return [float(top[-1]), float(top.mean()), float(gain.mean()), *hits, math.log1p(len(gain))]
 
-def _beginnings(text: str) -> set[bytes]:
-    return {w[:n] for w in set(_words(text)) for n in range(SHORTEST, min(len(w), PREFIX) + 1)}
 
+def score_of(x: Sequence[float], model: Model) -> float:
+    z = model.bias + sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale, strict=True))
+    return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
-def _longest(x: bytes, count: Counter) -> bytes:
-    """``x`` with the bytes that nearly always follow it: a whole word, or the stem of many."""
-    while len(x) < PREFIX and (y := max((x + bytes([c]) for c in range(256)), key=lambda y: count[y])) and count[y] >= 0.7 * count[x]:
-        x = y
-    return x
 
+def _dictionary(size: int, samples: list[bytes], segment: int) -> bytes:
+    """The content of a dictionary that zstandard trains on ``samples``; all of them where they are no longer than it."""
+    content = b"".join(samples)
+    if len(content) <= 2 * size:
+        return content[-size:]
+    try:
+        return zstd.train_dictionary(size + 400, samples, k=segment, d=6).as_bytes()[-size:]
+    except zstd.ZstdError:  # too few samples to train on
+        return content[-size:]
 
-def _marker(word: bytes, chosen: set[bytes]) -> bytes | None:
-    return next((word[:n] for n in range(min(len(word), PREFIX), SHORTEST - 1, -1) if word[:n] in chosen), None)
 
+def _distinct(texts: list[list[bytes]]) -> list[list[bytes]]:
+    """Texts that share less than a quarter of their windows with those before: copies would count as evidence twice."""
+    seen: set[bytes] = set()
+    out = []
+    for parts in texts:
+        own = set(parts)
+        if len(own & seen) * 4 < len(own):
+            out.append(parts)
+        seen |= own
+    return out
 
-def train(rows: list[tuple[str, int]]) -> Model:
-    """A model from (text, label) rows: dictionaries from three quarters, thresholds from all.
 
-    The toxic dictionary is trained on what toxic texts say and ordinary ones hardly ever do; it is
-    put before the ordinary one's content, so that ordinary words cost both the same and the saved
-    bytes are those of toxic words. A logistic calibration turns the saved bytes of a text's windows
-    into its score; its threshold of 0.5 is where F1 is best on the learning rows.
-    """
-    toxic = _distinct([t for t, y in rows if y == 1 and t])
-    ordinary = _distinct([t for t, y in rows if y == 0 and t])
-    if not toxic or not ordinary:
-        return Model(b" ", b" ", (0.0,) * 8, (1.0,) * 8, (0.0,) * 8, -2.0 if not toxic else 2.0)
-    a, b = toxic[: max(1, len(toxic) * 3 // 4)], ordinary[: max(1, len(ordinary) * 3 // 4)]
-    in_toxic = Counter(x for t in a for x in _beginnings(t))
-    often = {x for x, n in in_toxic.items() if n >= min(SEEN, max(1, len(a) // 10))}
-    in_ordinary = Counter(x for t in b for x in _beginnings(t) if x in often)
-
-    def likelier(x: bytes) -> float:
-        n, m = in_toxic[x], in_ordinary[x]
-        return max(n - 1.5 * math.sqrt(n), 0.1) / len(a) / ((m + 1.5 * math.sqrt(m) + 1) / len(b))
-
-    chosen = {_longest(x, in_toxic) for x in often if likelier(x) > LIKELIER}
-    chosen = {x for x in chosen if not any(x[:n] in chosen for n in range(SHORTEST, len(x)))}  # stems, not their variants
-    said = [[x for x in (_marker(w, chosen) for w in _words(t)) if x] for t in a]
-    samples = [b"".join(markers) for markers in said if markers]
-    content = _trained(TOXIC_BYTES, samples)
-    for marker, _ in sorted(Counter(w for markers in said for w in set(markers)).items(), key=lambda x: (-x[1], x[0]))[:OFTEN]:
-        if marker not in content:  # training may cut a marker that stands between two segments
-            content += marker
-    parts = [w[: -len(PAD)] for t in b[:1000] for w in windows(t)]
-    content = _trained(TOXIC_BYTES, [s for s in samples if len(s) > 6])
-    for word, n in sorted(Counter(w for words in said for w in set(words)).items(), key=lambda x: (-x[1], x[0]))[:OFTEN]:
-        if n > 1 and word + b" " not in content:  # the trainer may cut a word that stands between two segments
-            content += word + b" "
-    model = Model(content or b" ", _trained(ORDINARY_BYTES, parts[:60000]) or b" ")
-    x = np.array([features(t, model) for t in toxic + ordinary])
-    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """mean, scale, weights, bias by Newton steps with a small ridge; a few features, summed element by element."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    w = np.zeros(z.shape[1])
-    for _ in range(40):  # Newton steps of a logistic regression with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag([1.0] * (z.shape[1] - 1) + [1e-3])
-        w = w + np.linalg.solve(h, z.T @ (y - p) - np.array([1.0] * (len(w) - 1) + [0.0]) * w)
-    logit = z @ w
-    order = np.argsort(-logit)
+    m = z.shape[1]
+    ridge = np.array([1.0] * (m - 1) + [1e-3])
+    w = np.zeros(m)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip((z * w).sum(axis=1), -30, 30)))
+        weight = p * (1 - p)
+        rows = np.array([[(z[:, i] * z[:, j] * weight).sum() + (ridge[i] if i == j else 0.0) for j in range(m)] + [(z[:, i] * (y - p)).sum() - ridge[i] * w[i]] for i in range(m)])
+        for i in range(m):  # Gauss-Jordan; the matrix is positive definite
+            rows[i] /= rows[i, i]
+            for j in range(m):
+                if j != i:
+                    rows[j] -= rows[j, i] * rows[i]
+        w = w + rows[:, m]
+    return mean, scale, w[:-1], float(w[-1])
+
+
+def _best_cut(logit: np.ndarray, y: np.ndarray) -> float:
+    """The threshold of the logit where F1 is best, between two values."""
+    order = np.argsort(-logit, kind="stable")
     found = np.cumsum(y[order])
     f1 = 2 * found / (np.arange(1, len(y) + 1) + y.sum())
     k = int(f1.argmax())
-    cut = (logit[order[k]] + logit[order[min(k + 1, len(y) - 1)]]) / 2
-    return Model(model.toxic, model.ordinary, tuple(mean), tuple(scale), tuple(w[:-1]), float(w[-1] - cut))
+    return float(logit[order[k]] + logit[order[min(k + 1, len(y) - 1)]]) / 2
+
+
+def train(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model:
+    """A model from toxic and ordinary texts, each given as its windows.
+
+    The ordinary dictionary is trained on half of the ordinary texts. Toxic texts are mostly ordinary
+    words, so the toxic one is trained in rounds: the first on all windows of the toxic texts, each
+    later one on those windows that the dictionary before found to be toxic, by how many bytes it
+    saved against what it saves on the other half of the ordinary texts. A text is always judged by a
+    dictionary that other texts were trained on (FOLDS parts), so that only what toxic texts have in
+    common lasts. A logistic calibration on these judgements turns saved bytes into scores; its
+    threshold of 0.5 is where F1 is best.
+    """
+    toxic, ordinary = _distinct([t for t in toxic if t]), _distinct([t for t in ordinary if t])
+    if not toxic or not ordinary:
+        return Model(b" ", b" ", (0.0,) * 6, (1.0,) * 6, (0.0,) * 6, -2.0 if not toxic else 2.0)
+    base = _dictionary(ORDINARY_BYTES, [w for t in ordinary[::2] for w in t], 32) or b" "
+    other = ordinary[1::2] or ordinary
+    folds = min(FOLDS, len(toxic))
+    cost = [_lengths(t, base) for t in toxic]
+    plain = [w for t in other[:: max(1, len(other) // 400)] for w in t]
+    plain_cost = _lengths(plain, base)
+
+    def trained(samples: list[list[bytes]], size: int, segment: int) -> list[bytes]:
+        """For each part of the toxic texts, a dictionary of what the others gave."""
+        return [_dictionary(size, [w for i, t in enumerate(samples) if folds == 1 or i % folds != k for w in t], segment) or b" " for k in range(folds)]
+
+    dictionaries, picked = trained(toxic, FIRST_BYTES, 32), toxic
+    for _ in range(ROUNDS):
+        limits = [float(np.quantile(plain_cost - _lengths(plain, d + base), RARE)) for d in dictionaries]
+        picked = []
+        for i, t in enumerate(toxic):
+            gain = cost[i] - _lengths(t, dictionaries[i % folds] + base)
+            picked.append([t[j] for j in np.argsort(-gain, kind="stable")[:PICKED] if gain[j] > limits[i % folds]])
+        dictionaries = trained(picked, TOXIC_BYTES, 16)
+    content = _dictionary(TOXIC_BYTES, [w for t in picked for w in t], 16) or b" "
+    x = [features(cost[i] - _lengths(t, dictionaries[i % folds] + base)) for i, t in enumerate(toxic)]
+    x += [features(saved(t, dictionaries[i % folds], base)) for i, t in enumerate(other)]
+    x, y = np.array(x), np.array([1.0] * len(toxic) + [0.0] * len(other))
+    mean, scale, weights, bias = _logistic(x, y)
+    cut = _best_cut(((x - mean) / scale * weights).sum(axis=1) + bias, y)
+    return Model(content, base, tuple(mean), tuple(scale), tuple(weights), bias - cut)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
+@F.pandas_udf(ArrayType(BinaryType()))
+def _cut_up(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in texts:
+        yield pd.Series([windows(x) for x in part], dtype=object)
+
+
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from a bounded sample of labelled rows that aren't held out: ids first, then their texts.
+    """Learns from a bounded sample of labelled rows that aren't held out.
 
-    The ids with the smallest md5 are taken, TOXIC_ROWS and ORDINARY_ROWS at most; that bounds what is
-    broadcast and what the driver gets. Texts longer than LONGEST are not learned from (all are scored).
+    The ids with the smallest md5 are taken, TOXIC_ROWS and ORDINARY_ROWS at most; an id labelled both
+    ways counts as toxic. Their texts are cut into windows by Spark. Where a label's texts come to more
+    than SAMPLE_WINDOWS windows, a part of those, by hash, goes to the driver, about as many as that: this
+    bounds its memory whatever the texts' lengths. Reruns take the same rows, in any partitioning.
     """
-    usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
-    order = F.md5(F.col("doc_id").cast("string"))
+    usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = None
     for label, most in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS)):
-        part = usable.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(most)
+        part = usable.where(F.col("toxic") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
         ids = part if ids is None else ids.unionByName(part)
-    ids = ids.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
-    rows = docs.select("doc_id", "text").where(F.char_length("text") <= LONGEST).join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
-    got = rows.select("doc_id", "text", "__toxic").limit(2 * (TOXIC_ROWS + ORDINARY_ROWS)).collect()
-    return train([(r["text"], r["__toxic"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))])
+    ids = ids.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("label"))
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
+    rows = common.cut(rows.select(F.md5("text").alias("h"), "label", "text").groupBy("h", "label").agg(F.first("text").alias("text")))
+    size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.sum(F.octet_length("text") / WINDOW + 1).alias("n")).collect()}
+    found = rows.select("h", "label", F.posexplode(_cut_up("text")).alias("at", "window"))
+    share = F.lit(0.0)
+    for label, n in size.items():
+        share = F.when(F.col("label") == label, F.lit(min(1.0, SAMPLE_WINDOWS / max(n, 1.0)))).otherwise(share)
+    part = F.pmod(F.xxhash64("h", "at"), F.lit(1_000_000)) < share * 1_000_000
+    texts: dict[int, dict[str, list[tuple[int, bytes]]]] = {0: {}, 1: {}}
+    for batch in found.where(part).toArrow().to_batches():
+        for h, label, at, window in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+            texts[1 if label == 1 else 0].setdefault(h, []).append((at, window))
+    common.forget(rows)
+    ordered = {y: [[w for _, w in sorted(t[h])] for h in sorted(t)] for y, t in texts.items()}
+    return train(ordered[1], ordered[0])
 
 
 def scorer(model: Model):
     @F.pandas_udf(DoubleType())
     def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
-            yield pd.Series([score_of(features(x, model), model) for x in part], dtype="float64")
+            yield pd.Series([score_of(features(saved(windows(x), model.toxic, model.ordinary)), model) for x in part], dtype="float64")
 
     return scores
 
@@ -207,6 +230,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts are one empty window, with the score of a text without a hit. Repeated rows
     are scored row by row. Without labels of both kinds all texts get one score, on the known side.
+    Columns of ``docs`` other than doc_id and text are neither used nor returned; an empty table gives
+    an empty one.
     """
     model = learned(docs, labels)
     d = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scorer(model)("text").alias("score"))

@@ -2,7 +2,6 @@
 
 import json
 import random
-import zlib
 
 import numpy as np
 import pytest
@@ -10,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lintlake.llm import html_extract, mixing, nn_descent, quality, tool_calls, toxicity, url_filter
+from lintlake.llm import html_extract, mixing, nn_descent, quality, tool_calls, url_filter
 
 # --- 1, HTML extraction
 
@@ -54,32 +53,6 @@ def test_extract_table(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-# --- 2, toxicity
-
-
-def test_toxicity_on_held_out_rows(spark):
-    rng = random.Random(2)
-    plain = ["lorem", "ipsum", "dolor", "sit", "amet", "magna", "aliqua", "tempor", "labore", "veniam", "nostrud", "cillum", "fugiat", "mollit"]
-    bad = ["grommelt", "skrazzer", "blightwort"]
-    rows, labels = [(0, None, "x"), (1, "", "x")], [(0, 0, 0), (1, 0, 0), (None, 1, 1), (2, 1, None)]
-    for i in range(3, 900):
-        toxic = i % 6 == 0
-        words = [rng.choice(plain) + rng.choice(["", "", "ing", "s", "ed"]) for _ in range(rng.randint(20, 120))]
-        for _ in range(3 if toxic else 0):
-            words.insert(rng.randrange(len(words)), rng.choice(bad))
-        rows.append((i, " ".join(words), "x"))
-        if i % 10:
-            labels.append((i, 1, int(toxic)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
-    got = {r.doc_id: r for r in toxicity.scored(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
-    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
-    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
-    held = [i for i, r in got.items() if r.held_out and i > 2]
-    assert np.mean([got[i].predicted == (i % 6 == 0) for i in held]) > 0.93
-    none = toxicity.scored(docs.limit(3), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
-    assert [r.predicted for r in none] == [0, 0, 0]
-
-
 # --- 3, tool calls
 
 
