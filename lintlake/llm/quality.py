@@ -10,15 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .common import cut
+
 #: Rates of a text that are judged, each a whole number of thousandths.
 METRICS = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
-#: A rate is an outlier above q75 + FENCE * max(q75 - q25, least spread of the metric).
-FENCE = 3
-SPREADS = {"symbol_rate": 100, "dup_line_rate": 200, "repeat_rate": 100, "word_length": 1500}
-#: keep() also judges by the tail: q99 + FENCE * max(q75 - q25, TAIL_SPREAD), in thousandths.
-TAIL_SPREAD = 5
-#: Groups of fewer documents are judged by their language's merged sketch, smaller languages by that of all.
-LEAST_GROUP = 100
+#: A rate is an outlier above q75 + FENCE * (q75 - q25), or, where both are equal, above the REST of 100 quantile.
+FENCE, REST = 3, 98
+#: A group's sketch is its own and so many documents' worth of its language's: small groups lean on that.
+PRIOR = 100
 
 WHITE = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
@@ -125,38 +124,35 @@ def sketches(d: DataFrame) -> DataFrame:
     return d.where("not __failed").select("lang", "source", rows.alias("x")).groupBy("lang", "source", "x.metric", "x.bin").agg(F.count("*").alias("n"))
 
 
-def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Merges sketches to groups ``by`` and reads q25, q75 and q99: (by, metric, docs, q25, q75, q99)."""
-    merged = sketch.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*by, "metric")
-    upto = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    merged = merged.select(*by, "metric", "bin", "n", upto.alias("upto"), F.sum("n").over(group).alias("docs"))
-    q = lambda part, of=4: F.min(F.when(F.col("upto") * of >= F.col("docs") * part, F.col("bin")))
-    return merged.groupBy(*by, "metric").agg(F.max("docs").alias("docs"), q(1).alias("q25"), q(3).alias("q75"), q(99, 100).alias("q99"))
+def shrunk(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """Each group's sketch merged with ``prior`` documents' worth of its language's: (lang, source, metric, bin, n decimal).
+
+    Counts are scaled by the language's documents, so that they stay whole numbers and merge exactly.
+    """
+    exact = lambda c: F.col(c).cast("decimal(19,0)")
+    lang = sketch.groupBy(F.col("lang").alias("__lang"), F.col("metric").alias("__m"), "bin").agg(F.sum("n").alias("n"))
+    size = lang.groupBy("__lang", "__m").agg(F.sum("n").alias("__size"))
+    of = F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("metric") == F.col("__m"))
+    own = sketch.join(size, of).select("lang", "source", "metric", "bin", (exact("n") * exact("__size")).alias("n"))
+    groups = sketch.select("lang", "source", "metric").distinct()
+    lent = groups.join(lang, of).select("lang", "source", "metric", "bin", (exact("n") * F.lit(prior).cast("decimal(19,0)")).alias("n"))
+    return own.unionByName(lent).groupBy("lang", "source", "metric", "bin").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
 
 
-def thresholds(sketch: DataFrame, fence: int = FENCE, least_group: int = LEAST_GROUP, tails: bool = False) -> DataFrame:
+def thresholds(sketch: DataFrame) -> DataFrame:
     """One row for each (lang, source) of ``sketch``, a column of each metric: its highest accepted rate.
 
-    ``tails``: the lower of two fences. That of q75 holds where junk fills the upper tail, that of q99
-    (its bin's upper end) where nearly all documents have a rate of zero and the least spread is wide.
+    From quantiles of the group's shrunk sketch alone: the fence above its quartiles, or, where most of
+    the group has one and the same rate and the quartiles are equal, the upper end of a high quantile's bin.
     """
-    least = F.element_at(F.create_map(*[x for m in METRICS for x in (F.lit(m), F.lit(SPREADS[m]))]), F.col("metric"))
-
-    def limits(by: list[str], name: str) -> DataFrame:
-        q = quantiles(sketch, by)
-        up = F.col("q75") + F.lit(fence) * F.greatest(F.col("q75") - F.col("q25"), least)
-        if tails:
-            end = F.col("q99") + F.call_function("shiftleft", F.lit(1).cast("long"), _shift(F.col("q99"))) - 1
-            up = F.least(up, end + F.lit(fence) * F.greatest(F.col("q75") - F.col("q25"), F.lit(TAIL_SPREAD)))
-        return q.select(*[F.col(b).alias(f"__{name}_{b}") for b in by], F.col("metric").alias(f"__{name}_m"), F.col("docs").alias(f"{name}_docs"), up.alias(f"{name}_up"))
-
-    own, lang, every = limits(["lang", "source"], "own"), limits(["lang"], "lang"), limits([], "all")
-    t = own.join(lang, F.col("__own_lang").eqNullSafe(F.col("__lang_lang")) & (F.col("__own_m") == F.col("__lang_m")))
-    t = t.join(every, F.col("__own_m") == F.col("__all_m"))
-    up = F.when(F.col("own_docs") >= least_group, F.col("own_up")).when(F.col("lang_docs") >= least_group, F.col("lang_up")).otherwise(F.col("all_up"))
-    t = t.select(F.col("__own_lang").alias("__t_lang"), F.col("__own_source").alias("__t_source"), F.col("__own_m").alias("m"), up.alias("up"))
-    return t.groupBy("__t_lang", "__t_source").agg(*[F.max(F.when(F.col("m") == m, F.col("up"))).alias(f"__t_{m}") for m in METRICS])
+    group = Window.partitionBy("lang", "source", "metric")
+    upto = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    q = shrunk(sketch).select("lang", "source", "metric", "bin", upto.cast("decimal(38,0)").alias("upto"), F.sum("n").over(group).cast("decimal(38,0)").alias("docs"))
+    at = lambda part: F.min(F.when(F.col("upto") * 100 >= F.col("docs") * part, F.col("bin")))
+    q = q.groupBy("lang", "source", "metric").agg(at(25).alias("q25"), at(75).alias("q75"), at(REST).alias("rest"))
+    end = F.col("rest") + F.call_function("shiftleft", F.lit(1).cast("long"), _shift(F.col("rest"))) - 1
+    up = F.when(F.col("q75") > F.col("q25"), F.col("q75") + FENCE * (F.col("q75") - F.col("q25"))).otherwise(end)
+    return q.groupBy(F.col("lang").alias("__t_lang"), F.col("source").alias("__t_source")).agg(*[F.max(F.when(F.col("metric") == m, up)).alias(f"__t_{m}") for m in METRICS])
 
 
 def judged(d: DataFrame, limits: DataFrame) -> DataFrame:
@@ -173,37 +169,20 @@ def keep(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words and fail the base rule. A null language or source is a group
     like any other. Repeated rows count and are judged one by one; an empty table gives an empty one.
-    Stricter than scored(), whose SQL has the fence of q75 alone.
+    Texts are counted once and written beside their counts.
     """
-    from .common import cut
-
-    limits = cut(thresholds(sketches(measured(docs.select("text", "lang", "source"))), tails=True))
-    return judged(measured(docs), limits).where("__kept").select(docs.columns)
+    d = cut(measured(docs))
+    return judged(d, thresholds(sketches(d))).where("__kept").select(docs.columns)
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row of ``docs``; texts are read once."""
-    from .common import cut
-
     slim = cut(measured(docs).select("doc_id", "lang", "source", "__f", "__r", "__failed"))
     out = judged(slim, thresholds(sketches(slim)))
     return out.select("doc_id", "__f.*", F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"), "lang", "source")
 
 
 _BIN = "(({0} >> greatest(length(bin({0})) - 6, 0)) << greatest(length(bin({0})) - 6, 0))"
-_Q = "min(case when upto * 4 >= docs * {0} then b end)"
-
-
-def _limits(by: str) -> str:
-    keys = "".join(f"{k}, " for k in by.split())
-    part = f"{keys}metric"
-    return f"""
-  select {part}, max(docs) as docs, {_Q.format(3)} + 3 * greatest({_Q.format(3)} - {_Q.format(1)}, min(spread)) as up from (
-    select {keys}metric, b, spread, sum(n) over (partition by {part} order by b rows between unbounded preceding and current row) as upto,
-      sum(n) over (partition by {part}) as docs
-    from (select {keys}metric, b, spread, sum(n) as n from s group by {keys}metric, b, spread)) group by {part}"""
-
-
 ORACLE_SQL = rf"""
 with w as (select rowid_ as r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from (select row_number() over () as rowid_, text from documents)),
 d0 as (select row_number() over () as r, doc_id, text, lang, source from documents),
@@ -226,15 +205,28 @@ m as (
     case when n_words > 0 then n_repeat_words * 1000 // n_words else 0 end as repeat_rate,
     case when n_words > 0 then word_chars * 1000 // n_words else 0 end as word_length from f),
 s as (
-  select lang, source, metric, b, spread, count(*) as n from (
-    select lang, source, 'symbol_rate' as metric, 100 as spread, {_BIN.format("symbol_rate")} as b from m where not base_failed
-    union all select lang, source, 'dup_line_rate', 200, {_BIN.format("dup_line_rate")} from m where not base_failed
-    union all select lang, source, 'repeat_rate', 100, {_BIN.format("repeat_rate")} from m where not base_failed
-    union all select lang, source, 'word_length', 1500, {_BIN.format("word_length")} from m where not base_failed) group by all),
-own as ({_limits("lang source")}), la as ({_limits("lang")}), al as ({_limits("")}),
+  select lang, source, metric, b, count(*)::hugeint as n from (
+    select lang, source, 'symbol_rate' as metric, {_BIN.format("symbol_rate")} as b from m where not base_failed
+    union all select lang, source, 'dup_line_rate', {_BIN.format("dup_line_rate")} from m where not base_failed
+    union all select lang, source, 'repeat_rate', {_BIN.format("repeat_rate")} from m where not base_failed
+    union all select lang, source, 'word_length', {_BIN.format("word_length")} from m where not base_failed) group by all),
+la as (select lang, metric, b, sum(n)::hugeint as n from s group by all),
+ls as (select lang, metric, sum(n)::hugeint as size from la group by all),
+sh as (
+  select lang, source, metric, b, sum(n)::hugeint as n from (
+    select s.lang, source, s.metric, b, n * size as n from s join ls on s.lang is not distinct from ls.lang and s.metric = ls.metric
+    union all
+    select g.lang, source, g.metric, b, n * {PRIOR} from (select distinct lang, source, metric from s) g
+      join la on g.lang is not distinct from la.lang and g.metric = la.metric) group by all),
+u as (
+  select lang, source, metric, b, (sum(n) over (partition by lang, source, metric order by b rows between unbounded preceding and current row))::hugeint as upto,
+    (sum(n) over (partition by lang, source, metric))::hugeint as docs from sh),
+q as (
+  select lang, source, metric, min(case when upto * 100 >= docs * 25 then b end) as q25, min(case when upto * 100 >= docs * 75 then b end) as q75,
+    min(case when upto * 100 >= docs * {REST} then b end) as rest from u group by all),
 t as (
-  select own.lang, own.source, own.metric, case when own.docs >= 100 then own.up when la.docs >= 100 then la.up else al.up end as up
-  from own join la on own.lang is not distinct from la.lang and own.metric = la.metric join al on own.metric = al.metric),
+  select lang, source, metric, case when q75 > q25 then q75 + {FENCE} * (q75 - q25)
+    else rest + (1 << greatest(length(bin(rest)) - 6, 0)) - 1 end as up from q),
 p as (select lang, source, max(up) filter (metric = 'symbol_rate') as a, max(up) filter (metric = 'dup_line_rate') as b,
     max(up) filter (metric = 'repeat_rate') as c, max(up) filter (metric = 'word_length') as e from t group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
