@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import repeat
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-#: A partner that shares more of a page's undecided text than this is a copy; nothing is learned from it.
-COPY = 0.8
+#: Pages in a bucket of neighbouring URLs, about, and buckets at most: what the driver holds and broadcasts is bounded by them.
+PAGES, BUCKETS = 4000, 4096
+#: A partner is a copy if its unshared text has more of the page's unshared three-word runs than this; nothing is learned from it.
+COPY = 0.2
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
 _CUES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -23,12 +26,10 @@ _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video map textarea select datalist".split())
 #: Elements that are never the article: menus, footers, sidebars, forms, notices, the head.
 OUTSIDE = frozenset("head nav footer aside form button dialog menu fieldset".split())
-#: Words of class, id or role that say the same.
+#: Words of class, id or role that say that an element is a menu, header, footer, sidebar, notice, advert, form or reader comment.
 CUES = frozenset(
-    "nav navbar navigation menu header footer masthead sidebar aside complementary contentinfo ad ads advert adverts advertisement "
-    "advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal dialog overlay newsletter "
-    "subscribe subscription signup login form search comment comments commentlist respond reply replies disqus share sharing social related "
-    "recommended breadcrumb breadcrumbs pagination pager toolbar widget widgets toc skip".split()
+    "nav navbar navigation menu header banner footer contentinfo sidebar aside complementary notice cookie cookies consent ad ads advert adverts "
+    "advertisement advertisements sponsor sponsored promo newsletter form search comment comments commentlist respond".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that don't start a block of their own.
@@ -144,25 +145,50 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(lines: list[tuple[str, int]], partner: list[tuple[str, int]] | None) -> tuple[str, int]:
-    """The article, and how many lines the partner page shares.
+def _runs(lines: list[str]) -> set[tuple[str, ...]]:
+    words = " ".join(lines).split()
+    return {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
 
-    All lines of both pages are aligned by longest common subsequence. A shared line goes unless it
-    stands in an article element (a neighbour may carry the same story or the same first sentence);
-    lines that the markup calls menus and the like go in any case. If the page has an article
-    element, what stands outside of it goes too.
+
+def shared_lines(lines: list[tuple[str, int]], partner: list[tuple[str, int]] | None) -> set[int] | None:
+    """Places of lines that the partner page has too, by longest common subsequence. None: no partner, or a copy.
+
+    A copy has nothing of its own besides what is shared, or what it has is much the same: an edited
+    copy. What a page shares with its copy is its story, not boilerplate.
+    """
+    if not partner:
+        return None
+    a, b = [t for t, _ in lines], [t for t, _ in partner]
+    found, back = common_lines(a, b), common_lines(b, a)
+    own = _runs([a[i] for i in range(len(a)) if i not in found and lines[i][1]])
+    if not own:
+        return None
+    theirs = _runs([b[i] for i in range(len(b)) if i not in back])
+    return None if len(own & theirs) > COPY * len(own) else found
+
+
+def main_text(lines: list[tuple[str, int]], *partners: list[tuple[str, int]] | None) -> tuple[str, int]:
+    """The article, and how many lines go because a partner page has them. The nearest partner comes first.
+
+    A shared line is boilerplate and goes, whatever its markup, but in an article or main element. There
+    a neighbour may by chance have the same short line, so a shared line goes only in a run of lines at
+    the article's start or end that both neighbours have. Besides, lines that the markup calls menus and
+    the like go; and if the page has an article, what stands outside of it, shared or not, since adverts
+    and menus often differ from page to page.
     """
-    shared: set[int] = set()
-    if partner:
-        shared = common_lines([t for t, _ in lines], [t for t, _ in partner])
-    open_ = [i for i, (_, kind) in enumerate(lines) if kind == 1]
-    if sum(len(lines[i][0]) for i in open_ if i in shared) > COPY * sum(len(lines[i][0]) for i in open_):
-        spare = set(open_)
-    else:
-        spare = set()
-    marked = any(kind == 2 for _, kind in lines)
-    kept = [t for i, (t, kind) in enumerate(lines) if kind == 2 or (kind == 1 and not marked and (i not in shared or i in spare))]
-    return "\n".join(kept), len(shared)
+    found = [shared_lines(lines, p) for p in partners]
+    learned = [f for f in found if f is not None]
+    gone = set(i for i in (learned[0] if learned else ()) if lines[i][1] < 2)
+    inside = [i for i, (_, kind) in enumerate(lines) if kind == 2]
+    if len(learned) == 2:
+        both = learned[0] & learned[1]
+        for order in (inside, inside[::-1]):
+            for i in order:
+                if i not in both:
+                    break
+                gone.add(i)
+    kept = [t for i, (t, kind) in enumerate(lines) if i not in gone and (kind == 2 or (kind == 1 and not inside))]
+    return "\n".join(kept), len(gone)
 
 
 def _ahead(a: str, b: str) -> int:
@@ -181,34 +207,44 @@ RESULT = StructType([
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pages in the order of host and path; each meets the neighbour of its host whose path is nearest."""
+    """Pages in the order of bucket, host and path; each meets the neighbours of its host, the one with the nearest path first."""
 
     def rows():
+        """Each row once, with how often it stands there: repeated rows are one page to their neighbours."""
+        last, times = None, 0
         for batch in batches:
-            for row in zip(batch["page_id"], batch["url"], batch["html"], batch["__host"], batch["__path"], strict=True):
-                page_id, url, page, host, path = row
-                yield (None if pd.isna(page_id) else int(page_id)), url, lines_of(page), host, path
+            for row in zip(*[batch[c] for c in ("__id", "url", "html", "__host", "__path", "__to", "__own")], strict=True):
+                if row == last:
+                    times += 1
+                    continue
+                if last is not None:
+                    yield opened(last), times
+                last, times = row, 1
+        if last is not None:
+            yield opened(last), times
+
+    def opened(row):
+        page_id, url, page, host, path, to, own = row
+        return (None if page_id is None else int(page_id)), url, lines_of(page), host, path, to, own
 
     def judged(before, now, after):
-        best = None
-        for other in (after, before):
-            if other is not None and now[3] and other[3] == now[3] and (best is None or _ahead(other[4], now[4]) > _ahead(best[4], now[4])):
-                best = other
-        text, n = main_text(now[2], best[2] if best else None)
-        return now[0], now[1], text, len(text), best[0] if best else None, n
+        near = [x for x in (after, before) if x is not None and now[3] and x[3] == now[3] and x[5] == now[5]]
+        near.sort(key=lambda x: -_ahead(x[4], now[4]))
+        text, n = main_text(now[2], *[x[2] for x in near])
+        return now[0], now[1], text, len(text), near[0][0] if near else None, n
 
     def results():
-        before = now = None
-        for after in rows():
-            if now is not None:
-                yield judged(before, now, after)
-            before, now = now, after
-        if now is not None:
-            yield judged(before, now, None)
+        before, now, times = None, None, 0
+        for after, n in rows():
+            if now is not None and now[6]:
+                yield from repeat(judged(before, now, after), times)
+            before, now, times = now, after, n
+        if now is not None and now[6]:
+            yield from repeat(judged(before, now, None), times)
 
     def frame(part):
-        out = pd.DataFrame(part, columns=RESULT.names)
-        return out.astype({"page_id": "Int64", "pair_page_id": "Int64"})
+        exact = {"page_id", "pair_page_id"}  # may hold nulls, and ids that a double can't
+        return pd.DataFrame({c: pd.array(x, dtype="Int64") if c in exact else list(x) for c, x in zip(RESULT.names, zip(*part, strict=True), strict=True)})
 
     part, size = [], 0
     for x in results():
@@ -221,16 +257,52 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame(part)
 
 
+#: The place of a null id, before all others.
+NULL_ID = -(1 << 63)
+
+
+def _buckets(keys: DataFrame):
+    """A function from (host, path, id) to buckets of neighbouring URLs, cut at places of a bounded sample of the keys."""
+    n = keys.count()
+    buckets = min(BUCKETS, -(-n // PAGES))
+    cuts: list[tuple[str, str, int]] = []
+    if buckets > 1:
+        sample = keys.where(F.pmod(F.xxhash64("__host", "__path", "page_id"), F.lit(n)) < 20 * buckets)
+        found = sorted({(r["__host"], r["__path"], NULL_ID if r["page_id"] is None else r["page_id"]) for r in sample.limit(40 * buckets).collect()})
+        cuts = [found[i * len(found) // buckets] for i in range(1, buckets)] if found else []
+
+    @F.pandas_udf(IntegerType())
+    def bucket(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for hosts, paths, ids in parts:
+            yield pd.Series([bisect_right(cuts, x) for x in zip(hosts, paths, ids, strict=True)], dtype="int32")
+
+    return bucket
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, pair_page_id, n_shared for every row of ``pages`` (page_id, url, html).
 
-    Pages are range-partitioned by host, path and id, so that a host of any size is dealt to many tasks
-    and each page stands beside its nearest URL; at a partition's edge the neighbour inside is taken.
-    Null or empty html has an empty text; a page alone on its host, or without one, has no partner.
-    Repeated rows give repeated rows, an empty table none. A task holds three pages at a time.
+    Pages are dealt to buckets of neighbouring URLs, in the order of host, path and id, so that a host of
+    any size goes to many tasks. The last page of a bucket is copied to the next one and the first to the
+    one before: every page meets the pages before and after it in that order, whatever the buckets. Null
+    or empty html has an empty text; a page alone on its host, or without one, has no partner. Repeated
+    rows give repeated results, with the neighbours that one row would have; an empty table gives none. Other columns of
+    ``pages`` are left out. A task holds three pages at a time.
     """
     from .url_filter import host_of, path_of
 
-    p = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("__host"), path_of(F.col("url")).alias("__path"))
-    p = p.repartitionByRange("__host", "__path", "page_id").sortWithinPartitions("__host", "__path", "page_id")
+    named = [host_of(F.col("url")).alias("__host"), path_of(F.col("url")).alias("__path")]
+    keys = pages.select(F.col("page_id").cast("long").alias("page_id"), *named)
+    bucket = _buckets(keys)("__host", "__path", F.coalesce("page_id", F.lit(NULL_ID)))
+    key = F.struct("__host", "__path", "page_id")
+    edges = keys.withColumn("__b", bucket).groupBy("__b").agg(F.min(key).alias("__first"), F.max(key).alias("__last"))
+    order = Window.orderBy("__b")  # one row for each bucket
+    edges = edges.select("__b", "__first", "__last", F.lag("__b").over(order).alias("__before"), F.lead("__b").over(order).alias("__after"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", *named).withColumn("__b", bucket)
+    p = p.join(F.broadcast(edges), "__b")  # BUCKETS rows at most
+    to = F.array(F.col("__b"), F.when(key == F.col("__last"), F.col("__after")), F.when(key == F.col("__first"), F.col("__before")))
+    p = p.select("page_id", "url", "html", "__host", "__path", "__b", F.explode(F.array_compact(to)).alias("__to"))
+    p = p.select("page_id", "url", "html", "__host", "__path", "__to", (F.col("__b") == F.col("__to")).alias("__own"), F.col("page_id").cast("string").alias("__id"))
+    # ties: copies last, then by content, so that reruns agree
+    p = p.repartition("__to").sortWithinPartitions("__to", "__host", "__path", "page_id", F.xxhash64("url", "html"))
     return p.mapInPandas(_pairs, RESULT)
