@@ -14,51 +14,50 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, Long
 from . import common
 
 #: Neighbours that the graph keeps for each vector.
-DEGREE = 24
+DEGREE = 30
 #: Neighbours from either side that a vector introduces to each other in one round.
-INTRODUCED = 14
+INTRODUCED = 16
 #: Rounds of neighbours of neighbours; it ends earlier when under DONE of all edges are new.
-ROUNDS, DONE = 4, 0.02
+ROUNDS, DONE = 6, 0.02
 #: The first graph: in so many random partitions of about LEAF vectors each, every vector's FIRST nearest.
 TREES, LEAF, FIRST = 6, 800, 12
-#: Vectors that a search holds for each query, and its rounds.
-BEAM, HOPS = 96, 8
-#: Rows from which centre and scale are taken.
+#: Vectors that a search holds for each query, and how many of them it follows in one hop, the nearest first.
+BEAM, FOLLOWED = 224, 112
+#: Rows from which the centre of the random partitions is taken.
 SAMPLE = 4096
 
 _EDGES = ArrayType(StructType([StructField("id", LongType()), StructField("nbr", LongType()), StructField("d", FloatType())]))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding (array of double): vectors that take part, one for each id.
+    """vec_id, embedding (array of double), times: the rows that take part; equal rows are one, counted.
 
-    Null vectors, zero vectors, those with null or non-finite components, those of another than the
-    commonest length, and rows without an id take no part. Of one id's rows the smallest vector counts.
+    Null vectors, zero vectors, those with null or non-finite components, and rows without an id take no part.
     """
     x = F.col("embedding").cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     v = vectors.where("vec_id is not null and embedding is not null").where(~bad & F.exists(x, lambda v: v != 0))
-    v = v.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(x).alias("embedding"))
-    size = v.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").select("size").limit(1)
-    return v.join(F.broadcast(size), F.size("embedding") == F.col("size")).drop("size")
+    return v.groupBy(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding")).agg(F.count("*").alias("times"))
 
 
 def _packed(scale: float):
-    """Half floats after division by ``scale``: what the graph's distances are taken from."""
+    """Floats after division by ``scale``: what the graph's distances are taken from."""
 
     @F.pandas_udf(BinaryType())
     def packed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([(np.asarray(x, np.float64) / scale).astype(np.float16).tobytes() for x in part])
+            yield pd.Series([(np.asarray(x, np.float64) / scale).astype(np.float32).tobytes() for x in part])
 
     return packed
 
 
 def _matrix(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.float16).reshape(len(blobs), -1).astype(np.float32)
+    return np.frombuffer(b"".join(blobs), np.float32).reshape(len(blobs), -1).astype(np.float64)
 
 
 def _distances(x: np.ndarray) -> np.ndarray:
+    """Squares of distances, from a centre among the vectors, in doubles: near copies stay apart."""
+    x = x - x.mean(axis=0)
     norm = (x * x).sum(axis=1)
     return np.maximum(norm[:, None] + norm[None, :] - 2.0 * (x @ x.T), 0.0)
 
@@ -118,7 +117,7 @@ def _first_graph(v: DataFrame, n: int, dim: int, centre: np.ndarray) -> DataFram
     @F.pandas_udf(ArrayType(LongType()))
     def cells(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            x = _matrix(list(part)) - centre if len(part) else np.zeros((0, dim), np.float32)
+            x = _matrix(list(part)) - centre if len(part) else np.zeros((0, dim))
             codes = [((x @ p.T > 0) @ (1 << np.arange(p.shape[0]))) if bits else np.zeros(len(x), np.int64) for p in planes]
             yield pd.Series(list(np.stack(codes, axis=1).astype(np.int64))) if len(part) else pd.Series([], dtype=object)
 
@@ -168,62 +167,75 @@ def graph(v: DataFrame, n: int, dim: int, centre: np.ndarray) -> DataFrame:
 def search(v: DataFrame, g: DataFrame, queries: DataFrame) -> DataFrame:
     """(q, node): the BEAM nearest vectors that a greedy walk of the graph finds for each query (q, its own node).
 
-    A walk starts at the query's own edges, both ways. Each hop follows the edges of all vectors in the
-    beam that haven't been followed, measures what they lead to and keeps the nearest BEAM.
+    A walk starts at the query's own edges, both ways. Each hop follows the edges of the FOLLOWED nearest
+    vectors of the beam that haven't been followed, measures what they lead to and keeps the nearest
+    BEAM. It ends when all of the beam have been followed.
     """
     edges = common.cut(g.select("id", "nbr").unionByName(_best(g.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "d"), "id", [F.col("d"), F.col("nbr")], DEGREE).drop("d")).distinct())
     own = common.cut(queries.join(v, F.col("q") == F.col("id")).select("q", F.col("vec").alias("qvec")))
     beam = own.select("q", F.col("q").alias("node"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("done"))
     old: list[DataFrame] = []
-    for _ in range(HOPS):
-        follow = beam.where("not done").select("q", "node")
+    while True:
+        follow = _best(beam.where("not done"), "q", [F.col("d"), F.col("node")], FOLLOWED).select("q", "node")
         ahead = follow.join(edges, F.col("node") == F.col("id")).select("q", F.col("nbr").alias("node")).distinct()
         ahead = ahead.join(beam.select("q", "node"), ["q", "node"], "left_anti")
         ahead = ahead.join(v, F.col("node") == F.col("id")).join(own, "q")
         ahead = ahead.select("q", "node", _between("vec", "qvec").alias("d"), F.lit(False).alias("done"))
-        both = beam.withColumn("done", F.lit(True)).unionByName(ahead)
-        nxt = common.cut(_best(both, "q", [F.col("d"), F.col("node")], BEAM))
+        walked = follow.select("q", "node", F.lit(True).alias("__walked"))
+        both = beam.join(walked, ["q", "node"], "left").select("q", "node", "d", (F.col("done") | F.col("__walked").isNotNull()).alias("done"))
+        nxt = common.cut(_best(both.unionByName(ahead), "q", [F.col("d"), F.col("node")], BEAM))
         common.forget(*old)
         old, beam = [nxt], nxt
         if beam.where("not done").isEmpty():
             break
+    common.forget(edges, own)
     return beam.select("q", "node")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest vectors found for each row where ``is_query`` holds.
 
-    Equal vectors are one vector of the graph. Of a group of copies only the k + 1 smallest ids can be
-    among k nearest other rows, ties going to the smaller id, so only those are put back: nothing is
-    lost, and a group of copies of any size costs k + 1 rows. Scores are Euclidean distances of the
-    original vectors in double precision. The graph's own distances are of half floats. Centre and
-    scale come from SAMPLE rows; every vector is in the graph. See usable() for vectors that take no
-    part; queries among them have no rows. Empty tables give empty results.
+    Every usable row is a candidate for every other one of its length, also rows with one id; only
+    vectors of the same length have a distance. Equal vectors are one vector of the graph. Of a group
+    of copies only the k + 1 smallest ids can be among k nearest other rows, ties going to the smaller
+    id, so only those are put back: nothing is lost, and a group of copies of any size costs k + 1 rows.
+    A row that occurs twice is a query twice, each the other's candidate. Scores are Euclidean distances
+    of the original vectors in double precision; the graph's own are of floats. See usable() for rows
+    that take no part; queries among them have no rows. Empty tables give empty results.
     """
     u = common.cut(usable(vectors))
-    reps = u.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
-    reps = common.cut(reps)
-    members = u.join(reps, "embedding").select("vec_id", "id")
+    sizes = sorted(r["n"] for r in u.select(F.size("embedding").alias("n")).distinct().collect())
+    shape = StructType([StructField("query_id", LongType()), StructField("rank", LongType()), StructField("vec_id", LongType()), StructField("score", DoubleType())])
+    out = None
+    for dim in sizes:
+        part = _nearest_of(u if len(sizes) == 1 else u.where(F.size("embedding") == dim), dim, is_query, k)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else vectors.sparkSession.createDataFrame([], shape).withColumn("rank", F.col("rank").cast("int"))
+
+
+def _nearest_of(u: DataFrame, dim: int, is_query: Column, k: int) -> DataFrame:
+    reps = common.cut(u.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.max(F.abs(F.array_max(F.transform("embedding", lambda x: F.abs(x))))).alias("most")))
+    # an id can stand for several vectors, so nodes of the graph have numbers of their own
+    reps = common.cut(reps.select("embedding", "most", F.xxhash64("id", "embedding").alias("id")))
+    members = u.join(reps.drop("most"), "embedding").select("vec_id", "id", "times")
     queries = members.where(is_query)
-    copies = _best(members, "id", [F.col("vec_id")], k + 1)
-    sample = reps.orderBy(F.xxhash64("id")).limit(SAMPLE).select("embedding").collect()
-    if not sample:
-        shape = StructType([StructField("query_id", LongType()), StructField("rank", LongType()), StructField("vec_id", LongType()), StructField("score", DoubleType())])
-        return vectors.sparkSession.createDataFrame([], shape).withColumn("rank", F.col("rank").cast("int"))
-    x = np.array([r["embedding"] for r in sample])
-    scale = float(np.abs(x).max()) or 1.0
-    centre = (x.mean(axis=0) / scale).astype(np.float32)
+    copies = _best(members.select("id", "vec_id", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k + 1)).cast("int"))).alias("copy")), "id", [F.col("vec_id"), F.col("copy")], k + 1)
+    n, scale = reps.agg(F.count("*"), F.max("most")).first()
+    sample = np.array([r["embedding"] for r in reps.orderBy("id").limit(SAMPLE).select("embedding").collect()])
+    centre = (sample / scale).mean(axis=0)
     v = common.cut(reps.select("id", _packed(scale)("embedding").alias("vec")))
-    n = v.count()
-    g = graph(v, n, x.shape[1], centre)
-    found = search(v, g, queries.select(F.col("id").alias("q")).distinct())
-    near = queries.select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")).join(found, "q")
-    near = near.join(copies.select(F.col("id").alias("node"), "vec_id"), "node").where("vec_id != query_id")
+    g = graph(v, n, dim, centre)
+    found = common.cut(search(v, g, queries.select(F.col("id").alias("q")).distinct()))
+    common.forget(g, v)
+    near = queries.select(F.col("vec_id").alias("query_id"), F.col("id").alias("q"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn")).join(found, "q")
+    # the query's own row is its copy of number 1
+    own = (F.col("vec_id") == F.col("query_id")) & (F.col("node") == F.col("q")) & (F.col("copy") == 1)
+    near = near.join(copies.select(F.col("id").alias("node"), "vec_id", "copy"), "node").where(~own)
     vector = reps.select("id", "embedding")
     near = near.join(vector.select(F.col("id").alias("node"), F.col("embedding").alias("a")), "node")
     near = near.join(vector.select(F.col("id").alias("q"), F.col("embedding").alias("b")), "q")
     squares = F.zip_with("a", "b", lambda a, b: (a - b) * (a - b))
     score = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, y: s + y))
-    near = near.select("query_id", "vec_id", score.alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    near = near.select("query_id", "q", "turn", "vec_id", "copy", score.alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "q", "turn").orderBy("score", "vec_id", "copy"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lintlake.llm import html_extract, mixing, nn_descent, quality, tool_calls, url_filter
+from lintlake.llm import html_extract, mixing, quality, tool_calls, url_filter
 
 # --- 1, HTML extraction
 
@@ -142,38 +142,6 @@ def test_bloom_filter_has_no_false_negatives(spark):
     assert out.where("verdict = 'block'").count() == 3000
 
 
-# --- 8, nearest neighbours
-
-
-def test_neighbours_against_brute_force(spark):
-    rng = np.random.default_rng(3)
-    x = rng.standard_normal((700, 16)).astype(np.float32)
-    x[100:160] = x[100]  # a group of copies
-    rows = [(int(i), [float(a) for a in v], "q") for i, v in enumerate(x)]
-    rows += [(900, None, "q"), (1000, [0.0] * 16, "q"), (1100, [float("nan")] * 16, "q"), (1200, [None] * 16, "q"), (1300, [1.0] * 3, "q"), (None, [1.0] * 16, "q"), (0, [float(a) for a in x[0]], "q")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
-    got = {}
-    for r in nn_descent.nearest(df, F.col("vec_id") % 100 == 0).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    assert set(got) == set(range(0, 700, 100))
-    hits = 0
-    for q, found in got.items():
-        d = np.sqrt(((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(axis=1))
-        d[q] = np.inf
-        want = np.lexsort((np.arange(700), d))[:10]
-        found.sort()
-        assert [k for k, _, _ in found] == list(range(1, 11)) and all(abs(s - d[i]) < 1e-9 for _, i, s in found)
-        hits += len({i for _, i, _ in found} & set(want.tolist()))
-    assert hits >= 0.9 * 70
-    assert [i for _, i, _ in got[100]] == list(range(101, 111))
-
-
-def test_few_vectors(spark):
-    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<float>")
-    assert [(r.vec_id, r["rank"]) for r in nn_descent.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(2, 1), (1, 2)]
-    assert nn_descent.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
-
-
 # --- 9, mixing
 
 
