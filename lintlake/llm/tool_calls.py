@@ -59,6 +59,18 @@ def depths(calls: DataFrame) -> DataFrame:
     return now.select("conv", "call_id", F.when(F.col("ptr").isNull(), F.col("depth")).alias("depth"))
 
 
+def _keyed(d: DataFrame) -> DataFrame:
+    """``d``, written, with keys for conv and call_id: the value after a letter, or for a null a key that no other row has."""
+    alone = F.concat(F.lit("?"), F.monotonically_increasing_id().cast("string"), F.lit("." + d.columns[-1]))
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c), alone)
+    keyed = d.withColumn("conv", key("conv")).withColumn("call_id", key("call_id"))
+    return common.cut(keyed.withColumn("after", F.concat(F.lit("="), "after")) if "after" in d.columns else keyed)
+
+
+def _value(key: Column) -> Column:
+    return F.when(key.startswith("="), F.substring(key, 2, 1 << 30))
+
+
 def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     """One row per call, and per result without a call: status, depth, position, errors, canonical JSON.
 
@@ -68,12 +80,13 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     ``orphan`` (no call; its depth is 0). position (from 0): the conversation in topological order, by
     depth, turn and id; calls in a circle come last and have status ``circular``. ``after`` of unknown
     ids adds the error ``unknown after``. canonical: keys in order, no white space, numbers in shortest
-    form; malformed arguments stay a string. Null conv or call_id is the empty string.
+    form; malformed arguments stay a string. A row without a conv is a conversation of its own, a call or
+    result without a call_id links with none; each of them is kept, repeated ones too. Other columns are
+    not read; empty tables give an empty result.
     """
-    key = lambda d: d.withColumn("conv", F.coalesce("conv", F.lit(""))).withColumn("call_id", F.coalesce("call_id", F.lit("")))
-    c = key(calls).groupBy("conv", "call_id").agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c"))
+    c = _keyed(calls.select("conv", "turn", "call_id", "name", "arguments", "after")).groupBy("conv", "call_id").agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c"))
     c = common.cut(c.select("conv", "call_id", "c.*"))
-    r = key(results).groupBy("conv", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
+    r = _keyed(results.select("conv", "turn", "call_id", "content")).groupBy("conv", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
     r = r.select(F.col("conv").alias("rconv"), F.col("call_id").alias("rid"), F.col("r.turn").alias("rturn"), "r.content", F.lit(True).alias("has"))
     known = c.select(F.col("conv").alias("kc"), F.col("call_id").alias("kid"))
     d = depths(c.select("conv", "call_id", "after")).select(F.col("conv").alias("dc"), F.col("call_id").alias("did"), "depth")
@@ -87,8 +100,8 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     given = F.coalesce("arguments", F.lit(""))
     quoted = F.regexp_extract(F.to_json(F.struct(given.alias("x"))), r"(?s)^.{5}(.*)\}\z", 1)
     parsed = F.coalesce(F.to_json(F.try_parse_json("arguments")), quoted)
-    rest = F.to_json(F.struct(F.coalesce("call_id", "rid").alias("id"), F.col("name").alias("name"), F.col("content").alias("result")))
-    canonical = F.when(F.col("call").isNull(), rest).otherwise(F.concat(F.lit('{"arguments":'), parsed, F.lit(","), F.substring(rest, 2, 1 << 30)))
+    rest = F.to_json(F.struct(_value(F.coalesce("call_id", "rid")).alias("id"), F.col("name").alias("name"), F.col("content").alias("result")))
+    canonical = F.when(F.col("call").isNull(), rest).otherwise(F.concat(F.lit('{"arguments":'), parsed, F.when(rest == "{}", "").otherwise(","), F.substring(rest, 2, 1 << 30)))
     j = j.select(
         F.coalesce("conv", "rconv").alias("conv"), F.coalesce("call_id", "rid").alias("call_id"), status.alias("status"), "name",
         F.when(F.col("call").isNotNull(), F.col("depth")).otherwise(0).cast("long").alias("depth"),
@@ -97,7 +110,7 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     order = F.coalesce("depth", F.lit(1 << 30)) * F.lit(1 << 32) + F.shiftright(F.col("turn"), 8)
     j = j.withColumn("__d", F.coalesce("depth", F.lit(1 << 30)))
     j = common.with_running(j, ["conv"], [F.col("__d"), F.col("turn"), F.col("call_id")], F.lit(1), "position", order, "__n")
-    return j.drop("__d", "__n")
+    return j.drop("__d", "__n").withColumn("conv", _value(F.col("conv"))).withColumn("call_id", _value(F.col("call_id")))
 
 
 def traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
