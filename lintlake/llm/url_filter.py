@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (host, path, verdict) of the query's contract.
@@ -19,8 +21,10 @@ RULES = (
 )
 #: Labels of hosts whose pages the query puts on its list.
 LISTED_LABELS = ("spam-farm", "casino-win", "cheap-pills")
-#: Blocks of 256 bits in the Bloom filter. It bounds what is broadcast, whatever the list's length.
-BLOCKS = 1 << 16
+#: Listed URLs for each block of 256 bits in the Bloom filter (about one false positive in a thousand), and blocks
+#: at most: they bound what is broadcast, 40 MB, whatever the list's length. A longer list makes more false
+#: positives, which the exact join takes out.
+KEYS, BLOCKS = 16, 1 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -50,18 +54,18 @@ def rule_verdict(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return rule, verdict
 
 
-def _bits(key: Column) -> tuple[Column, list[Column]]:
+def _bits(key: Column, blocks: int) -> tuple[Column, list[Column]]:
     """A key's block and its two bits in each of the block's four 64-bit words."""
     spread = F.xxhash64(key, F.lit(1))
     bit = lambda i: F.shiftright(spread, 6 * i).bitwiseAND(63).cast("int")
     one = F.lit(1).cast("long")
     words = [F.call_function("shiftleft", one, bit(2 * j)).bitwiseOR(F.call_function("shiftleft", one, bit(2 * j + 1))) for j in range(4)]
-    return F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int"), words
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), words
 
 
-def bloom(listed: DataFrame, key: str = "canonical") -> DataFrame:
-    """Blocked Bloom filter of ``key``: a row (block, w0..w3) for each block in use, BLOCKS at most."""
-    block, words = _bits(F.col(key))
+def bloom(listed: DataFrame, blocks: int, key: str = "canonical") -> DataFrame:
+    """Blocked Bloom filter of ``key``: a row (block, w0..w3) for each block in use, ``blocks`` at most."""
+    block, words = _bits(F.col(key), blocks)
     return (
         listed.where(F.col(key).isNotNull())
         .select(block.alias("block"), *[w.alias(f"w{j}") for j, w in enumerate(words)])
@@ -75,8 +79,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
 
     A rule's verdict comes first. Of the other pages, those whose canonical URL the Bloom filter of
     ``listed`` (canonical string, repeats and nulls allowed) may hold go to an exact hash join, which
-    takes out false positives: hits block, all else is allowed. The filter is broadcast; BLOCKS bounds
-    it. Null URLs have empty host and path and are allowed. Repeated rows are judged row by row; empty
+    takes out false positives: hits block, all else is allowed. The list is written once; the filter
+    is sized by its length and broadcast; BLOCKS bounds it. Null URLs have empty host and path and are allowed. Repeated rows are judged row by row; empty
     tables give empty results.
     """
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "listed")]
@@ -84,9 +88,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     p = pages.select(*own, host.alias("host"), path.alias("path"))
     rule, verdict = rule_verdict(F.col("host"), F.col("path"), rules)
     p = p.select(*own, "host", "path", rule.alias("rule"), verdict.alias("__v"), canonical(F.col("host"), F.col("path")).alias("__c"))
-    keys = listed.where("canonical is not null").select(F.col("canonical").alias("__k")).distinct()
-    block, words = _bits(F.col("__c"))
-    blocks = bloom(keys, "__k").toDF("__block", "__w0", "__w1", "__w2", "__w3")
+    keys = common.cut(listed.where("canonical is not null").select(F.col("canonical").alias("__k")).distinct())
+    size = max(1, min(BLOCKS, -(-keys.count() // KEYS)))
+    block, words = _bits(F.col("__c"), size)
+    blocks = bloom(keys, size, "__k").toDF("__block", "__w0", "__w1", "__w2", "__w3")
     may = p.join(F.broadcast(blocks), block == F.col("__block"), "left")
     passes = F.lit(True)
     for j, w in enumerate(words):
