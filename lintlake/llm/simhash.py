@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -143,18 +143,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id.
 
-    Rows without a doc_id stay unless a row with an id has their fingerprint. Of repeated rows of one
-    doc_id one stays (that with the smallest text hash). Columns are those of ``docs``.
+    Of repeated rows of one doc_id one stays (that with the smallest text hash). Rows without a doc_id
+    go if a row with an id has their fingerprint; of those with a fingerprint that no id has, one stays
+    (likewise). Columns are those of ``docs``; an empty table gives an empty one.
     """
-    found = near_duplicates(docs)
-    gone = found.where("doc_id != component_id or (doc_id is null and component_id is not null)")
-    gone = gone.select(F.col("doc_id").alias("__gone")).where("__gone is not null").distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    prints = common.cut(docs.select("doc_id", fingerprints("text").alias("fp")))
+    found = clustered(prints.where("doc_id is not null"))
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__twice"))
     marked = left.join(twice, F.col("doc_id") == F.col("__twice"), "left")
-    from pyspark.sql import Window
 
-    order = Window.partitionBy("__twice").orderBy(F.xxhash64("text"))
-    single = marked.where("__twice is null").drop("__twice")
-    repeated = marked.where("__twice is not null").withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__twice", "__k")
-    return single.unionByName(repeated)
+    def smallest(d: DataFrame, key: str) -> DataFrame:
+        order = Window.partitionBy(key).orderBy(F.xxhash64("text"))
+        return d.withColumn("__k", F.row_number().over(order)).where("__k = 1").select(docs.columns)
+
+    single = marked.where("__twice is null").select(docs.columns)
+    repeated = smallest(marked.where("__twice is not null"), "__twice")
+    known = prints.where("doc_id is not null").select(F.col("fp").alias("__known")).distinct()
+    loose = docs.where("doc_id is null").withColumn("__fp", fingerprints("text"))
+    loose = smallest(loose.join(known, F.col("__fp") == F.col("__known"), "left_anti"), "__fp")
+    return single.unionByName(repeated).unionByName(loose)
