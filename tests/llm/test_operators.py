@@ -71,6 +71,18 @@ def test_linking(spark):
     order = [k[1] for k, r in sorted(got.items(), key=lambda x: x[1].position) if k[0]]
     assert order == ["a", "zz", "e", "b", "d", "x", "y"]
     assert all(json.loads(r.canonical) for r in got.values())
+    assert tool_calls.link(one.limit(0), two.limit(0)).count() == 0
+
+
+def test_rows_without_ids_are_kept_and_link_with_none(spark):
+    calls = [("c", 1, None, "search", "{}", None)] * 2 + [("c", 2, None, 'sea"rch\n', "{}", "a"), ("c", 3, "a", "lookup", '{"query":"x"}', None), (None, 1, "a", "lookup", "{}", "b"), (None, 1, "a", "lookup", "{}", None)]
+    results = [("c", 5, None, "r")] * 3 + [(None, 5, "a", "r"), ("c", 6, "a", "mine")]
+    one = spark.createDataFrame(calls, "conv string, turn long, call_id string, name string, arguments string, after string").withColumn("status", F.lit("clash"))
+    two = spark.createDataFrame(results, "conv string, turn long, call_id string, content string").withColumn("depth", F.lit("clash"))
+    got = tool_calls.link(one, two).collect()
+    assert sorted((r.conv or "", r.call_id or "", r.status) for r in got) == sorted([("c", "", "pending")] * 3 + [("c", "", "orphan")] * 3 + [("c", "a", "linked")] + [("", "a", "pending")] * 2 + [("", "a", "orphan")])
+    assert sorted(r.position for r in got if r.conv == "c") == list(range(7))
+    assert {r.depth for r in got if r.name == 'sea"rch\n'} == {1} and all(json.loads(r.canonical) for r in got)
 
 
 def test_long_chains_take_few_rounds(spark):
@@ -142,6 +154,18 @@ def test_bloom_filter_has_no_false_negatives(spark):
     assert out.where("verdict = 'block'").count() == 3000
 
 
+def test_false_positives_of_the_bloom_filter_are_taken_out(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "BLOCKS", 1)  # a filter so full that every URL may be listed
+    keys = spark.range(500).select(F.concat(F.lit("k"), "id", F.lit(".net/")).alias("canonical"))
+    pages = spark.range(1000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://k"), "id", F.lit(".net/")).alias("url"))
+    assert url_filter.bloom(keys, 1).select(F.bit_count("w0") + F.bit_count("w1") + F.bit_count("w2") + F.bit_count("w3")).first()[0] == 256
+    listed = keys.select(F.regexp_replace("canonical", "/$", "").alias("canonical"))
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, listed, rules=()).collect()}
+    assert got == {i: "block" if i < 500 else "allow" for i in range(1000)}
+    none = url_filter.filter_urls(pages, listed.limit(0), rules=())
+    assert none.count() == 1000 and none.where("verdict = 'block'").count() == 0
+
+
 # --- 9, mixing
 
 
