@@ -306,7 +306,10 @@ def evaluate(files: DataFrame, profiles: DataFrame, names: Iterable[str] | None
     chosen = [r for r in RULES if names is None or r.name in set(names)]
     want = {r.name for r in chosen}
     gates = profiles.select("project", "framework", "has_typescript", "uses_runes")  # Spark broadcasts it if it turns out small
-    lines = with_regions(explode_lines(files)).join(gates, "project")
+    # files are dealt before they are exploded: content moves once, without a path beside each line; the number keeps
+    # work on small files, which is heavy for its bytes, from being merged into few tasks
+    dealt = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "project", "path")
+    lines = with_regions(explode_lines(dealt)).join(gates, "project")
     if sum(n in want for n in LINE_READERS) + any(r.line for r in chosen) > 1:
         lines = written(lines)
     hits = [line_hit(r) for r in chosen if r.line] + [c for n, c in _special_line_hits().items() if n.split("/")[0] in want]

@@ -9,31 +9,22 @@ from lintlake.functions.text import quote, sql_trim
 from lintlake.operators import agentlog, deps, graph, projects, report, rules, trend
 from lintlake.operators.catalog import BY_NAME, RULES
 from lintlake.plans.registry import register
-from lintlake.plans.rule_queries import BASE_SQL, rule_sql
+from lintlake.plans.rule_queries import BASE_SQL, WHOLE_SQL, rule_sql
 from lintlake.sources import derived
 from lintlake.sources.corpus import FILES_SQL, derived_files, derived_profiles
 from lintlake.sources.tables import table
 
-#: Rules on single lines: they share one pass, and serve as findings for the queries below.
-LINE_RULES = [r.name for r in RULES if r.line] + ["no-secrets", "img-missing-alt", "click-needs-keyboard", "anchor-no-content", "no-barrel-import"]
 _SQL = rule_sql()
 _META = ", ".join(f"({quote(n)}, {quote(BY_NAME[n].category)}, {quote(BY_NAME[n].severity)})" for n in (r.name for r in RULES))
-
-
-def _with(names) -> str:
-    found = " union all ".join(f"({_SQL[n]})" for n in names)
-    return f"{BASE_SQL}, found as ({found}), meta(rule, category, severity) as (values {_META}), findings as (select * from found join meta using (rule))"
-
-
-FINDINGS_SQL = _with(LINE_RULES)
-ALL_SQL = _with([r.name for r in RULES if r.name in _SQL])
+_FOUND = " union all ".join(f"({_SQL[r.name]})" if r.name in _SQL else f"({WHOLE_SQL[r.name]})" for r in RULES)
+FINDINGS_SQL = f"{BASE_SQL}, found as ({_FOUND}), meta(rule, category, severity) as (values {_META}), findings as (select * from found join meta using (rule))"
 _PENALTY = "(case severity when 'error' then 3 else 1 end) * (case category " + " ".join(f"when {quote(k)} then {v}" for k, v in report.MULTIPLIERS.items()) + " else 10 end)"
 _RANK = "(case category " + " ".join(f"when {quote(c)} then {i + 1}" for i, c in enumerate(report.ORDER)) + " else 10 end)"
 _SCORE = "least(100, greatest(0, floor(100.0 * exp(-{0}::double / 800.0) + 0.5)))::int"
 _LABEL = "case when {0} >= 90 then 'Excellent' when {0} >= 75 then 'Good' when {0} >= 50 then 'Needs Work' when {0} >= 25 then 'Poor' else 'Critical' end"
 
 
-def _scan(spark: SparkSession, sf_dir: str, names=LINE_RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _scan(spark: SparkSession, sf_dir: str, names=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     files = derived_files(spark, sf_dir)
     profiles = derived_profiles(files)
     return files, profiles, rules.findings(rules.evaluate(files, profiles, names))
@@ -56,7 +47,7 @@ _ODD = "regexp_extract(project, '([0-9]+)$', 1)::int % 2 = 1"
 
 
 def project_scores(spark, sf_dir):
-    files, profiles, found = _scan(spark, sf_dir, [r.name for r in RULES if r.name in _SQL])
+    files, profiles, found = _scan(spark, sf_dir)
     return report.scores(found, profiles)
 
 
@@ -71,7 +62,7 @@ def _scores_sql(source: str, where: str = "true") -> str:
         case when penalty is null then 'Perfect' else {_LABEL.format(_SCORE.format("penalty"))} end as label from profiles left join pen using (project)"""
 
 
-register("project_scores", project_scores, _scores_sql(ALL_SQL))
+register("project_scores", project_scores, _scores_sql(FINDINGS_SQL))
 register("gated_scores", gated_scores, _scores_sql(FINDINGS_SQL, "project in (select project from profiles where framework_version is not null)"))
 
 _F = "project, path, rule, severity, category, line, col, message"

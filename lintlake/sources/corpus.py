@@ -150,7 +150,8 @@ def _parts(literal) -> list[tuple[str, str]]:
     out += [(_picked(k), literal(s)) for k, (place, s) in enumerate(SNIPPETS) if place == "s"]
     out.append((sv, literal("</script>")))
     out += [(f"{sv} and {_picked(k)}", literal(s)) for k, (place, s) in enumerate(SNIPPETS) if place == "t"]
-    out.append((sv, "concat('<p>', first_line, '</p>')"))
+    out.append((sv, "concat('<p>', body, '</p>')"))
+    out.append((f"not ({sv})", "concat('const notes = `', body, '`;')"))
     out += [(f"{sv} and doc_id % 13 = 2", literal("<script>")), (f"{sv} and doc_id % 13 = 2", literal("let late = 1;")), (f"{sv} and doc_id % 13 = 2", literal("</script>"))]
     out.append((f"{sv} and doc_id % 17 = 3", f"repeat(concat({literal('<i>x</i>')}, chr(10)), 320)"))
     out.append((sv, literal("<style>")))
@@ -175,9 +176,10 @@ _PATH = """case when doc_id % 10 in (0, 1, 2) then concat('src/routes/d', doc_id
 def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files made from the documents table by arithmetic: one for each document with a path.
 
-    A stand-in for a fleet of repositories; its size follows the table. Row by row, no shuffle.
+    A stand-in for a fleet of repositories: each file holds its document's whole text, in the template or
+    in a string of the script, so that files grow with the table. Row by row, no shuffle.
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("source").alias("project"), F.coalesce(F.split("text", "\n")[0], F.lit("")).alias("first_line"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("source").alias("project"), F.coalesce("text", F.lit("")).alias("body"))
     d = d.withColumn("path", F.expr(_PATH)).where("path is not null and project is not null")
     held = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     lines = F.array(*[F.when(F.expr(c), F.expr(t)) for c, t in _parts(held)])
@@ -193,7 +195,7 @@ def _content_sql() -> str:
 
 #: The same files in the oracle: common table expressions ending in ``files``.
 FILES_SQL = f"""
-derived as (select doc_id, source as project, coalesce(string_split(text, chr(10))[1], '') as first_line, {_PATH} as path from documents),
+derived as (select doc_id, source as project, coalesce(text, '') as body, {_PATH} as path from documents),
 made as (select doc_id, project, path, {_content_sql()} as content from derived where path is not null and project is not null),
 files as (select project, path, content from made where path <> 'src/routes/+error.svelte'
   union all select project, path, min_by(content, doc_id) from made where path = 'src/routes/+error.svelte' group by project, path)"""
