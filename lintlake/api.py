@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +30,7 @@ class UserRule:
     message: str
     find: FrameRule | ColumnRule
     help: str = ""
+    weight: float = 1.0
 
 
 _USER_RULES: dict[str, UserRule] = {}
@@ -54,18 +55,20 @@ class Scan:
     files: DataFrame = field(repr=False)
 
 
-def _user_findings(lines: DataFrame, profiles: DataFrame) -> list[DataFrame]:
-    out = []
-    for r in _USER_RULES.values():
+def user_findings(user_rules: Iterable[UserRule], lines: DataFrame, profiles: DataFrame) -> DataFrame | None:
+    """What rules of the caller's find on ``lines`` (with their regions); None if there are none."""
+    out = None
+    for r in user_rules:
         if callable(r.find):
             hits = r.find(lines, profiles).select("project", "path", "line", "col", "message")
         else:
             condition, col = r.find
             hits = lines.where(condition).select("project", "path", "line", col.cast("int").alias("col"), F.lit(r.message).alias("message"))
-        out.append(hits.select(
+        found = hits.select(
             "project", "path", F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), "message",
-            F.lit(r.help).alias("help"), F.col("line").cast("int").alias("line"), "col", F.lit(1.0).alias("weight"),
-        ))
+            F.lit(r.help).alias("help"), F.col("line").cast("int").alias("line"), "col", F.lit(r.weight).alias("weight"),
+        )
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -85,8 +88,8 @@ def diagnose(files: DataFrame, lint: bool | None = None, dead_code: bool | None
     source = files.where(F.col("path").rlike(r"\.(svelte|ts|js)$"))
     linted = profiles.join(switches.where("do_lint"), "project", "left_semi")
     found = rules.findings(rules.evaluate(source, linted))
-    for own in _user_findings(with_regions(explode_lines(source)).join(linted.select("project"), "project", "left_semi"), linted):
-        found = found.unionByName(own)
+    own = user_findings(_USER_RULES.values(), with_regions(explode_lines(source)).join(linted.select("project"), "project", "left_semi"), linted)
+    found = found if own is None else found.unionByName(own)
     checked = source.join(switches.where("do_dead"), "project", "left_semi")
     edges, exported = written(graph.import_edges(checked)), written(graph.exports(checked))
     dead = graph.as_findings(graph.unused_files(checked, edges), "files")
@@ -105,7 +108,7 @@ def scan(files: DataFrame, history: str, reports: str, lint: bool | None = None,
     s = diagnose(files, lint, dead_code)
     counts = report.severity_counts(s.findings, s.files)
     entry = s.scores.join(counts, "project").select(
-        "project", F.monotonically_increasing_id().alias("seq"), F.current_timestamp().alias("ts"), "score", "label", F.col("errors").cast("int").alias("errors"),
+        "project", F.unix_micros(F.current_timestamp()).alias("seq"), F.current_timestamp().alias("ts"), "score", "label", F.col("errors").cast("int").alias("errors"),
         F.col("warnings").cast("int").alias("warnings"), F.col("total").cast("int").alias("files_scanned"), F.col("affected").cast("int").alias("files_affected"),
     )
     trend.append_history(entry, history)

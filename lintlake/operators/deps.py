@@ -39,11 +39,11 @@ RISKY, PIN = ("*", "latest"), "Pin to a specific semver range"
 TABLES = {"deprecated": DEPRECATED, "incompatible": INCOMPATIBLE, "better-alternative": ALTERNATIVES}
 
 
-def flatten(manifests: DataFrame) -> DataFrame:
-    """project, name, version: peer over dev over regular dependencies, merged inside the row."""
+def flatten(manifests: DataFrame, outer: bool = False) -> DataFrame:
+    """project, name, version: peer over dev over regular dependencies, merged inside the row. outer: projects without any have a row of nulls."""
     later = lambda a, b: F.map_zip_with(a, b, lambda k, x, y: F.coalesce(y, x))
     merged = later(later(F.col("dependencies"), F.col("dev_dependencies")), F.col("peer_dependencies"))
-    return manifests.select("project", F.explode(merged).alias("name", "version"))
+    return manifests.select("project", (F.explode_outer if outer else F.explode)(merged).alias("name", "version"))
 
 
 def listed(deps: DataFrame, kind: str) -> DataFrame:
@@ -57,19 +57,31 @@ def risky(deps: DataFrame) -> DataFrame:
     return deps.where(F.col("version").isin(*RISKY)).select("project", "name", "version", F.lit("risky-version").alias("type"), F.lit(PIN).alias("message"))
 
 
+def _issues(deps: DataFrame) -> DataFrame:
+    """``deps`` with issues: an array of (type, message) of all four checks. One join, with all advisories by name."""
+    rows: dict[str, list[tuple[str, str]]] = {}
+    for kind, listed_ in TABLES.items():
+        for name, message in listed_.items():
+            rows.setdefault(name, []).append((kind, message))
+    advisories = deps.sparkSession.createDataFrame(list(rows.items()), "__name string, __listed array<struct<type:string,message:string>>")
+    risk = F.when(F.col("version").isin(*RISKY), F.array(F.struct(F.lit("risky-version").alias("type"), F.lit(PIN).alias("message"))))
+    none = F.array().cast("array<struct<type:string,message:string>>")
+    d = deps.join(F.broadcast(advisories), F.col("name") == F.col("__name"), "left")
+    return d.withColumn("issues", F.concat(F.coalesce("__listed", none), F.coalesce(risk, none))).drop("__name", "__listed")
+
+
 def audit(deps: DataFrame) -> DataFrame:
     """Issues of all four checks; a package can be in several."""
-    out = listed(deps, "deprecated")
-    for part in (listed(deps, "incompatible"), risky(deps), listed(deps, "better-alternative")):
-        out = out.unionByName(part)
-    return out
+    return _issues(deps).select("project", "name", "version", F.inline("issues"))
 
 
-def status(deps: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Per project: total dependencies, issues by type and a status."""
-    total = deps.groupBy("project").agg(F.count("*").alias("total"))
-    n = lambda kind: F.count_if(F.col("type") == kind)
-    issues = audit(deps).groupBy("project").agg(n("deprecated").alias("deprecated"), n("incompatible").alias("incompatible"), n("risky-version").alias("risky"), n("better-alternative").alias("replaceable"), F.count("*").alias("issues"))
-    d = manifests.select("project").join(total, "project", "left").join(issues, "project", "left").na.fill(0)
+def status(manifests: DataFrame) -> DataFrame:
+    """Per project: total dependencies, issues by type and a status. The manifests are read once."""
+    d = _issues(flatten(manifests, outer=True))
+    n = lambda kind: F.coalesce(F.sum(F.size(F.filter("issues", lambda x: x["type"] == kind))), F.lit(0))
+    d = d.groupBy("project").agg(
+        F.count("name").alias("total"), n("deprecated").alias("deprecated"), n("incompatible").alias("incompatible"), n("risky-version").alias("risky"),
+        n("better-alternative").alias("replaceable"), F.coalesce(F.sum(F.size("issues")), F.lit(0)).alias("issues"),
+    )
     label = F.when(F.col("issues") == 0, "Healthy").when(F.col("issues") <= 3, "Needs Attention").otherwise("Unhealthy")
     return d.withColumn("status", label)

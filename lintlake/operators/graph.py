@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.text import java
-from lintlake.sources.shared import written
+from lintlake.sources.shared import forget, written
 
 IMPORT = r"""import\s+(?:type\s+)?\{([^}]+)\}\s+from\s+['"](\.[^'"]*)['"]"""
 EXPORT = r"export\s+(?:async\s+)?(const|let|var|function|class|type|interface)\s+(\w+)"
@@ -16,11 +16,13 @@ CANDIDATES = ("", ".ts", ".js", ".svelte", "/index.ts", "/index.js")
 
 
 def _normal(path):
-    """A path without ``./``, with each ``x/../`` taken out."""
-    path = F.regexp_replace(path, r"(^|/)(\./)+", "$1")
-    for _ in range(6):
-        path = F.regexp_replace(path, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return path
+    """A path without ``.`` parts, each ``..`` taken out with the part before it; those that lead above the top stay."""
+    part = lambda done, x: (
+        F.when(x.isin(".", ""), done)
+        .when((x == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != ".."), F.slice(done, 1, F.size(done) - 1))
+        .otherwise(F.concat(done, F.array(x)))
+    )
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), part), "/")
 
 
 def import_edges(files: DataFrame) -> DataFrame:
@@ -60,19 +62,37 @@ def unused_files(files: DataFrame, edges: DataFrame) -> DataFrame:
 def unreachable_files(files: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Files that no chain of imports reaches from ``entries`` (project, path).
 
-    Breadth first: each round joins the frontier with the edges and drops what was seen. Rounds are
-    written out, so lineage stays short and cycles end.
+    Edges that leave a reached file are followed, and each round also joins the edges left to themselves,
+    so that they span twice as far as before: a chain of n files takes log n rounds. Rounds are written
+    out, so lineage stays short and cycles end; only one table of what was seen is kept.
     """
-    hops = edges.select("project", F.col("from_path").alias("path"), "to_path").distinct()
+    hops = edges.select("project", F.col("from_path").alias("path"), "to_path").where("path != to_path").distinct()
     hops = written(hops)
-    seen = frontier = written(entries.select("project", "path").distinct())
-    while not frontier.isEmpty():
-        ahead = frontier.join(hops, ["project", "path"]).select("project", F.col("to_path").alias("path")).distinct()
-        frontier = written(ahead.join(seen, ["project", "path"], "left_anti"))
-        seen = seen.unionByName(frontier)
+    seen = written(entries.select("project", "path").distinct())
+    n, before = seen.count(), -1
+    while n > before:
+        ahead = seen.join(hops, ["project", "path"]).select("project", F.col("to_path").alias("path"))
+        nxt = written(seen.unionByName(ahead).distinct())
+        before, n = n, nxt.count()
+        forget(seen)
+        seen = nxt
+        if n > before:
+            hops = _longer(hops, seen)
+    forget(hops)
     return files.select("project", "path").join(seen, ["project", "path"], "left_anti")
 
 
+def _longer(hops: DataFrame, seen: DataFrame) -> DataFrame:
+    """Hops that don't lead to a seen file, as they are; one hop more for each file, to where its first hop's first hop leads."""
+    left = hops.join(seen.withColumnRenamed("path", "to_path"), ["project", "to_path"], "left_anti")
+    first = left.groupBy("project", "path").agg(F.min("to_path").alias("to_path"))
+    step = first.select("project", F.col("path").alias("to_path"), F.col("to_path").alias("__far"))
+    jumps = left.join(step, ["project", "to_path"]).select("project", "path", F.col("__far").alias("to_path")).where("path != to_path")
+    out = written(left.select("project", "path", "to_path").unionByName(jumps).distinct())
+    forget(hops)
+    return out
+
+
 def unused_exports(exported: DataFrame, edges: DataFrame, kind: str = "value") -> DataFrame:
     used = edges.select("project", F.col("to_path").alias("path"), "symbol").distinct()
     return exported.where(F.col("kind") == kind).select("project", "path", "symbol").distinct().join(used, ["project", "path", "symbol"], "left_anti")

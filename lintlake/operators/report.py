@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintlake.sources.shared import written
+
 #: Severity weights, category multipliers in tenths, labels from each score, order of fixing.
 SEVERITY = {"error": 3, "warning": 1}
 MULTIPLIERS = {"Security": 20, "Correctness": 15, "State & Reactivity": 12, "Performance": 10, "SvelteKit": 10, "Architecture": 8, "Accessibility": 8, "Bundle Size": 7, "Dead Code": 5}
@@ -16,9 +18,10 @@ def _lookup(values: dict, key: Column, other: int) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key), F.lit(other))
 
 
-def penalty(severity: Column, category: Column) -> Column:
-    """In tenths, so that sums don't depend on their order."""
-    return (_lookup(SEVERITY, severity, 1) * _lookup(MULTIPLIERS, category, 10)).cast("long")
+def penalty(severity: Column, category: Column, weight: Column | None = None) -> Column:
+    """In tenths, or with a weight (three decimals of it count) in ten-thousandths: whole numbers, so that sums don't depend on their order."""
+    tenths = (_lookup(SEVERITY, severity, 1) * _lookup(MULTIPLIERS, category, 10)).cast("long")
+    return tenths if weight is None else tenths * F.round(F.coalesce(weight, F.lit(1.0)) * 1000).cast("long")
 
 
 def label_of(score: Column) -> Column:
@@ -34,12 +37,16 @@ def score_of(tenths: Column) -> Column:
 
 
 def scores(findings: DataFrame, projects: DataFrame) -> DataFrame:
-    """project, penalty (tenths), score, label for every project; without a finding 100 and ``Perfect``."""
-    per = findings.groupBy("project").agg(F.sum(penalty(F.col("severity"), F.col("category"))).alias("penalty"))
+    """project, penalty (whole tenths), score, label for every project; without a finding 100 and ``Perfect``.
+
+    A finding's penalty is that of its severity and category times its weight (1 where there is no such column).
+    """
+    weight = F.col("weight") if "weight" in findings.columns else F.lit(1.0)
+    per = findings.groupBy("project").agg(F.sum(penalty(F.col("severity"), F.col("category"), weight)).alias("penalty"))
     d = projects.select("project").distinct().join(per, "project", "left")
-    score = score_of(F.coalesce("penalty", F.lit(0)))
+    score = score_of(F.coalesce(F.col("penalty") / 1000, F.lit(0.0)))
     label = F.when(F.col("penalty").isNull(), "Perfect").otherwise(label_of(score))
-    return d.select("project", F.coalesce("penalty", F.lit(0)).alias("penalty"), score.alias("score"), label.alias("label"))
+    return d.select("project", F.floor(F.coalesce(F.col("penalty") / 1000, F.lit(0.0))).alias("penalty"), score.alias("score"), label.alias("label"))
 
 
 def gated(findings: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -99,22 +106,50 @@ def category_rollup(findings: DataFrame) -> DataFrame:
     return d.select("project", "category", "n", F.when(F.col("category").isNotNull(), _rank(F.col("category"))).otherwise(0).cast("int").alias("rank"))
 
 
+def ranked(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: the row's place (from 1) in its ``group`` by ``order``.
+
+    A group can hold any part of all rows: rows are range-sorted over the whole table and written, so that a
+    large group lies in many parts. Places are counted within a part; how many rows of the group the parts
+    before it have is added, from one row for each part and group.
+    """
+    keys = [o.alias(f"__o{i}") for i, o in enumerate(order)]
+    by = [F.col(f"__o{i}") for i in range(len(order))]
+    parts = rows.select("*", *keys).repartitionByRange(F.col(group), *by).withColumn("__part", F.spark_partition_id())
+    parts = written(parts)
+    counts = parts.groupBy(group, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*by))
+    placed = parts.withColumn("__in", inside).join(counts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
+    return placed.select(*rows.columns, (F.col("__in") + F.col("__before")).cast("int").alias(name))
+
+
 def grouped_report(findings: DataFrame) -> DataFrame:
-    """One row per (project, rule, message): count, and its files with their lines, sorted: ``a:1,4; b``."""
+    """One row per (project, rule, message) and file: the group's count, place and help, the file and its lines.
+
+    Places are by errors first, then by where a group is first seen in the order of path, line and
+    column; help is that of its first finding. A group's files are rows of their own, so no row grows
+    with the project; lines: the file's distinct ones above 0, as ``1,4``.
+    """
     group = ["project", "rule", "severity", "message"]
-    per = findings.groupBy(*group, "path").agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.when(F.col("line") > 0, F.col("line")))).alias("lines"))
-    text = F.when(F.size("lines") > 0, F.concat("path", F.lit(":"), F.array_join(F.transform("lines", lambda x: x.cast("string")), ","))).otherwise(F.col("path"))
-    d = per.withColumn("entry", F.struct("path", text.alias("text"))).groupBy(*group)
-    d = d.agg(F.sum("n").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("entry")), lambda e: e["text"]), "; ").alias("files"))
-    order = Window.partitionBy("project").orderBy(F.when(F.col("severity") == "error", 0).otherwise(1), "rule", "message")
-    return d.withColumn("place", F.row_number().over(order))
+    at = F.struct("path", "line", "col")
+    per = findings.groupBy(*group, "path").agg(
+        F.count("*").alias("__n"), F.min(at).alias("__at"), F.min_by("help", at).alias("__help"), F.sort_array(F.collect_set(F.when(F.col("line") > 0, F.col("line")))).alias("__lines")
+    )
+    groups = per.groupBy(*group).agg(F.sum("__n").alias("n"), F.min("__at").alias("__first"), F.min_by("__help", "__at").alias("help"))
+    groups = ranked(groups, "project", [F.when(F.col("severity") == "error", 0).otherwise(1), F.col("__first"), F.col("rule"), F.col("message")], "place")
+    lines = F.array_join(F.transform("__lines", lambda x: x.cast("string")), ",")
+    return per.join(groups, group).select(*group, "n", "help", "place", "path", lines.alias("lines"))
 
 
-def work_queue(findings: DataFrame) -> DataFrame:
+def work_queue(findings: DataFrame, only_errors: bool = False) -> DataFrame:
     """Findings of each project in the order of fixing: place, category, severity, rule, location."""
-    order = Window.partitionBy("project").orderBy(_rank(F.col("category")), "path", "line", "col", "rule", "message")
+    found = errors_only(findings) if only_errors else findings
     location = F.when(F.col("line") > 0, F.concat_ws(":", "path", "line", "col")).otherwise(F.col("path"))
-    return findings.select("project", F.row_number().over(order).alias("place"), "category", "severity", "rule", location.alias("location"))
+    order = [_rank(F.col("category")), *[F.col(c) for c in ("path", "line", "col", "rule", "message")]]
+    placed = ranked(found.select("project", "category", "severity", "rule", "path", "line", "col", "message"), "project", order, "place")
+    return placed.select("project", "place", "category", "severity", "rule", location.alias("location"))
 
 
 def gate_diff(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,10 +167,17 @@ def gate_diff(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame
     return counts, changed
 
 
+#: What a reader of reports can tell their form by.
+REPORT_VERSION = 1
+
+
 def report_json(findings: DataFrame, scored: DataFrame, files: DataFrame) -> DataFrame:
-    """project, report: one nested JSON document for each project."""
-    item = F.struct("path", "line", "col", "rule", "severity", "category", "message")
-    listed = findings.groupBy("project").agg(F.sort_array(F.collect_list(item)).alias("diagnostics"))
-    d = scored.join(severity_counts(findings, files), "project").join(listed, "project", "left")
-    document = F.struct("score", "label", F.col("total").alias("totalFiles"), F.col("affected").alias("affectedFiles"), "errors", "warnings", F.coalesce("diagnostics", F.array().cast(listed.schema["diagnostics"].dataType)).alias("diagnostics"))
-    return d.select("project", F.to_json(document).alias("report"))
+    """project, path, report: for each project one JSON document of its totals (path null), and one for each file with findings.
+
+    Files are rows of their own, so that a project of any size can be written.
+    """
+    item = F.struct("line", "col", "rule", "severity", "category", "message", "help")
+    listed = findings.groupBy("project", "path").agg(F.to_json(F.struct("path", F.sort_array(F.collect_list(item)).alias("diagnostics"))).alias("report"))
+    d = scored.join(severity_counts(findings, files), "project")
+    head = F.struct(F.lit(REPORT_VERSION).alias("version"), "score", "label", F.col("total").alias("totalFiles"), F.col("affected").alias("affectedFiles"), "errors", "warnings")
+    return d.select("project", F.lit(None).cast("string").alias("path"), F.to_json(head).alias("report")).unionByName(listed)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lintlake.sources.shared import forget, written
+
 #: Entries that are kept, and the window of a trend; thresholds and band limits of its chart.
 KEPT, WINDOW, MOST = 500, 20, 500
 STEP, GREEN, YELLOW = 10, 75, 50
@@ -34,14 +36,18 @@ def newest(history: DataFrame, n: int = KEPT) -> DataFrame:
     return history.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= n).drop("__k")
 
 
-def append_history(entries: DataFrame, path: str) -> None:
-    """Adds entries to the Parquet table at ``path``; compact_history() prunes it."""
-    entries.write.mode("append").parquet(path)
-
+def append_history(entries: DataFrame, path: str, n: int = KEPT) -> None:
+    """Adds entries to the Parquet table at ``path`` and keeps the newest ``n`` of each project.
 
-def compact_history(spark: SparkSession, path: str, to: str, n: int = KEPT) -> None:
-    """Writes the newest ``n`` entries of each project to ``to``; the table at ``path`` stays as it is."""
-    newest(spark.read.parquet(path), n).write.mode("overwrite").parquet(to)
+    The new table is complete in the shared folder before the old one is replaced.
+    """
+    spark = entries.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        entries = spark.read.schema(entries.schema).parquet(path).unionByName(entries)
+    kept = written(newest(entries, n))
+    kept.write.mode("overwrite").parquet(path)
+    forget(kept)
 
 
 def last_n(history: DataFrame, n: int | None = None) -> DataFrame:

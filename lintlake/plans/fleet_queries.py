@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake import api
 from lintlake.functions.text import quote, sql_trim
 from lintlake.operators import agentlog, deps, graph, projects, report, rules, trend
-from lintlake.operators.catalog import BY_NAME, RULES
+from lintlake.operators.lines import explode_lines, with_regions
+from lintlake.operators.catalog import BY_NAME, HELP, RULES
 from lintlake.plans.registry import register
 from lintlake.plans.rule_queries import BASE_SQL, WHOLE_SQL, rule_sql
 from lintlake.sources import derived
@@ -15,9 +19,9 @@ from lintlake.sources.corpus import FILES_SQL, derived_files, derived_profiles
 from lintlake.sources.tables import table
 
 _SQL = rule_sql()
-_META = ", ".join(f"({quote(n)}, {quote(BY_NAME[n].category)}, {quote(BY_NAME[n].severity)})" for n in (r.name for r in RULES))
+_META = ", ".join(f"({quote(n)}, {quote(BY_NAME[n].category)}, {quote(BY_NAME[n].severity)}, {quote(HELP[n])})" for n in (r.name for r in RULES))
 _FOUND = " union all ".join(f"({_SQL[r.name]})" if r.name in _SQL else f"({WHOLE_SQL[r.name]})" for r in RULES)
-FINDINGS_SQL = f"{BASE_SQL}, found as ({_FOUND}), meta(rule, category, severity) as (values {_META}), findings as (select * from found join meta using (rule))"
+FINDINGS_SQL = f"{BASE_SQL}, found as ({_FOUND}), meta(rule, category, severity, help) as (values {_META}), findings as (select * from found join meta using (rule))"
 _PENALTY = "(case severity when 'error' then 3 else 1 end) * (case category " + " ".join(f"when {quote(k)} then {v}" for k, v in report.MULTIPLIERS.items()) + " else 10 end)"
 _RANK = "(case category " + " ".join(f"when {quote(c)} then {i + 1}" for i, c in enumerate(report.ORDER)) + " else 10 end)"
 _SCORE = "least(100, greatest(0, floor(100.0 * exp(-{0}::double / 800.0) + 0.5)))::int"
@@ -105,9 +109,11 @@ register(
 )
 register(
     "grouped_report", lambda s, d: report.grouped_report(_scan(s, d)[2]),
-    f"""{FINDINGS_SQL}, per as (select project, rule, severity, message, path, count(*) as n, list_sort(list(distinct line) filter (line > 0)) as ls from findings group by all),
-    g as (select project, rule, severity, message, sum(n)::bigint as n, string_agg(path || case when len(ls) > 0 then ':' || array_to_string(ls, ',') else '' end, '; ' order by path) as files from per group by all)
-    select *, row_number() over (partition by project order by case when severity = 'error' then 0 else 1 end, rule, message)::int as place from g""",
+    f"""{FINDINGS_SQL}, per as (select project, rule, severity, message, path, count(*) as k, min({{'path': path, 'line': line, 'col': col}}) as seen, min(help) as help,
+      list_sort(list(distinct line) filter (line > 0)) as ls from findings group by project, rule, severity, message, path),
+    g as (select project, rule, severity, message, sum(k)::bigint as n, min(seen) as seen, min(help) as help from per group by project, rule, severity, message),
+    o as (select *, row_number() over (partition by project order by case when severity = 'error' then 0 else 1 end, seen.path, seen.line, seen.col, rule, message)::int as place from g)
+    select project, rule, severity, message, o.n, o.help, place, path, coalesce(array_to_string(ls, ','), '') as lines from per join o using (project, rule, severity, message)""",
 )
 register(
     "work_queue", lambda s, d: report.work_queue(_scan(s, d)[2]),
@@ -199,11 +205,13 @@ register(
     "report_json", report_json,
     f"""{FINDINGS_SQL}, pen as (select project, sum({_PENALTY})::bigint as penalty from findings group by project),
     sc as (select project, {_SCORE.format("coalesce(penalty, 0)")} as score, case when penalty is null then 'Perfect' else {_LABEL.format(_SCORE.format("penalty"))} end as label from profiles left join pen using (project)),
-    n as (select project, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, count(distinct path) as affected,
-      string_agg(to_json({{'path': path, 'line': line, 'col': col, 'rule': rule, 'severity': severity, 'category': category, 'message': message}})::varchar, ',' order by path, line, col, rule, severity, category, message) as ds from findings group by project),
+    n as (select project, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, count(distinct path) as affected from findings group by project),
+    f as (select project, path, string_agg(to_json({{'line': line, 'col': col, 'rule': rule, 'severity': severity, 'category': category, 'message': message, 'help': help}})::varchar, ','
+      order by line, col, rule, severity, category, message, help) as ds from findings group by project, path),
     t as (select project, count(*) as total from files group by project)
-    select project, '{{"score":' || score || ',"label":"' || label || '","totalFiles":' || total || ',"affectedFiles":' || coalesce(affected, 0) || ',"errors":' || coalesce(errors, 0) || ',"warnings":' || coalesce(warnings, 0) || ',"diagnostics":[' || coalesce(ds, '') || ']}}' as report
-    from sc join t using (project) left join n using (project)""",
+    select project, null::varchar as path, '{{"version":{report.REPORT_VERSION},"score":' || score || ',"label":"' || label || '","totalFiles":' || total || ',"affectedFiles":' || coalesce(affected, 0) || ',"errors":' || coalesce(errors, 0) || ',"warnings":' || coalesce(warnings, 0) || '}}' as report
+    from sc join t using (project) left join n using (project)
+    union all select project, path, '{{"path":' || to_json(path)::varchar || ',"diagnostics":[' || ds || ']}}' from f""",
 )
 
 
@@ -228,7 +236,7 @@ register("dep_alternative", lambda s, d: deps.listed(_deps(s, d), "better-altern
 register("dep_risky", lambda s, d: deps.risky(_deps(s, d)), f"with {derived.MANIFESTS_SQL} {_RISKY_SQL}")
 register("dep_audit", lambda s, d: deps.audit(_deps(s, d)), f"with {derived.MANIFESTS_SQL} {_AUDIT_SQL}")
 register(
-    "dep_status", lambda s, d: deps.status(_deps(s, d), _manifests(s, d)),
+    "dep_status", lambda s, d: deps.status(_manifests(s, d)),
     f"""with {derived.MANIFESTS_SQL}, i as ({_AUDIT_SQL}), t as (select project, count(*) as total from deps group by project),
     n as (select project, count(*) filter (type = 'deprecated') as deprecated, count(*) filter (type = 'incompatible') as incompatible, count(*) filter (type = 'risky-version') as risky,
       count(*) filter (type = 'better-alternative') as replaceable, count(*) as issues from i group by project)
@@ -289,8 +297,8 @@ register(
 
 def issue_records(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("project"), F.col("lang").alias("w"), F.concat(F.lit("f"), F.col("doc_id")).alias("file"))
-    inner = d.groupBy("project", "w").agg(F.map_from_entries(F.collect_list(F.struct("file", F.struct(F.concat(F.lit("src/"), "file").alias("path"), F.upper("file").alias("symbol"))))).alias("m"))
-    nested = inner.groupBy("project").agg(F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("records"))
+    issue = F.struct(F.concat(F.lit("src/"), "file").alias("path"), F.upper("file").alias("symbol"))
+    nested = d.where("w is not null").select("project", F.create_map("w", F.create_map("file", issue)).alias("records"))
     return graph.flatten_issues(nested, "exports")
 
 
@@ -344,3 +352,48 @@ _LOG = f"""select conv_id::varchar as session, turn::bigint as seq, {_ROLE} as k
 register("agent_log_events", lambda s, d: agentlog.events(derived.agent_lines(s, d)), _LOG)
 register("agent_log_counts", lambda s, d: agentlog.events(derived.agent_lines(s, d)).groupBy("session", "kind").agg(F.count("*").alias("n")), f"select session, kind, count(*) as n from ({_LOG}) group by session, kind")
 
+
+def all_findings(spark, sf_dir):
+    """Findings of rules and of unused code together, as a scan gives them; equal ones stay."""
+    _, _, found = _scan(spark, sf_dir)
+    dead = graph.as_findings(graph.unused_files(*_graph(spark, sf_dir)), "files")
+    return _slim(found.unionByName(dead))
+
+
+register(
+    "all_findings", all_findings,
+    f"""{FINDINGS_SQL} select {_F} from findings union all select project, path, 'files', 'warning', 'Dead Code', 0, 0, message from (
+    with {derived.IMPORTS_SQL} select project, path, 'Unused file: ' || path as message from fs where path not in (select to_path from edges where from_path <> to_path))""",
+)
+
+
+#: A rule of a user's: a condition on a line and a place in it.
+LONG_LINE = api.UserRule("long-line", "Architecture", "warning", "Line is longer than 200 characters.", (F.lit(None), F.lit(None)), weight=0.5)
+
+
+def user_rule(spark, sf_dir):
+    rule = replace(LONG_LINE, find=(F.length("text") > 200, F.lit(201)))
+    files = derived_files(spark, sf_dir)
+    found = api.user_findings([rule], with_regions(explode_lines(files)), derived_profiles(files))
+    return report.scores(found, derived_profiles(files))
+
+
+_WEIGHTED = "case when n is null then 0 else 4.0::double * n end"
+register(
+    "user_rule", user_rule,
+    f"""{BASE_SQL}, u as (select project, count(*) as n from lines where length(text) > 200 group by project)
+    select project, floor({_WEIGHTED})::bigint as penalty, {_SCORE.format(f"({_WEIGHTED})")} as score, case when n is null then 'Perfect' else {_LABEL.format(_SCORE.format(f"({_WEIGHTED})"))} end as label from profiles left join u using (project)""",
+)
+
+
+def diagnose(spark, sf_dir):
+    """A whole diagnosis, manifests included, of the derived corpus."""
+    files = derived_files(spark, sf_dir)
+    k = F.regexp_extract("project", r"(\d+)$", 1).cast("int")
+    manifest = F.concat(F.lit('{"name":"'), "project", F.lit('","dependencies":{"@sveltejs/kit":"^2.0.0"'), F.when(k != 19, F.lit(',"svelte":"^5.1.0"')).otherwise(F.lit("")), F.lit("}}"))
+    manifests = files.select("project").distinct().select("project", F.lit("package.json").alias("path"), manifest.alias("content"))
+    return _slim(api.diagnose(files.unionByName(manifests)).findings)
+
+
+# all rules over other gates, and unused exports found by patterns: tests/test_fleet.py has small cases
+register("diagnose", diagnose)
