@@ -134,9 +134,9 @@ def grouped_report(findings: DataFrame) -> DataFrame:
     """
     group = ["project", "rule", "severity", "message"]
     at = F.struct("path", "line", "col")
-    per = findings.groupBy(*group, "path").agg(
+    per = written(findings.groupBy(*group, "path").agg(
         F.count("*").alias("__n"), F.min(at).alias("__at"), F.min_by("help", at).alias("__help"), F.sort_array(F.collect_set(F.when(F.col("line") > 0, F.col("line")))).alias("__lines")
-    )
+    ))
     groups = per.groupBy(*group).agg(F.sum("__n").alias("n"), F.min("__at").alias("__first"), F.min_by("__help", "__at").alias("help"))
     groups = ranked(groups, "project", [F.when(F.col("severity") == "error", 0).otherwise(1), F.col("__first"), F.col("rule"), F.col("message")], "place")
     lines = F.array_join(F.transform("__lines", lambda x: x.cast("string")), ",")

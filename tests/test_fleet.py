@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintlake import api
+from lintlake.operators.catalog import HELP
 from lintlake.operators import agentlog, deps, graph, projects, report, rewrite, trend
 from lintlake.sources.corpus import read_corpus
 from lintlake.sources.shared import written
@@ -181,8 +182,11 @@ def test_diagnose_scan_and_rewrite(spark, tmp_path):
     scores = {r.project: (r.score, r.label) for r in s.scores.collect()}
     assert scores["old"] == (100, "Perfect") and scores["new"][0] < 100
     assert spark.read.parquet(str(tmp_path / "history")).count() == 2
-    document = json.loads(next(r.report for r in spark.read.json(str(tmp_path / "reports")).collect() if r.project == "new"))
-    assert document["totalFiles"] == 3 and len(document["diagnostics"]) == len(rules)
+    documents = [(r.path, json.loads(r.report)) for r in spark.read.json(str(tmp_path / "reports")).collect() if r.project == "new"]
+    head = next(d for path, d in documents if path is None)
+    assert head["version"] == 1 and head["totalFiles"] == 3
+    listed = [x for path, d in documents if path is not None for x in d["diagnostics"]]
+    assert len(listed) == len(rules) and all(x["help"] == HELP[x["rule"]] for x in listed if x["rule"] in HELP)
     after = written(rewrite.rewrite_corpus(files).select("project", "path", "content"))
     counts, _ = report.gate_diff(s.findings, api.diagnose(after).findings)
     row = counts.where("project = 'new'").first()
@@ -204,3 +208,49 @@ def test_names_and_tables_of_the_entry_module():
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and "project_scores" in names
     assert all(re.fullmatch(r"[a-z0-9_]+", n) for n in names)
+
+
+def test_weights_count_in_the_score(spark):
+    rows = [("a", "error", "Security", 0.5), ("b", "error", "Security", 1.0), ("c", "warning", "Dead Code", None)]
+    found = spark.createDataFrame(rows, "project string, severity string, category string, weight double")
+    got = {r.project: (r.penalty, r.score) for r in report.scores(found, found.select("project")).collect()}
+    assert got == {"a": (30, 96), "b": (60, 93), "c": (5, 99)}
+
+
+def test_places_in_a_large_group(spark):
+    rows = [("big", i * 37 % 1000) for i in range(1000)] + [("small", 2), ("small", 1), (None, 5)]
+    df = spark.createDataFrame(rows, "project string, v int").repartition(6)
+    got = report.ranked(df, "project", [F.col("v")], "place").collect()
+    assert len(got) == len(rows) and all(r.place == r.v + 1 for r in got if r.project == "big")
+    assert sorted((r.v, r.place) for r in got if r.project == "small") == [(1, 1), (2, 2)]
+
+
+def test_paths_fold_however_deep(spark):
+    deep = "/".join("abcdefghij") + "/"
+    rows = [("p", f"{deep}x.ts", f"import {{ s }} from '{'../' * 10}y';"), ("p", "y.ts", "export const s = 1;"), ("p", "z.ts", "import { s } from './a/./../y';")]
+    edges = graph.import_edges(spark.createDataFrame(rows, "project string, path string, content string")).collect()
+    assert {(r.from_path, r.to_path) for r in edges} == {(f"{deep}x.ts", "y.ts"), ("z.ts", "y.ts")}
+
+
+def test_reachability_of_chains_circles_and_branches(spark):
+    edges = [(f"c{k}", f"c{k + 1}") for k in range(40)] + [("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("c20", "t0")] + [(f"t{k // 3}", f"t{k}") for k in range(1, 30)] + [("u0", "u1"), ("u1", "c5")]
+    files = sorted({x for e in edges for x in e} | {"lone"})
+    frame = spark.createDataFrame([("p", f) for f in files], "project string, path string")
+    hops = spark.createDataFrame([("p", a, b, "s") for a, b in edges], "project string, from_path string, to_path string, symbol string")
+    for entries in (["c3"], ["r1", "c39"], ["lone"], ["c0", "r2"]):
+        seen, new = set(entries), set(entries)
+        while new:
+            new = {b for a, b in edges if a in new} - seen
+            seen |= new
+        got = {r.path for r in graph.unreachable_files(frame, hops, frame.where(F.col("path").isin(entries))).collect()}
+        assert got == set(files) - seen
+
+
+def test_history_keeps_the_newest(spark, tmp_path):
+    from lintlake.operators import trend
+
+    entry = lambda a, b: spark.range(a, b).select(F.lit("p").alias("project"), F.col("id").alias("seq"), F.timestamp_seconds("id").alias("ts"), F.lit(1).alias("score"))
+    path = str(tmp_path / "history")
+    trend.append_history(entry(0, 5), path, n=6)
+    trend.append_history(entry(5, 9), path, n=6)
+    assert sorted(r.seq for r in spark.read.parquet(path).collect()) == [3, 4, 5, 6, 7, 8]
