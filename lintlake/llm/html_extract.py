@@ -159,11 +159,14 @@ def shared_lines(lines: list[tuple[str, int]], partner: list[tuple[str, int]] |
     if not partner:
         return None
     a, b = [t for t, _ in lines], [t for t, _ in partner]
-    found, back = common_lines(a, b), common_lines(b, a)
+    found = common_lines(a, b)
+    if not found:
+        return found
     own = _runs([a[i] for i in range(len(a)) if i not in found and lines[i][1]])
     if not own:
         return None
-    theirs = _runs([b[i] for i in range(len(b)) if i not in back])
+    both = {a[i] for i in found}
+    theirs = _runs([t for t in b if t not in both])
     return None if len(own & theirs) > COPY * len(own) else found
 
 
