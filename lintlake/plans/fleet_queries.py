@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -369,15 +367,12 @@ register(
 )
 
 
-#: A rule of a user's: a condition on a line and a place in it.
-LONG_LINE = api.UserRule("long-line", "Architecture", "warning", "Line is longer than 200 characters.", (F.lit(None), F.lit(None)), weight=0.5)
-
-
 def user_rule(spark, sf_dir):
-    rule = replace(LONG_LINE, find=(F.length("text") > 200, F.lit(201)))
+    """Scores by a rule of a user's own: a condition on a line, and a place in it."""
+    rule = api.UserRule("long-line", "Architecture", "warning", "Line is longer than 200 characters.", (F.length("text") > 200, F.lit(201)), weight=0.5)
     files = derived_files(spark, sf_dir)
-    found = api.user_findings([rule], with_regions(explode_lines(files)), derived_profiles(files))
-    return report.scores(found, derived_profiles(files))
+    profiles = derived_profiles(files)
+    return report.scores(api.user_findings([rule], with_regions(explode_lines(files)), profiles), profiles)
 
 
 _WEIGHTED = "case when n is null then 0 else 4.0::double * n end"
