@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 #: Pages in a bucket of neighbouring URLs, about, and buckets at most: what the driver holds and broadcasts is bounded by them.
-PAGES, BUCKETS = 4000, 4096
+PAGES, BUCKETS = 1000, 8192
 #: A partner is a copy if its unshared text has more of the page's unshared three-word runs than this; nothing is learned from it.
 COPY = 0.2
 
@@ -265,13 +265,13 @@ NULL_ID = -(1 << 63)
 
 
 def _buckets(keys: DataFrame):
-    """A function from (host, path, id) to buckets of neighbouring URLs, cut at places of a bounded sample of the keys."""
+    """A function from (host, path, id) to buckets of neighbouring URLs, cut at places of a bounded sample of the keys; how many."""
     n = keys.count()
     buckets = min(BUCKETS, -(-n // PAGES))
     cuts: list[tuple[str, str, int]] = []
     if buckets > 1:
-        sample = keys.where(F.pmod(F.xxhash64("__host", "__path", "page_id"), F.lit(n)) < 20 * buckets)
-        found = sorted({(r["__host"], r["__path"], NULL_ID if r["page_id"] is None else r["page_id"]) for r in sample.limit(40 * buckets).collect()})
+        sample = keys.where(F.pmod(F.xxhash64("__host", "__path", "page_id"), F.lit(n)) < 8 * buckets)
+        found = sorted({(r["__host"], r["__path"], NULL_ID if r["page_id"] is None else r["page_id"]) for r in sample.limit(16 * buckets).collect()})
         cuts = [found[i * len(found) // buckets] for i in range(1, buckets)] if found else []
 
     @F.pandas_udf(IntegerType())
@@ -279,7 +279,7 @@ def _buckets(keys: DataFrame):
         for hosts, paths, ids in parts:
             yield pd.Series([bisect_right(cuts, x) for x in zip(hosts, paths, ids, strict=True)], dtype="int32")
 
-    return bucket
+    return bucket, max(buckets, 1)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -296,7 +296,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     named = [host_of(F.col("url")).alias("__host"), path_of(F.col("url")).alias("__path")]
     keys = pages.select(F.col("page_id").cast("long").alias("page_id"), *named)
-    bucket = _buckets(keys)("__host", "__path", F.coalesce("page_id", F.lit(NULL_ID)))
+    bucket, buckets = _buckets(keys)
+    bucket = bucket("__host", "__path", F.coalesce("page_id", F.lit(NULL_ID)))
     key = F.struct("__host", "__path", "page_id")
     edges = keys.withColumn("__b", bucket).groupBy("__b").agg(F.min(key).alias("__first"), F.max(key).alias("__last"))
     order = Window.orderBy("__b")  # one row for each bucket
@@ -306,6 +307,6 @@ def extract(pages: DataFrame) -> DataFrame:
     to = F.array(F.col("__b"), F.when(key == F.col("__last"), F.col("__after")), F.when(key == F.col("__first"), F.col("__before")))
     p = p.select("page_id", "url", "html", "__host", "__path", "__b", F.explode(F.array_compact(to)).alias("__to"))
     p = p.select("page_id", "url", "html", "__host", "__path", "__to", (F.col("__b") == F.col("__to")).alias("__own"), F.col("page_id").cast("string").alias("__id"))
-    # ties: copies last, then by content, so that reruns agree
-    p = p.repartition("__to").sortWithinPartitions("__to", "__host", "__path", "page_id", F.xxhash64("url", "html"))
+    # as many parts as buckets, so that tasks don't grow with the table; ties by content, so that reruns agree
+    p = p.repartition(buckets, "__to").sortWithinPartitions("__to", "__host", "__path", "page_id", F.xxhash64("url", "html"))
     return p.mapInPandas(_pairs, RESULT)
