@@ -169,10 +169,11 @@ def keep(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words and fail the base rule. A null language or source is a group
     like any other. Repeated rows count and are judged one by one; an empty table gives an empty one.
-    Texts are counted once and written beside their counts.
+    Texts are counted once and written beside their counts. The limits are written too, so that their
+    size is known before the join, and texts are not shuffled for it.
     """
     d = cut(measured(docs))
-    return judged(d, thresholds(sketches(d))).where("__kept").select(docs.columns)
+    return judged(d, cut(thresholds(sketches(d)))).where("__kept").select(docs.columns)
 
 
 def scored(docs: DataFrame) -> DataFrame:
