@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(taken: Iterable[str], *names: str) -> list[str]:
+    """Names for columns of an operator's own: like ``names``, but none of those taken, whatever their case."""
+    held = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def with_running(
     df: DataFrame, group: list[str], order: list[Column], value: Column, name: str, bucket: Column, sum_of: str
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, mixing, nn_descent, packing, quality, simhash, substring, tool_calls, toxicity, url_filter
+from . import conversation_repair, html_extract, mixing, nn_descent, packing, quality, sharding, simhash, substring, tool_calls, toxicity, url_filter
 from .common import read
 
 
@@ -54,6 +54,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.dealt(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digests(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -64,4 +72,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": quality.ORACLE_SQL,
         "op7_url_filters": url_filter.ORACLE_SQL,
         "op9_mixing_sources": mixing.ORACLE_SQL,
+        "op11_sharding": sharding.ORACLE_SQL,
+        "op12_conversation_repair": conversation_repair.ORACLE_SQL,
     }
