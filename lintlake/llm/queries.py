@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, html_extract, mixing, nn_descent, packing, quality, sharding, simhash, substring, tool_calls, toxicity, url_filter
+from . import conversation_repair, html_extract, mixing, nn_descent, packing, quality, sharding, simhash, substring, token_alignment, tool_calls, toxicity, url_filter
 from .common import read
 
 
@@ -62,6 +62,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digests(read(spark, sf_dir, "conversations"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
