@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.operators import graph, projects, report, rules, trend
-from lintlake.operators.lines import explode_lines, with_regions
 from lintlake.sources.shared import written
 
 FrameRule = Callable[[DataFrame, DataFrame], DataFrame]
@@ -87,15 +86,12 @@ def diagnose(files: DataFrame, lint: bool | None = None, dead_code: bool | None
     )
     source = files.where(F.col("path").rlike(r"\.(svelte|ts|js)$"))
     linted = profiles.join(switches.where("do_lint"), "project", "left_semi")
-    found = rules.findings(rules.evaluate(source, linted))
-    own = user_findings(_USER_RULES.values(), with_regions(explode_lines(source)).join(linted.select("project"), "project", "left_semi"), linted)
+    lines = written(rules.scan_lines(source, linted))
+    found = rules.findings(rules.evaluate(source, linted, lines=lines))
+    own = user_findings(_USER_RULES.values(), lines, linted)
     found = found if own is None else found.unionByName(own)
     checked = source.join(switches.where("do_dead"), "project", "left_semi")
-    edges, exported = written(graph.import_edges(checked)), written(graph.exports(checked))
-    dead = graph.as_findings(graph.unused_files(checked, edges), "files")
-    dead = dead.unionByName(graph.as_findings(graph.unused_exports(exported, edges), "exports"))
-    dead = dead.unionByName(graph.as_findings(graph.unused_exports(exported, edges, "type"), "types"))
-    dead = dead.unionByName(graph.as_findings(graph.duplicate_exports(exported).select("project", "path", "symbol"), "duplicates"))
+    dead = graph.dead_code(checked)
     found = report.ignore_paths(report.ignore_rules(found.unionByName(dead), configs), configs)
     if errors_only:
         found = report.errors_only(found)

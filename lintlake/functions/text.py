@@ -49,6 +49,11 @@ def java(pattern: str) -> str:
     return _translate(pattern, _BOUNDARY)
 
 
+def java_lines(pattern: str) -> str:
+    """A pattern in which ``^`` and ``$`` (but for ``[\\w$]``) stand at every line's ends: ASCII words and Java's own meaning otherwise."""
+    return pattern.replace(r"\b", _BOUNDARY)
+
+
 def re2(pattern: str) -> str:
     return _translate(pattern, r"\b")
 

@@ -148,7 +148,8 @@ def work_queue(findings: DataFrame, only_errors: bool = False) -> DataFrame:
     found = errors_only(findings) if only_errors else findings
     location = F.when(F.col("line") > 0, F.concat_ws(":", "path", "line", "col")).otherwise(F.col("path"))
     order = [_rank(F.col("category")), *[F.col(c) for c in ("path", "line", "col", "rule", "message")]]
-    placed = ranked(found.select("project", "category", "severity", "rule", "path", "line", "col", "message"), "project", order, "place")
+    found = written(found.select("project", "category", "severity", "rule", "path", "line", "col", "message"))  # ranked() reads its input twice
+    placed = ranked(found, "project", order, "place")
     return placed.select("project", "place", "category", "severity", "rule", location.alias("location"))
 
 

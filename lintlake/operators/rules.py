@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lintlake.functions.text import group, java, matches, position, trim
 from lintlake.operators.catalog import BY_NAME, RULES, Rule, catalog
@@ -221,66 +218,86 @@ def _form_action(lines: DataFrame) -> DataFrame:
     return _rows(first.where("at is not null and not checked"), "form-action-no-validation", F.col("at.line"), F.col("at.col"))
 
 
-def _error_page(files: DataFrame, profiles: DataFrame) -> DataFrame:
+def _error_page(files: DataFrame, profiles: DataFrame, evidence: DataFrame) -> DataFrame:
     layouts = files.select("project", "path").where(matches(F.col("path"), ROOT_LAYOUT)).join(profiles.where("framework = 'sveltekit'").select("project"), "project")
-    pages = files.where(F.col("path") == ERROR_PAGE).select("project")
+    pages = evidence.where(F.col("path") == ERROR_PAGE).select("project")
     return _rows(layouts.join(pages, "project", "left_anti"), "missing-error-page", F.lit(1), F.lit(1))
 
 
+#: Ways to write a variable, each a pattern whose group is its name. Names are looked ahead from, so that each is judged by itself.
+_WRITES = {
+    "set": r"(?<![A-Za-z0-9_])(\w+)(?=\s*=[^=])",
+    "changed": r"(?<![A-Za-z0-9_])(\w+)(?=\s*(?:(?:\+|-|\*|\/|%|\*\*|&|\||\^|<<|>>|>>>)=|\+\+|--|\.\s*(?:push|pop|splice|shift|unshift|sort|reverse|fill|set|delete|clear|add)\s*\(|(?:\.[\w.]+|\[[^\]]+\])\s*=[^=]))",
+    "stepped": r"(?:\.\+\+|--)(\w+)",
+}
+
+
+def _written_names(files: DataFrame) -> DataFrame:
+    """project, path, name of variables that a component writes after their declaration: an index by one pass for each way of writing."""
+    has = files.where(F.col("path").endswith(".svelte") & F.col("content").contains("$state"))
+    body = has.select("project", "path", F.array_join(F.filter(F.split("content", "\n", -1), lambda t: ~is_comment(t)), "\n").alias("body"))
+    entry = lambda is_set: lambda n: F.struct(n.alias("name"), F.lit(is_set).alias("set"))
+    named = [F.transform(F.regexp_extract_all("body", F.lit(java(p)), F.lit(1)), entry(kind == "set")) for kind, p in _WRITES.items()]
+    d = body.select("project", "path", F.explode(F.concat(*named)).alias("w")).groupBy("project", "path", "w.name").agg(F.count_if(F.col("w.set")).alias("sets"), F.count_if(~F.col("w.set")).alias("others"))
+    return d.where("sets > 1 or others > 0").select("project", "path", "name")
+
+
 def _unnecessary_state(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """A variable's name is a pattern built from data; only files that declare state are joined with their text."""
+    """Declared state whose name is not in the index of written names."""
     text = F.col("text")
     sv = lines.where(F.col("path").endswith(".svelte") & ~F.col("is_comment"))
     named = sv.where(matches(text, STATE)).select("project", "path", "line", group(text, STATE).alias("name"), position(text, STATE).alias("col"))
-    has = files.where(F.col("path").endswith(".svelte") & F.col("content").contains("$state"))
-    body = has.select("project", "path", F.array_join(F.filter(F.split("content", "\n", -1), lambda t: ~is_comment(t)), "\n").alias("body"))
-    edge, end = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-    d = named.join(body, ["project", "path"])
-    p = lambda after, before=edge: F.concat(F.lit(before), F.col("name"), F.lit(java(after)))
-    writes = F.regexp_count("body", p(r"\s*=[^=]")) > 1
-    writes = writes | F.regexp_like("body", p(r"\s*(?:\+|-|\*|\/|%|\*\*|&|\||\^|<<|>>|>>>)="))
-    writes = writes | F.regexp_like("body", p(r"\s*(?:\+\+|--)")) | F.regexp_like("body", F.concat(F.lit(r"(?:\.\+\+|--)"), F.col("name"), F.lit(end)))
-    writes = writes | F.regexp_like("body", p(r"\s*\.\s*(?:push|pop|splice|shift|unshift|sort|reverse|fill|set|delete|clear|add)\s*\("))
-    writes = writes | F.regexp_like("body", p(r"\s*(?:\.[\w.]+|\[[^\]]+\])\s*=[^=]"))
-    return _rows(d.where(~writes), "no-unnecessary-state", F.col("line"), F.col("col"), _filled("no-unnecessary-state", F.col("name")))
-
-
-_SPAN = StructType([StructField("line", IntegerType()), StructField("col", IntegerType()), StructField("block", StringType())])
-
-
-def _spans(opener: str):
-    """Each call of ``opener`` in a text: its place, and what stands in its parentheses (all but the last character of the rest if they stay open)."""
-    find, paren = re.compile(opener), re.compile(r"[()]")
-
-    @F.pandas_udf(ArrayType(_SPAN))
-    def spans(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            out = []
-            for text in texts:
-                rows = []
-                for m in find.finditer(text or ""):
-                    depth, end = 1, len(text)
-                    for x in paren.finditer(text, m.end()):
-                        depth += 1 if x[0] == "(" else -1
-                        if depth == 0:
-                            end = x.end()
-                            break
-                    newline = text.rfind("\n", 0, m.start())
-                    rows.append({"line": text.count("\n", 0, m.start()) + 1, "col": m.start() - newline, "block": text[m.end() : max(m.end(), end - 1)]})
-                out.append(rows)
-            yield pd.Series(out)
-
-    return spans
-
-
-def _span_rows(files: DataFrame, opener: str, part: str) -> DataFrame:
-    d = files.where(F.col("content").contains(part)).select("project", "path", F.explode(_spans(opener)("content")).alias("s"))
-    return d.select("project", "path", "s.line", "s.col", "s.block")
+    d = named.join(_written_names(files), ["project", "path", "name"], "left_anti")
+    return _rows(d, "no-unnecessary-state", F.col("line"), F.col("col"), _filled("no-unnecessary-state", F.col("name")))
+
+
+def calls(files: DataFrame, opener: str, part: str, has: Callable[[Column], Column]) -> DataFrame:
+    """Each call of ``opener``, a pattern that ends with its parenthesis: project, path, line, col, start, stop, inside, ahead.
+
+    start, stop: offsets of what stands in the parentheses; if they stay open, all but the last character of the
+    rest. inside: how many pieces of it have ``has``, a condition on ``piece``. ahead: the next three pieces.
+
+    A file is cut after each parenthesis; the depth is a running sum over the pieces. Parentheses of one level
+    alternate, so the one that closes is the next of its level. Both windows are on the file, so there is one shuffle; the
+    work is linear in the file's length, however many calls stay open.
+    """
+    d = files.where(F.col("content").contains(part)).select("project", "path", F.posexplode(F.split("content", r"(?<=[()])", -1)).alias("k", "piece"))
+    file, piece = Window.partitionBy("project", "path"), F.col("piece")
+    order = file.orderBy("k")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    turn = F.when(piece.endswith("("), 1).when(piece.endswith(")"), -1).otherwise(0)
+    yes = lambda text: F.when(has(text), 1).otherwise(0)
+    # of the last piece that isn't empty, a character doesn't count in calls that stay open
+    short = F.substring(piece, F.lit(1), F.greatest(F.length(piece) - 1, F.lit(0)))
+    d = d.withColumns({"turn": turn, "size": F.length(piece), "own": yes(piece), "lost": yes(piece) - yes(short), "newline": F.length(piece) - F.instr(F.reverse(piece), "\n") + 1})
+    d = d.select(
+        "project", "path", "k", "piece", "turn", "size", F.sum("turn").over(upto).alias("depth"), F.sum("size").over(upto).alias("end"), F.sum("own").over(upto).alias("seen"),
+        F.sum("size").over(file).alias("length"), (F.sum("own").over(file) - F.max_by("lost", F.when(F.col("size") > 0, F.col("k"))).over(file)).alias("all"),
+        F.coalesce(F.sum(F.regexp_count(piece, F.lit("\n"))).over(before), F.lit(0)).alias("lines"),
+        F.array(*[F.lead("piece", n).over(order) for n in (1, 2, 3)]).alias("ahead"), F.when(F.contains(piece, F.lit("\n")), F.col("newline")).alias("newline"),
+    )
+    d = d.withColumn("edge", F.coalesce(F.max(F.col("end") - F.col("size") + F.col("newline")).over(before), F.lit(0)))
+    level = F.when(F.col("turn") < 0, F.col("depth") + 1).otherwise(F.col("depth"))
+    d = d.where("turn != 0").withColumn("level", level)
+    d = d.withColumn("close", F.lead(F.struct("end", "seen")).over(Window.partitionBy("project", "path", "level").orderBy("k")))
+    tail = F.regexp_extract(piece, f"({java(opener)})\\z", 1)
+    d = d.where(F.col("turn") > 0).withColumn("tail", tail).where("tail != ''")
+    left = F.substring(piece, F.lit(1), F.col("size") - F.length("tail"))
+    at = F.col("end") - F.length("tail")
+    last = F.when(F.contains(left, F.lit("\n")), F.col("end") - F.col("size") + F.length(left) - F.instr(F.reverse(left), "\n") + 1).otherwise(F.col("edge"))
+    return d.select(
+        "project", "path", (F.col("lines") + F.regexp_count(left, F.lit("\n")) + 1).alias("line"), (at - last + 1).alias("col"), F.col("end").alias("start"),
+        F.greatest(F.col("end"), F.coalesce(F.col("close.end"), F.col("length")) - 1).alias("stop"), (F.coalesce(F.col("close.seen"), F.col("all")) - F.col("seen")).alias("inside"), "ahead",
+    )
 
 
 def _effect_for_derived(files: DataFrame) -> DataFrame:
-    d = _span_rows(files.where(F.col("path").endswith(".svelte")), EFFECT, "$effect").withColumn("body", trim(F.col("block")))
-    d = d.where(matches(F.col("body"), r"^\(\s*\)\s*=>"))
+    """Only calls that begin with an assignment in an arrow function are joined with their file's text."""
+    sv = files.where(F.col("path").endswith(".svelte"))
+    ahead = F.col("ahead")
+    begins = matches(ahead[0], r"^\s*\($") & matches(ahead[1], r"^\s*\)$") & matches(ahead[2], r"^\s*=>\s*\{?\s*\w+\s*=[^=]")
+    d = calls(sv, EFFECT, "$effect", lambda t: F.lit(False)).where(begins).join(sv.select("project", "path", "content"), ["project", "path"])
+    d = d.withColumn("body", trim(F.substring("content", F.col("start") + 1, F.col("stop") - F.col("start")))).where(matches(F.col("body"), r"^\(\s*\)\s*=>"))
     inner = trim(F.regexp_replace("body", java(r"^\(\s*\)\s*=>"), ""))
     braced = inner.startswith("{") & inner.endswith("}")
     inner = F.when(braced, trim(F.substring(inner, F.lit(2), F.greatest(F.length(inner) - 2, F.lit(0))))).otherwise(inner)
@@ -291,13 +308,26 @@ def _effect_for_derived(files: DataFrame) -> DataFrame:
 
 
 def _derived_side_effect(files: DataFrame) -> DataFrame:
-    d = _span_rows(files, DERIVED, "$derived")
-    return _rows(d.where(_any(matches(F.col("block"), p) for p in SIDE_EFFECTS)), "no-derived-side-effect", F.col("line"), F.col("col"))
+    """No side effect's pattern goes over a parenthesis but at its end, so a call has one if one of its pieces has."""
+    d = calls(files, DERIVED, "$derived", lambda t: _any(matches(t, p) for p in SIDE_EFFECTS))
+    return _rows(d.where("inside > 0"), "no-derived-side-effect", F.col("line"), F.col("col"))
+
 
+def scan_lines(files: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Lines with their regions and what rules need of their project's profile.
 
-def evaluate(files: DataFrame, profiles: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
+    Files are dealt before they are exploded: content moves once, without a path beside each line.
+    """
+    gates = profiles.select("project", "framework", "has_typescript", "uses_runes")
+    return with_regions(explode_lines(files.repartition("project", "path"))).join(gates, "project")
+
+
+def evaluate(files: DataFrame, profiles: DataFrame, names: Iterable[str] | None = None, evidence: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """Findings (project, path, rule, line, col, message) of the named rules, or of all.
 
+    ``evidence``: project, path of files that exist, if ``files`` are but some of their projects'. ``lines``:
+    scan_lines() of the same arguments, if the caller has them written.
+
     Lines are exploded and windowed once for all rules. Rules on single lines are one array
     expression, exploded; rules on whole files or projects are joins and aggregates beside it. If
     several parts need the lines, they are written once to the shared folder and read column by column.
@@ -306,12 +336,10 @@ def evaluate(files: DataFrame, profiles: DataFrame, names: Iterable[str] | None
     chosen = [r for r in RULES if names is None or r.name in set(names)]
     want = {r.name for r in chosen}
     gates = profiles.select("project", "framework", "has_typescript", "uses_runes")  # Spark broadcasts it if it turns out small
-    # files are dealt before they are exploded: content moves once, without a path beside each line; the number keeps
-    # work on small files, which is heavy for its bytes, from being merged into few tasks
-    dealt = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "project", "path")
-    lines = with_regions(explode_lines(dealt)).join(gates, "project")
-    if sum(n in want for n in LINE_READERS) + any(r.line for r in chosen) > 1:
-        lines = written(lines)
+    if lines is None:
+        lines = scan_lines(files, profiles)
+        if sum(n in want for n in LINE_READERS) + any(r.line for r in chosen) > 1:
+            lines = written(lines)
     hits = [line_hit(r) for r in chosen if r.line] + [c for n, c in _special_line_hits().items() if n.split("/")[0] in want]
     parts: list[DataFrame] = []
     if hits:
@@ -321,7 +349,7 @@ def evaluate(files: DataFrame, profiles: DataFrame, names: Iterable[str] | None
     special = {
         "no-public-env-secrets": lambda: _public_env(lines), "no-giant-component": lambda: _giant(lines), "no-deep-nesting": lambda: _nesting(lines),
         "no-multi-script": lambda: _multi_script(lines), "no-client-fetch": lambda: _client_fetch(lines), "form-action-no-validation": lambda: _form_action(lines),
-        "missing-error-page": lambda: _error_page(files, profiles), "no-unnecessary-state": lambda: _unnecessary_state(lines, known),
+        "missing-error-page": lambda: _error_page(files, profiles, files if evidence is None else evidence), "no-unnecessary-state": lambda: _unnecessary_state(lines, known),
         "no-effect-for-derived": lambda: _effect_for_derived(known), "no-derived-side-effect": lambda: _derived_side_effect(known),
     }
     parts += [make() for n, make in special.items() if n in want]

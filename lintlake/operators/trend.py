@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lintlake.sources.shared import forget, written
+from lintlake.sources.parts import PART, PartedTable, part_of, touched
 
 #: Entries that are kept, and the window of a trend; thresholds and band limits of its chart.
 KEPT, WINDOW, MOST = 500, 20, 500
@@ -36,18 +36,25 @@ def newest(history: DataFrame, n: int = KEPT) -> DataFrame:
     return history.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= n).drop("__k")
 
 
+HISTORY = "project string, seq long, ts timestamp, score int, label string, errors int, warnings int, files_scanned int, files_affected int, part int"
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """The history table at ``path``."""
+    return PartedTable(spark, path, HISTORY).read().drop(PART)
+
+
 def append_history(entries: DataFrame, path: str, n: int = KEPT) -> None:
-    """Adds entries to the Parquet table at ``path`` and keeps the newest ``n`` of each project.
+    """Adds entries to the history table at ``path`` and keeps the newest ``n`` of each project.
 
-    The new table is complete in the shared folder before the old one is replaced.
+    The table is dealt by a hash of the project: only parts that have a project of ``entries`` are read and
+    rewritten. Appending the same entries again, as after a failure, changes nothing.
     """
-    spark = entries.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        entries = spark.read.schema(entries.schema).parquet(path).unionByName(entries)
-    kept = written(newest(entries, n))
-    kept.write.mode("overwrite").parquet(path)
-    forget(kept)
+    table = PartedTable(entries.sparkSession, path, HISTORY)
+    entries = entries.withColumn(PART, part_of("project"))
+    columns = table.spark.createDataFrame([], HISTORY).columns
+    both = table.read(touched(entries)).unionByName(entries, allowMissingColumns=True).select(columns).dropDuplicates(["project", "ts", "seq"])
+    table.replace(newest(both, n))
 
 
 def last_n(history: DataFrame, n: int | None = None) -> DataFrame:

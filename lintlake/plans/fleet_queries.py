@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake import api
-from lintlake.functions.text import quote, sql_trim
+from lintlake.functions.text import quote, re2, sql_trim
 from lintlake.operators import agentlog, deps, graph, projects, report, rules, trend
 from lintlake.operators.lines import explode_lines, with_regions
 from lintlake.operators.catalog import BY_NAME, HELP, RULES
 from lintlake.plans.registry import register
 from lintlake.plans.rule_queries import BASE_SQL, WHOLE_SQL, rule_sql
 from lintlake.sources import derived
-from lintlake.sources.corpus import FILES_SQL, derived_files, derived_profiles
+from lintlake.sources.corpus import FILES_SQL, PROFILES_SQL, derived_files, derived_profiles
 from lintlake.sources.shared import written
 from lintlake.sources.tables import table
 
@@ -28,8 +28,8 @@ _LABEL = "case when {0} >= 90 then 'Excellent' when {0} >= 75 then 'Good' when {
 
 
 def _scan(spark: SparkSession, sf_dir: str, names=None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    files = derived_files(spark, sf_dir)
-    profiles = derived_profiles(files)
+    files = written(derived_files(spark, sf_dir))  # several rules read them, each its own columns
+    profiles = written(derived_profiles(files))
     return files, profiles, rules.findings(rules.evaluate(files, profiles, names))
 
 
@@ -276,22 +276,50 @@ def unreachable_files(spark, sf_dir):
     return graph.unreachable_files(files, edges, entries)
 
 
-register("import_edges", lambda s, d: _graph(s, d)[1], f"with {derived.IMPORTS_SQL} select * from edges")
-register("unused_files", lambda s, d: graph.unused_files(*_graph(s, d)), f"with {derived.IMPORTS_SQL} select project, path from fs where path not in (select to_path from edges where from_path <> to_path)")
+_IMPORTED = "path in (select to_path from edges where from_path <> to_path)"
+
+
+def _unused_sql(kind: str) -> str:
+    names = "'T' || i" if kind == "type" else "unnest(['s' || i, 'default'])"
+    return f"select project, path, symbol from (select *, {names} as symbol from fs) x where not exists (select 1 from used u where u.t = x.i and u.symbol in (x.symbol, '*'))"
+
+
+register("import_edges", lambda s, d: _graph(s, d)[1], f"with recursive {derived.IMPORTS_SQL} select project, from_path, to_path, symbol, exported_as from edges")
+register("unused_files", lambda s, d: graph.unused_files(*_graph(s, d)), f"with recursive {derived.IMPORTS_SQL} select project, path from fs where not {_IMPORTED}")
 register(
     "unreachable_files", unreachable_files,
     f"""with recursive {derived.IMPORTS_SQL}, r as (select path from fs where i % 50 = 0 union select e.to_path from r join edges e on e.from_path = r.path)
     select project, path from fs where path not in (select path from r)""",
 )
-for _kind, _letter, _name in (("value", "s", "unused_exports"), ("type", "T", "unused_types")):
-    register(
-        _name, lambda s, d, k=_kind: (lambda f, e: graph.unused_exports(graph.exports(f), e, k))(*_graph(s, d)),
-        f"with {derived.IMPORTS_SQL} select project, path, '{_letter}' || i as symbol from fs where not exists (select 1 from edges e where e.to_path = fs.path and e.symbol = '{_letter}' || fs.i)",
-    )
-register("duplicate_exports", lambda s, d: graph.duplicate_exports(graph.exports(derived.import_files(s, d))), f"with {derived.IMPORTS_SQL} select project, path, 's' || i as symbol, 2::bigint as n from fs where i % 17 = 0")
+
+
+def _used(spark, sf_dir):
+    files, edges = _graph(spark, sf_dir)
+    edges, exported = written(edges), written(graph.exports(files))
+    return exported, graph.used_symbols(edges, exported)
+
+
+for _kind, _name in (("value", "unused_exports"), ("type", "unused_types")):
+    register(_name, lambda s, d, k=_kind: graph.unused_exports(*_used(s, d), k), f"with recursive {derived.IMPORTS_SQL} {_unused_sql(_kind)}")
 register(
-    "dead_code_findings", lambda s, d: graph.as_findings(graph.unused_files(*_graph(s, d)), "files").select("project", "path", "rule", "severity", "category", "message"),
-    f"with {derived.IMPORTS_SQL} select project, path, 'files' as rule, 'warning' as severity, 'Dead Code' as category, 'Unused file: ' || path as message from fs where path not in (select to_path from edges where from_path <> to_path)",
+    "used_symbols", lambda s, d: _used(s, d)[1],
+    f"with recursive {derived.IMPORTS_SQL} select 'graph' as project, 'src/m' || t || '.ts' as path, symbol from used",
+)
+register("duplicate_exports", lambda s, d: graph.duplicate_exports(graph.exports(derived.import_files(s, d))), f"with recursive {derived.IMPORTS_SQL} select project, path, 's' || i as symbol, 2::bigint as n from fs where i % 17 = 0")
+
+
+def _dead_sql(kind: str, rows: str) -> str:
+    before, *after = graph.MESSAGES[kind].split("{}")
+    message = f"{quote(before)} || symbol" if after else quote(before)
+    return f"select project, path, '{kind}' as rule, 'warning' as severity, 'Dead Code' as category, {message} as message from ({rows})"
+
+
+_DEAD_SQL = " union all ".join(
+    [_dead_sql("files", f"select project, path from fs where not {_IMPORTED}"), _dead_sql("exports", _unused_sql("value")), _dead_sql("types", _unused_sql("type")), _dead_sql("duplicates", "select project, path, 's' || i as symbol from fs where i % 17 = 0")]
+)
+register(
+    "dead_code_findings", lambda s, d: graph.dead_code(derived.import_files(s, d)).select("project", "path", "rule", "severity", "category", "message"),
+    f"with recursive {derived.IMPORTS_SQL} {_DEAD_SQL}",
 )
 
 
@@ -356,14 +384,13 @@ register("agent_log_counts", lambda s, d: agentlog.events(derived.agent_lines(s,
 def all_findings(spark, sf_dir):
     """Findings of rules and of unused code together, as a scan gives them; equal ones stay."""
     _, _, found = _scan(spark, sf_dir)
-    dead = graph.as_findings(graph.unused_files(*_graph(spark, sf_dir)), "files")
-    return _slim(found.unionByName(dead))
+    return _slim(found.unionByName(graph.dead_code(derived.import_files(spark, sf_dir))))
 
 
 register(
     "all_findings", all_findings,
-    f"""{FINDINGS_SQL} select {_F} from findings union all select project, path, 'files', 'warning', 'Dead Code', 0, 0, message from (
-    with {derived.IMPORTS_SQL} select project, path, 'Unused file: ' || path as message from fs where path not in (select to_path from edges where from_path <> to_path))""",
+    f"""{FINDINGS_SQL} select {_F} from findings union all select project, path, rule, severity, category, 0, 0, message from (
+    with recursive {derived.IMPORTS_SQL} {_DEAD_SQL})""",
 )
 
 
@@ -392,5 +419,24 @@ def diagnose(spark, sf_dir):
     return _slim(api.diagnose(files.unionByName(manifests)).findings)
 
 
-# all rules over other gates, and unused exports found by patterns: tests/test_fleet.py has small cases
-register("diagnose", diagnose)
+def _any_of(column: str, patterns) -> str:
+    return "(" + " or ".join(f"regexp_matches({column}, {quote(p)})" for p in patterns) + ")"
+
+
+#: The manifests' projects: with a version, of one framework, without a type config; runes as the files have them.
+_DIAGNOSED = f"""
+profiles as (select project, 'sveltekit' as framework, '5.1.0' as framework_version, false as has_typescript, bool_or(ends_with(path, '.svelte') and regexp_matches(content, {quote(re2(projects.RUNES))})) as uses_runes
+  from files where regexp_extract(project, '([0-9]+)$', 1) <> '19' group by project)"""
+_EXPORTED = r"(?m)(?:^|[;}>])[ \t]*export\s+(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:const|let|var|function\s*\*?|class|enum|namespace)\s+([\w$]+)"
+_DEAD_OF_FILES = " union all ".join([
+    _dead_sql("files", "select project, path from known_files where not entry"), _dead_sql("exports", "select distinct project, path, symbol from exported where not entry"), _dead_sql("duplicates", "select project, path, symbol from exported group by project, path, symbol having count(*) > 1"),
+])
+# no module of the derived corpus imports another; only script files export, and only values
+register(
+    "diagnose", diagnose,
+    f"""{FINDINGS_SQL.replace(PROFILES_SQL, _DIAGNOSED)},
+  known_files as (select project, path, content, {_any_of("path", graph.ENTRIES)} as entry from files join (select project from profiles) using (project)),
+  code as (select project, path, entry, array_to_string(list_filter(string_split(content, chr(10)), lambda t: not regexp_matches(ltrim(t), '^(//|/?[*])')), chr(10)) as code from known_files where not ends_with(path, '.svelte')),
+  exported as (select project, path, entry, unnest(regexp_extract_all(code, {quote(_EXPORTED)}, 1)) as symbol from code)
+  select {_F} from findings union all select project, path, rule, severity, category, 0, 0, message from ({_DEAD_OF_FILES})""",
+)

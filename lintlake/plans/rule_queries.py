@@ -10,6 +10,7 @@ from lintlake.operators.catalog import BY_NAME, RULES, Rule
 from lintlake.operators.lines import LINES_SQL
 from lintlake.plans.registry import register
 from lintlake.sources.corpus import FILES_SQL, PROFILES_SQL, derived_files, derived_profiles
+from lintlake.sources.shared import written
 from lintlake.sources.tables import table
 
 _REGIONS = {"": "true", "script": "in_script = 1", "instance": "in_instance = 1", "template": "in_script = 0", "outer": "in_instance = 0", "markup": "in_script = 0 and in_style = 0", "style": "in_style = 1"}
@@ -194,7 +195,7 @@ def fetch_query() -> str:
 
 def rule_query(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        files = derived_files(spark, sf_dir)
+        files = written(derived_files(spark, sf_dir))  # rules on whole files read it once more
         return R.evaluate(files, derived_profiles(files), [name])
 
     return query

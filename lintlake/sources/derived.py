@@ -83,27 +83,40 @@ def history_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One module per document that imports others by arithmetic on its id."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"))
-    n = d.agg(F.count("*").alias("n"))
+    """One module per document, with its text, that asks for names of others by arithmetic on its id.
+
+    The first request has one of eight forms, the second names what the other module has, hands on or passes with all of a third's.
+    """
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), F.coalesce("text", F.lit("")).alias("text"))
+    n = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
     d = d.crossJoin(F.broadcast(n))  # one row: the number of documents
-    one, two = (F.col("i") * 7 + 3) % F.col("n"), (F.col("i") * 5 + 1) % F.col("n")
-    line = lambda t, names: F.concat(F.lit("import { "), *names(t), F.lit(" } from './m"), t, F.lit("';"))
+    i, one, two = F.col("i"), (F.col("i") * 7 + 3) % F.col("n"), (F.col("i") * 5 + 1) % F.col("n")
+    made = lambda form, **at: F.concat(*[at[x] if x in at else F.lit(x) for x in form])
+    forms = (
+        ("import { s", "T", ", type T", "T", " } from './m", "T", "';"), ("import d", "I", " from './m", "T", "';"), ("import * as n", "I", " from './m", "T", ".js';"), ("import './m", "T", ".ts';"),
+        ("const later = await import('./m", "T", "');"), ("export { s", "T", " as r", "I", " } from './m", "T", "';"), ("export * from './m", "T", "';"), ("export * as z", "I", " from './m", "T", "';"),
+    )
+    first = F.coalesce(*[F.when(i % 8 == k, made(form, I=i, T=one)) for k, form in enumerate(forms)])
+    asked = F.when(two % 8 == 5, F.concat(F.lit("r"), two)).when(two % 8 == 6, F.concat(F.lit("s"), (two * 7 + 3) % F.col("n"))).when(two % 8 == 7, F.concat(F.lit("z"), two)).otherwise(F.concat(F.lit("s"), two))
     lines = F.array(
-        F.when(one % 13 != 0, F.when(F.col("i") % 3 == 0, line(one, lambda t: (F.lit("s"), t, F.lit(", type T"), t))).otherwise(line(one, lambda t: (F.lit("s"), t)))),
-        F.when((F.col("i") % 4 == 0) & (two % 13 != 0), line(two, lambda t: (F.lit("s"), t))),
-        F.concat(F.lit("export const s"), "i", F.lit(" = 1;")), F.concat(F.lit("export type T"), "i", F.lit(" = number;")),
-        F.when(F.col("i") % 17 == 0, F.concat(F.lit("export { s"), "i", F.lit(" };"))),
+        F.when(one % 13 != 0, first), F.when((i % 4 == 0) & (two % 13 != 0), F.concat(F.lit("import { "), asked, F.lit(" as b } from '$lib/../m"), two, F.lit("';"))),
+        F.lit("// import { s0 } from './m0';"), F.concat(F.lit("export const s"), "i", F.lit(" = 1;")), F.concat(F.lit("export type T"), "i", F.lit(" = number;")),
+        F.concat(F.lit("export default s"), "i", F.lit(";")), F.when(i % 17 == 0, F.concat(F.lit("export { s"), "i", F.lit(" };"))), F.concat(F.lit("const notes = `"), "text", F.lit("`;")),
     )
     return d.select(F.lit("graph").alias("project"), F.concat(F.lit("src/m"), "i", F.lit(".ts")).alias("path"), F.array_join(F.array_compact(lines), "\n").alias("content"))
 
 
+#: The same graph in the oracle: hops, edges, the names that imports reach (used; needs ``with recursive``) and files.
 IMPORTS_SQL = """
 docs as (select doc_id as i, (select count(*) from documents) as n from documents),
-hops as (select i, (i * 7 + 3) % n as t, true as first_ from docs where ((i * 7 + 3) % n) % 13 <> 0
-  union all select i, (i * 5 + 1) % n, false from docs where i % 4 = 0 and ((i * 5 + 1) % n) % 13 <> 0),
-edges as (select distinct 'graph' as project, 'src/m' || i || '.ts' as from_path, 'src/m' || t || '.ts' as to_path, symbol from (
-  select i, t, 's' || t as symbol from hops union all select i, t, 'T' || t from hops where first_ and i % 3 = 0)),
+hops as (select i, (i * 7 + 3) % n as t, i % 8 as form from docs where ((i * 7 + 3) % n) % 13 <> 0),
+asks as (select i, t, symbol, null as handed from hops, (values (0, 's'), (0, 'T')) v(form, letter), lateral (select letter || t as symbol) where hops.form = v.form
+  union all select i, t, case form when 1 then 'default' when 3 then '' when 5 then 's' || t else '*' end, case form when 5 then 'r' || i when 6 then '*' when 7 then 'z' || i end from hops where form > 0
+  union all select i, t, case t % 8 when 5 then 'r' || t when 6 then 's' || (t * 7 + 3) % n when 7 then 'z' || t else 's' || t end, null from (select i, n, (i * 5 + 1) % n as t from docs where i % 4 = 0) where t % 13 <> 0),
+edges as (select distinct 'graph' as project, 'src/m' || i || '.ts' as from_path, 'src/m' || t || '.ts' as to_path, symbol, handed as exported_as, i, t from asks),
+used as (select t, symbol from edges where exported_as is null and symbol <> '' and i <> t
+  union select e.t, case when e.exported_as = '*' then u.symbol else e.symbol end from used u join edges e on e.i = u.t
+    where (e.exported_as <> '*' and u.symbol in (e.exported_as, '*')) or (e.exported_as = '*' and u.symbol not in ('default', 's' || u.t, 'T' || u.t))),
 fs as (select 'graph' as project, 'src/m' || i || '.ts' as path, i from docs)"""
 
 

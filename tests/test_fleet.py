@@ -1,7 +1,9 @@
 """Projects, reports, graphs, rewrites, streams and whole scans on small inputs."""
 
+import glob
 import json
 import math
+import os
 import random
 import re
 
@@ -12,6 +14,7 @@ from lintlake import api
 from lintlake.operators.catalog import HELP
 from lintlake.operators import agentlog, deps, graph, projects, report, rewrite, trend
 from lintlake.sources.corpus import read_corpus
+from lintlake.sources.parts import PartedTable
 from lintlake.sources.shared import written
 from lintlake.streaming import live
 
@@ -78,16 +81,53 @@ def test_manifests_and_configs(spark):
     assert sorted((r.name, r.version) for r in deps.flatten(good).collect()) == [("@sveltejs/kit", "2"), ("svelte", ">=4")]
 
 
+def graph_of(spark, texts):
+    files = spark.createDataFrame([("p", k, t) for k, t in texts.items()], FILES)
+    return files, graph.import_edges(files), graph.exports(files)
+
+
 def test_graph_with_a_cycle(spark):
     text = {"a": "import { b } from './b';\nexport const a = 1;", "b": "import { c } from './sub/c.js';\nexport const b = 1;\nexport type B = 1;", "sub/c": "import { a } from '../a';\nexport const c = 1;", "d": "import { d } from './d';\nexport const d = 1;\nexport { d };"}
-    files = spark.createDataFrame([("p", f"{k}.ts", t) for k, t in text.items()], FILES)
-    edges = graph.import_edges(files)
+    files, edges, exported = graph_of(spark, {f"{k}.ts": t for k, t in text.items()})
     assert sorted((e.from_path, e.to_path, e.symbol) for e in edges.collect()) == [("a.ts", "b.ts", "b"), ("b.ts", "sub/c.ts", "c"), ("d.ts", "d.ts", "d"), ("sub/c.ts", "a.ts", "a")]
     assert [r.path for r in graph.unused_files(files, edges).collect()] == ["d.ts"]
     entry = spark.createDataFrame([("p", "b.ts")], "project string, path string")
     assert [r.path for r in graph.unreachable_files(files, edges, entry).collect()] == ["d.ts"]
-    assert [(r.path, r.symbol) for r in graph.duplicate_exports(graph.exports(files)).collect()] == [("d.ts", "d")]
-    assert [r.symbol for r in graph.unused_exports(graph.exports(files), edges, "type").collect()] == ["B"]
+    assert [(r.path, r.symbol) for r in graph.duplicate_exports(exported).collect()] == [("d.ts", "d")]
+    used = graph.used_symbols(edges, exported)
+    assert [r.symbol for r in graph.unused_exports(exported, used, "type").collect()] == ["B"]
+    assert [(r.path, r.symbol) for r in graph.unused_exports(exported, used).collect()] == [("d.ts", "d")]
+
+
+def test_every_form_of_import_makes_an_edge(spark):
+    texts = {
+        "src/main.ts": "import Button from './Button.svelte';\nimport * as all from \"./all\";\nimport './side';\nconst x = await import('./late');\nimport first, { type Kind, two as deux } from './barrel/index.js';\nimport {\n  far,\n} from '$lib/far';\nconst y = \"import z from './dead'\";\n// import z from './dead';\n/*\n * import z from './dead';\n */",
+        "src/Button.svelte": "<script module>export const size = 1;</script>\n<script>export let title;\nimport inner from './inner';</script>", "src/all.ts": "export function f() {}\nexport enum E {}", "src/side.js": "export const s = 1;", "src/late.ts": "export default class {}",
+        "src/barrel/index.ts": "export { one as default } from './one';\nexport * from './two';\nexport * as deep from './deep';\nexport type { Kind, Lost } from './kinds';", "src/barrel/one.ts": "export const one = 1, other = 2;\nexport const uno = 1;", "src/barrel/two.ts": "export const two = 2;\nexport const never = 3;\nexport default 4;",
+        "src/barrel/deep.ts": "export const d = 1;", "src/barrel/kinds.ts": "export interface Kind {}\nexport type Lost = 1;", "src/inner/index.js": "export default 1;\nexport const { p, q: r } = o;", "src/lib/far.svelte.ts": "export * from './near';\nexport const far = 0;", "src/lib/near.ts": "export * from './far';\nexport const far = 1;\nexport const near = 2;",
+        "src/dead.ts": "export const z = 1;\nexport async function g() {}",
+    }
+    files, edges, exported = graph_of(spark, texts)
+    entries = graph.entry_files(files)
+    assert [r.path for r in entries.collect()] == ["src/main.ts"]
+    assert [r.path for r in graph.unused_files(files, edges, entries).collect()] == ["src/dead.ts"]
+    assert {r.path for r in graph.unreachable_files(files, edges, entries).collect()} == {"src/dead.ts"}
+    used = graph.used_symbols(edges, exported, entries)
+    unused = lambda kind: {(r.path.removeprefix("src/"), r.symbol) for r in graph.unused_exports(exported, used, kind).collect()}
+    assert unused("type") == {("barrel/kinds.ts", "Lost")}
+    assert unused("value") == {
+        ("Button.svelte", "size"), ("side.js", "s"), ("barrel/one.ts", "uno"), ("barrel/two.ts", "never"), ("barrel/two.ts", "default"), ("barrel/deep.ts", "d"), ("inner/index.js", "p"), ("inner/index.js", "r"),
+        ("lib/near.ts", "far"), ("lib/near.ts", "near"), ("dead.ts", "z"), ("dead.ts", "g"),
+    }
+    found = graph.dead_code(files).collect()
+    assert {r.path for r in found if r.rule == "files"} == {"src/dead.ts"} and all(r.help for r in found)
+
+
+def test_used_names_follow_re_exports_through_circles(spark):
+    texts = {"a.ts": "export * from './b';\nexport const own = 1;", "b.ts": "export * from './c';\nexport { x as y } from './a';", "c.ts": "export * from './a';\nexport const x = 1;\nexport const own = 2;\nexport const lost = 3;", "m.ts": "import { y, own } from './a';", "n.ts": "import * as ns from './t';", "t.ts": "export { lost as kept } from './c';"}
+    _, edges, exported = graph_of(spark, texts)
+    used = {(r.path, r.symbol) for r in graph.used_symbols(edges, exported).collect()}
+    assert used == {("a.ts", "y"), ("a.ts", "own"), ("b.ts", "y"), ("a.ts", "x"), ("b.ts", "x"), ("c.ts", "x"), ("t.ts", "*"), ("c.ts", "lost")}
 
 
 def test_trend_windows(spark):
@@ -181,7 +221,7 @@ def test_diagnose_scan_and_rewrite(spark, tmp_path):
     assert {r for _, r in rules} == {"no-export-let", "no-legacy-slots", "no-unsafe-html", "no-eval", "no-x", "files", "exports"}
     scores = {r.project: (r.score, r.label) for r in s.scores.collect()}
     assert scores["old"] == (100, "Perfect") and scores["new"][0] < 100
-    assert spark.read.parquet(str(tmp_path / "history")).count() == 2
+    assert trend.history(spark, str(tmp_path / "history")).count() == 2
     documents = [(r.path, json.loads(r.report)) for r in spark.read.json(str(tmp_path / "reports")).collect() if r.project == "new"]
     head = next(d for path, d in documents if path is None)
     assert head["version"] == 1 and head["totalFiles"] == 3
@@ -247,10 +287,27 @@ def test_reachability_of_chains_circles_and_branches(spark):
 
 
 def test_history_keeps_the_newest(spark, tmp_path):
-    from lintlake.operators import trend
-
     entry = lambda a, b: spark.range(a, b).select(F.lit("p").alias("project"), F.col("id").alias("seq"), F.timestamp_seconds("id").alias("ts"), F.lit(1).alias("score"))
     path = str(tmp_path / "history")
     trend.append_history(entry(0, 5), path, n=6)
     trend.append_history(entry(5, 9), path, n=6)
-    assert sorted(r.seq for r in spark.read.parquet(path).collect()) == [3, 4, 5, 6, 7, 8]
+    trend.append_history(entry(5, 9), path, n=6)  # once more, as after a failure
+    assert sorted(r.seq for r in trend.history(spark, path).collect()) == [3, 4, 5, 6, 7, 8]
+    other = entry(0, 600).withColumn("project", F.lit("q"))
+    before = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/part=*/*.parquet")}
+    trend.append_history(other, path)
+    assert {f: os.stat(f).st_mtime_ns for f in before} == before  # the other project's part is as it was
+    assert trend.history(spark, path).where("project = 'q'").agg(F.min("seq"), F.count("*")).first()[:] == (100, 500)
+
+
+def test_a_replacement_that_died_half_way_is_finished(spark, tmp_path):
+    table = PartedTable(spark, str(tmp_path / "t"), "k long, part int")
+    rows = lambda *k: spark.createDataFrame([(x, x % 3) for x in k], "k long, part int")
+    table.replace(rows(0, 1, 2))
+    rows(4, 7).write.parquet(table.pending)  # complete, but the parts aren't replaced yet
+    for f in glob.glob(f"{table.path}/part=1/*"):
+        os.remove(f)
+    assert sorted(r.k for r in table.read().collect()) == [0, 2, 4, 7] and not os.path.exists(table.pending)
+    rows(5).write.parquet(table.pending)
+    os.remove(f"{table.pending}/_SUCCESS")  # never complete: the table is as before
+    assert sorted(r.k for r in table.read([1, 2]).collect()) == [2, 4, 7]

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -145,3 +146,60 @@ def test_line_rules_share_one_shuffle_and_no_python(spark):
     profiles = spark.createDataFrame([("p", "vite", True, True)], "project string, framework string, has_typescript boolean, uses_runes boolean")
     plan = R.evaluate(df, profiles, [r.name for r in RULES if r.line])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(project") <= 3 and "Python" not in plan and "Cartesian" not in plan
+
+
+def plain_calls(text, opener):
+    """Each call's line, column and block, by walking over the text."""
+    out = []
+    for m in re.finditer(opener, text):
+        depth, end = 1, len(text)
+        for i in range(m.end(), len(text)):
+            depth += {"(": 1, ")": -1}.get(text[i], 0)
+            if depth == 0:
+                end = i + 1
+                break
+        out.append((text.count("\n", 0, m.start()) + 1, m.start() - text.rfind("\n", 0, m.start()), text[m.end() : max(m.end(), end - 1)]))
+    return sorted(out)
+
+
+def test_calls_against_a_walk(spark):
+    rng = random.Random(11)
+    parts = ["$derived(", "$derived.by (", "(", ")", "))", "\n", "x", "fetch (1)", "window.y", "console.log(", " $derived", "é", ""]
+    texts = {str(k): "".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for k in range(400)}
+    df = spark.createDataFrame([("p", k, t) for k, t in texts.items()], "project string, path string, content string")
+    has = lambda t: R._any(R.matches(t, p) for p in R.SIDE_EFFECTS)
+    got = {}
+    for r in R.calls(df, R.DERIVED, "$derived", has).collect():
+        got.setdefault(r.path, []).append((r.line, r.col, texts[r.path][r.start : r.stop], r.inside > 0))
+    effect = re.compile("|".join(R.SIDE_EFFECTS), re.ASCII)
+    for k, t in texts.items():
+        assert sorted(got.get(k, [])) == [(*c, bool(effect.search(c[2]))) for c in plain_calls(t, r"\$derived(?:\.by)?\s*\(")], t
+
+
+def test_many_open_calls_are_linear_and_need_no_python(spark):
+    many = 100_000
+    df = spark.createDataFrame([("p", "a.svelte", "$derived(" * many + "fetch("), ("p", "b.svelte", "$effect(() => x" * many)], "project string, path string, content string")
+    profiles = spark.createDataFrame([("p", "vite", True, True)], "project string, framework string, has_typescript boolean, uses_runes boolean")
+    found = R.evaluate(df, profiles, ["no-derived-side-effect", "no-effect-for-derived"])
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    start = time.time()
+    assert found.count() == 0  # the last call's parenthesis is the character that an open call leaves out
+    more = df.where("path = 'a.svelte'").withColumn("content", R.F.concat("content", R.F.lit(" ")))
+    assert R.evaluate(more, profiles, ["no-derived-side-effect"]).count() == many
+    assert time.time() - start < 120
+
+
+def test_written_names_against_patterns_for_each_name(spark):
+    rng = random.Random(13)
+    names = ["a", "b", "ab"]
+    parts = ["a", "b", "ab", "=", "==", " = 1;", "+=", "++", "--", ".++", ".push(", ".x.y = 2", "[0] =3", "\n", " ", "// ", "1", ">>>=", "a=b=ab=1 "]
+    texts = {str(k): "let a = $state(1);" + "".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for k in range(500)}
+    df = spark.createDataFrame([("p", f"{k}.svelte", t) for k, t in texts.items()], "project string, path string, content string")
+    got = {(r.path[:-7], r.name) for r in R._written_names(df).collect()}
+    for k, t in texts.items():
+        body = "\n".join(x for x in t.split("\n") if not x.lstrip().startswith(("//", "*", "/*")))
+        for n in names:
+            w = rf"(?<!\w){n}\s*"
+            tests = [w + r"(?:\+|-|\*|\/|%|\*\*|&|\||\^|<<|>>|>>>)=", w + r"(?:\+\+|--)", rf"(?:\.\+\+|--){n}(?!\w)", w + r"\.\s*push\s*\(", w + r"(?:\.[\w.]+|\[[^\]]+\])\s*=[^=]"]
+            want = len(re.findall(w + r"=[^=]", body)) > 1 or any(re.search(p, body) for p in tests)
+            assert ((k, n) in got) == want, (t, n)
