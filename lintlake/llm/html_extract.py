@@ -18,19 +18,27 @@ PAGES, BUCKETS = 1000, 8192
 #: A partner is a copy if its unshared text has more of the page's unshared three-word runs than this; nothing is learned from it.
 COPY = 0.2
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+#: Comments, declarations, tags, and tags whose quotes don't close, which end at the next bracket.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>""", re.DOTALL
+)
 _CUES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 
-#: Elements whose content is no text, up to their end tag.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video map textarea select datalist".split())
+#: Elements whose content isn't even markup, up to their end tag.
+RAW = frozenset("script style textarea iframe".split())
+#: Elements inside a paragraph whose content is no text of it.
+SILENT = frozenset("noscript template object svg math canvas audio video map select datalist".split()) | RAW
 #: Elements that are never the article: menus, footers, sidebars, forms, notices, the head.
 OUTSIDE = frozenset("head nav footer aside form button dialog menu fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id or role that say that an element is a menu, header, footer, sidebar, notice, advert, form or reader comment.
 CUES = frozenset(
     "nav navbar navigation menu header banner footer contentinfo sidebar aside complementary notice cookie cookies consent ad ads advert adverts "
     "advertisement advertisements sponsor sponsored promo newsletter form search comment comments commentlist respond".split()
 )
+#: Whole class words that say so of an element inside a paragraph.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored promo".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that don't start a block of their own.
 INLINE = frozenset(
@@ -40,76 +48,123 @@ INLINE = frozenset(
 
 
 def _outside(name: str, attributes: str, in_article: bool) -> bool:
-    if name in OUTSIDE or (name == "header" and not in_article):
+    """Whether an element is no part of the article, by its name and attributes.
+
+    Words of class, id or role count by their parts (``site-nav``), but for elements inside a paragraph, where
+    they tell of what a word is rather than of a place: only a whole word for adverts counts there. An article's
+    headings and headers are its own.
+    """
+    if name in OUTSIDE or name in SILENT or (name == "header" and not in_article):
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
-    for m in _CUES.finditer(attributes):
-        if any(w in CUES for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())):
-            return True
+    if not (in_article and name in HEADINGS):
+        for m in _CUES.finditer(attributes):
+            given = (m[1] or m[2] or m[3] or "").lower()
+            found = set(given.split()) & ADVERTS if name in INLINE else set(re.split(r"[^a-z0-9]+", given)) & CUES
+            if found - ({"header"} if in_article else set()):
+                return True
     return bool(_HIDDEN.search(attributes))
 
 
+class _Reader:
+    """Text lines and what the markup says of them, from tags and texts in order. Every tag costs the same, however deep."""
+
+    def __init__(self) -> None:
+        self.out: list[tuple[str, int]] = []
+        self.buffer: list[str] = []
+        self.outside = self.article = self.silent = False
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # name, and the three states before it
+        self.places: dict[str, list[int]] = {}  # of each name in the stack
+
+    def text(self, text: str) -> None:
+        if not self.silent:
+            self.buffer.append(text)
+
+    def flush(self) -> None:
+        if self.buffer:
+            text = " ".join(html.unescape("".join(self.buffer)).split())
+            if text:
+                self.out.append((text, 0 if self.outside else 2 if self.article else 1))
+            self.buffer.clear()
+
+    def push(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, self.outside, self.article, self.silent))
+
+    def pop(self, name: str) -> bool:
+        """Closes the innermost element of that name and all in it; not if there is none."""
+        at = self.places.get(name)
+        if not at:
+            return False
+        for closed, *_ in reversed(self.stack[at[-1] :]):
+            depth = self.places[closed].pop()
+        _, self.outside, self.article, self.silent = self.stack[depth]
+        del self.stack[depth:]
+        return True
+
+    def start(self, name: str, attributes: str) -> None:
+        if name in INLINE or name in SILENT:
+            if name in ("br", "td", "th", "img"):
+                self.text(" ")
+            if name not in VOID and (self.silent or _outside(name, attributes, self.article)):
+                self.push(name)
+                self.silent = True
+            return
+        self.flush()
+        if name not in VOID:
+            self.push(name)
+            self.outside = self.outside or _outside(name, attributes, self.article)
+            self.article = self.article or (name in ("article", "main") and not self.outside)
+
+    def end(self, name: str) -> None:
+        if name in INLINE or name in SILENT:
+            self.pop(name)  # others aren't in the stack
+        elif name in self.places and self.places[name]:
+            self.flush()
+            self.pop(name)
+
+
 def lines_of(page: str | None) -> list[tuple[str, int]]:
     """The page's text lines in order, one for each block, white space folded, character references decoded.
 
     Each with what the markup says: 2, it stands in an article or main element; 0, it is a menu,
     header, footer, sidebar, notice, advert, form or comment; 1, nothing is known. Tags without an end
-    are closed by the end of an element around them.
+    are closed by the end of an element around them, scripts and the like too. An advert inside a paragraph goes
+    and leaves the paragraph whole.
     """
     page = page or ""
-    out: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, outside, in an article
-    buffer: list[str] = []
-    outside = article = False
-
-    def flush() -> None:
-        if buffer:
-            text = " ".join(html.unescape("".join(buffer)).split())
-            if text:
-                out.append((text, 0 if outside else 2 if article else 1))
-            buffer.clear()
-
+    reader = _Reader()
     at, end = 0, len(page)
+    unclosed: set[str] = set()
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
-            buffer.append(page[at:])
+            reader.text(page[at:])
             break
         if m.start() > at:
-            buffer.append(page[at : m.start()])
+            reader.text(page[at : m.start()])
         at = m.end()
-        name = (m[2] or "").lower()
+        slash, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        name = (name or "").lower()
         if not name:
             continue
-        if name in RAW:
-            if not m[1] and not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-                at = close.end() if close else end
-            buffer.append(" ")
-            continue
-        if name in INLINE:
-            if name in ("br", "td", "th", "img"):
-                buffer.append(" ")
-            if name in VOID or not (m[1] or _outside(name, m[3], article)):
-                continue
-        if name in VOID:
-            flush()
+        if slash:
+            reader.end(name)
+        elif name in SILENT and attributes.endswith("/"):
             continue
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is None:
-                continue
-            flush()
-            _, outside, article = stack[depth]
-            del stack[depth:]
+        elif name in RAW and name not in unclosed:
+            close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+            if close:
+                at = close.end()
+                reader.text(" ")
+            else:
+                unclosed.add(name)  # none further on either
+                reader.start(name, attributes)
         else:
-            flush()
-            stack.append((name, outside, article))
-            outside = outside or _outside(name, m[3], article)
-            article = article or (name in ("article", "main") and not outside)
-    flush()
-    return out
+            reader.start(name, attributes)
+    reader.flush()
+    return reader.out
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:

@@ -1,6 +1,8 @@
 """HTML extraction: what neighbours decide, and the same rows however the pages are dealt."""
 
 import random
+import time
+from html.parser import HTMLParser
 
 from lintlake.llm import html_extract
 
@@ -84,3 +86,105 @@ def test_null_ids_and_large_ids(spark):
     big = (1 << 62) + 1
     df = spark.createDataFrame([(None, "http://a.b/1", "<p>x y</p>"), (None, "http://a.b/1", "<p>x y</p>"), (big, "http://a.b/2", "<p>z</p>")], "page_id long, url string, html string")
     assert sorted(str((r.page_id, r.text)) for r in html_extract.extract(df).collect()) == sorted(map(str, [(None, "x y"), (None, "x y"), (big, "z")]))
+
+
+def texts(page):
+    return html_extract.main_text(html_extract.lines_of(page))[0]
+
+
+def test_inline_adverts_cues_headings_and_broken_tags():
+    assert texts('<p>Hello <span class="ad"><span>Buy</span> now cheap</span> end</p>') == "Hello end"
+    assert texts('<p>In <a class="search-term">linked words</a> here, <b id="comment">too</b></p>') == "In linked words here, too"
+    assert texts('<article><div class="entry-header"><h1 class="header banner">Title</h1></div><p>Text</p><div class="share-nav">x</div></article>') == "Title\nText"
+    assert texts('<div class="header">Site</div><p>Text</p>') == "Text"
+    assert texts('<p class="x>One</p><p>Two</p>') == "One\nTwo"
+    for name in ("object", "map", "svg", "noscript", "template", "canvas", "video", "script", "style", "iframe", "select"):
+        assert texts(f"<article><div><p>One <{name}>lost</p></div><p>Two</p></article>") == "One\nTwo", name
+        assert texts(f"<p>One <{name} a=1>x<i>y</i></{name}> two</p>") == "One two", name
+    assert texts("<p>a <span class=ad>b</p><p>c</span> d</p>") == "a\nc d"
+
+
+def test_stray_end_tags_cost_no_more_than_others():
+    start = time.time()
+    assert texts("<div>" * 50_000 + "</span></em></section>" * 50_000 + "end") == "end"
+    assert texts("<script>" * 3000 + "x") == "" and texts('<span class="ad">' * 20_000 + "</span>" * 20_000 + "end") == "end"
+    assert time.time() - start < 10
+
+
+class Dom(HTMLParser):
+    """A page as a tree, by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = self.now = ("", {}, [], None)
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, dict(attrs), [], self.now)
+        self.now[2].append(node)
+        if tag not in ("br", "img", "hr"):
+            self.now = node
+
+    def handle_endtag(self, tag):
+        self.now = self.now[3]
+
+    def handle_data(self, data):
+        self.now[2].append(data)
+
+
+BLOCKS, WORDS_IN = ("div", "p", "section", "h2", "ul", "li", "article", "nav", "header", "aside", "footer", "form"), ("b", "a", "span", "em")
+
+
+def read(node, kind, out):
+    """Lines by walking the tree: blocks break lines, adverts in a paragraph say nothing."""
+    tag, attrs, children, _ = node
+    words = set((attrs.get("class") or "").split())
+    if tag in WORDS_IN:
+        if words & {"ad", "promo"}:
+            return
+    elif tag == "br":
+        out[-1][0].append(" ")
+        return
+    elif tag:
+        parts = {p for w in words for p in w.split("-")} & {"ad", "promo", "menu", "header", "comments"}
+        inside = kind == 2
+        if inside:
+            parts -= {"header"}
+        if tag in ("nav", "aside", "footer", "form") or (tag == "header" and not inside) or (parts and tag != "article" and not (inside and tag == "h2")):
+            kind = 0
+        elif tag == "article" and kind == 1:
+            kind = 2
+        out.append(([], kind))
+    for c in children:
+        if isinstance(c, str):
+            out[-1][0].append(c)
+        else:
+            before = out[-1][1]
+            read(c, kind, out)
+            if c[0] in BLOCKS:
+                out.append(([], before))
+
+
+def test_lines_are_those_of_a_walk_over_the_tree():
+    rng = random.Random(12)
+
+    def made(depth, inline=False):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            k = rng.random()
+            if k < 0.4 or depth == 0:
+                parts.append(f"w{rng.randint(0, 99)} &amp; \n ")
+            elif k < 0.5:
+                parts.append("<br>")
+            else:
+                tag = rng.choice(WORDS_IN if inline or k < 0.7 else BLOCKS)
+                name = rng.choice(["", ' class="ad"', ' class="main-menu big"', ' class="entry-header"', ' class="promo x"', " class='comments'"])
+                parts.append(f"<{tag}{name}>{made(depth - 1, tag in WORDS_IN)}</{tag}>")
+        return "".join(parts)
+
+    for _ in range(1500):
+        page = made(5)
+        out = [([], 1)]
+        read(Dom(page).root, 1, out)
+        want = [(" ".join("".join(t).split()), k) for t, k in out]
+        assert html_extract.lines_of(page) == [x for x in want if x[0]], page
