@@ -30,32 +30,29 @@ def free(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
-def with_running(
-    df: DataFrame, group: list[str], order: list[Column], value: Column, name: str, bucket: Column, sum_of: str
-) -> DataFrame:
+def whole(df: DataFrame) -> Column:
+    """A row of ``df`` as one column, so that its names can't clash with an operator's own."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
+def with_running(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str, bucket: Column) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the rows before this one in its group.
 
     Rows are ordered by ``bucket`` first and ``order`` inside it. A group that holds a third of all
     rows is spread over its buckets: sums per bucket are aggregated map-side, and only those few rows
-    meet in one window for each group. ``sum_of`` names a column that gets the group's whole sum.
+    meet in one window for each group. Groups are told apart by their values as text and whether they are null, the
+    same columns in the window and the join, so that rows are shuffled once for both.
     """
-    kept = df.columns
-    d = df.withColumn("__b", bucket).withColumn("__v", value.cast("long"))
-    sums = d.groupBy(*group, "__b").agg(F.sum("__v").alias("__bs"))
-    whole = Window.partitionBy(*group)
-    before = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)],
-        F.col("__b").alias("__b2"),
-        F.coalesce(F.sum("__bs").over(before), F.lit(0)).alias("__before"),
-        F.sum("__bs").over(whole).alias(sum_of),
-    )
-    on = F.col("__b") == F.col("__b2")
-    for i, g in enumerate(group):
-        on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    inside = Window.partitionBy(*group, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("__in", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
-    return d.join(sums, on).select(*kept, (F.col("__before") + F.col("__in")).alias(name), sum_of)
+    keys = free(df.columns, *[f"{kind}{i}" for i in range(len(group)) for kind in "kn"], "b")
+    b, v, part, before, inside = keys[-1], *free([*df.columns, *keys], "v", "part", "before", "inside")
+    told = [c for g in group for c in (F.coalesce(F.col(g).cast("string"), F.lit("")), F.col(g).isNull())]
+    d = df.withColumns(dict(zip(keys, [*told, bucket], strict=True)) | {v: value.cast("long")})
+    sums = d.groupBy(*keys).agg(F.sum(v).alias(part))
+    until = Window.partitionBy(*keys[:-1]).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, F.coalesce(F.sum(part).over(until), F.lit(0)).alias(before))
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn(inside, F.coalesce(F.sum(v).over(within), F.lit(0)))
+    return d.join(sums, keys).select(*df.columns, (F.col(before) + F.col(inside)).alias(name))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -42,11 +42,11 @@ def targets(sizes: DataFrame) -> DataFrame:
     return per.select("source", "source_size", target.alias("target"), "slope")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with __size (words of the text, null: 0) and __u (a fixed random order of the rows)."""
+def sized(docs: DataFrame, row: Column) -> DataFrame:
+    """row, doc_id, source, size (words of the text, null: 0) and u (a fixed random order of the rows) for each of ``docs``."""
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
     order = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    return docs.withColumn("__size", size).withColumn("__u", order)
+    return docs.select(row.alias("row"), "doc_id", "source", size.alias("size"), order.alias("u"))
 
 
 def position(words, target, slope):
@@ -60,8 +60,8 @@ def position(words, target, slope):
     return F.when(target <= 0, 0.0).when(F.abs(slope) < 1e-9, x).otherwise((root - b) / (F.lit(2.0) * slope))
 
 
-def allot(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) with __size, __source_size, __target, __slope, __before, __taken.
+def allot(d: DataFrame, goal: DataFrame) -> DataFrame:
+    """``d`` (sized()) with source_size, target, slope, before, rounds and taken; ``goal``: targets(), written, so that its size is known.
 
     A source's documents stand in a random order that depends on the id alone (md5). Its target is taken
     from that order again and again: whole rounds, then the head of the order, whose last document is
@@ -69,21 +69,14 @@ def allot(docs: DataFrame) -> DataFrame:
     reruns agree. Null texts and texts without a word have size 0 and give 0 words. A null source is a
     source of its own, last in order. Repeated rows take neighbouring places; each counts by itself.
     """
-    d = sized(docs)
-    light = d.select(F.col("source"), F.col("__size").alias("size"))
-    return _allot(d, targets(light))
-
-
-def _allot(d: DataFrame, goal: DataFrame) -> DataFrame:
-    goal = goal.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("slope").alias("__slope"))
     # the order's first bits, so that buckets follow the order
-    d = common.with_running(d, ["source"], [F.col("__u"), F.col("doc_id")], F.col("__size"), "__before", F.shiftright(F.col("__u"), 60 - PARTS.bit_length() + 1), "__sum")
-    d = d.drop("__sum").join(goal, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    whole = F.floor(F.col("__target")).cast("long")
-    rounds = F.when(F.col("__source_size") > 0, F.floor(whole / F.col("__source_size"))).otherwise(0).cast("long")
-    rest = whole - rounds * F.col("__source_size")
-    last = F.least(F.greatest(rest - F.col("__before"), F.lit(0)), F.col("__size"))
-    return d.withColumn("__rounds", rounds).withColumn("__taken", rounds * F.col("__size") + last)
+    d = common.with_running(d, ["source"], [F.col("u"), F.col("doc_id")], F.col("size"), "before", F.shiftright(F.col("u"), 60 - PARTS.bit_length() + 1))
+    d = d.join(goal.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    whole = F.floor(F.col("target")).cast("long")
+    rounds = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0).cast("long")
+    d = d.withColumn("rounds", rounds).withColumn("rest", whole - F.col("rounds") * F.col("source_size"))
+    last = F.least(F.greatest(F.col("rest") - F.col("before"), F.lit(0)), F.col("size"))
+    return d.withColumn("taken", F.col("rounds") * F.col("size") + last)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -91,38 +84,35 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     first_position: the place (0 to 1) in training of its first copy; null if none is taken.
     """
-    slim = common.cut(sized(docs).select("doc_id", "source", "__size", "__u"))
-    goal = targets(slim.select("source", F.col("__size").alias("size")))
-    d = _allot(slim, goal)
-    first = F.when(F.col("__taken") > 0, position(F.col("__before").cast("double"), F.col("__target"), F.col("__slope")))
+    slim = common.cut(sized(docs, F.lit(0)))
+    d = allot(slim, common.cut(targets(slim)))
+    first = F.when(F.col("taken") > 0, position(F.col("before").cast("double"), F.col("target"), F.col("slope")))
     return d.select(
-        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
-        F.col("__taken").alias("taken"), "source", first.alias("first_position"),
+        "doc_id", "size", "source_size", "target", "taken", "source", first.alias("first_position")
     ).repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
-def curriculum(docs: DataFrame) -> DataFrame:
+def curriculum(docs: DataFrame, place: str | None = None) -> DataFrame:
     """The training rows: ``docs``' columns, one row for each copy taken, range-sorted by training position.
 
     A copy that the target cuts keeps the text's head with just the words taken. n_chars, if there, is
-    set to the new length. Column __position tells the place; drop it if not wanted.
+    set to the new length. ``place`` names a further column, the position (0 to 1). Texts move twice: to their place in their source's order, and to their positions, where they are cut.
     """
-    d = allot(docs)
-    last = F.col("__taken") - F.col("__rounds") * F.col("__size")
-    copies = (F.col("__rounds") + F.when(last > 0, 1).otherwise(0)).cast("int")
-    d = d.where("__taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-    n = F.when(F.col("__copy") <= F.col("__rounds"), F.col("__size")).otherwise(last)
-    asked = ((F.col("__copy") - 1) * F.col("__source_size") + F.col("__before")).cast("double")
-    d = d.withColumn("__position", position(asked, F.col("__target"), F.col("__slope"))).withColumn("__n", n)
-    head = F.regexp_extract("text", r"^(?s:[\x20\x09-\x0D]*)", 0)
-    words = F.regexp_extract_all("text", F.lit(common.WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    short = F.concat(head, F.regexp_replace(F.array_join(F.slice(words, 1, F.col("__n").cast("int")), ""), r"[\x20\x09-\x0D]+\z", ""))
-    text = F.when(F.col("__n") < F.col("__size"), short).otherwise(F.col("text"))
-    out = [
-        text.alias(c) if c == "text" else F.char_length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns
-    ]
-    d = d.select(*out, "__position")
-    return d.repartitionByRange("__position", "doc_id").sortWithinPartitions("__position", "doc_id")
+    d = allot(sized(docs, common.whole(docs)), common.cut(targets(docs.select("source", F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long").alias("size")))))
+    last = F.col("taken") - F.col("rounds") * F.col("size")
+    copies = (F.col("rounds") + F.when(last > 0, 1).otherwise(0)).cast("int")
+    d = d.where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    n = F.when(F.col("copy") <= F.col("rounds"), F.col("size")).otherwise(last)
+    asked = ((F.col("copy") - 1) * F.col("source_size") + F.col("before")).cast("double")
+    d = d.select("row", "doc_id", "size", n.alias("n"), position(asked, F.col("target"), F.col("slope")).alias("position"))
+    d = d.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    own = F.col("row.text")
+    head = F.regexp_extract(own, r"^(?s:[\x20\x09-\x0D]*)", 0)
+    words = F.regexp_extract_all(own, F.lit(common.WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    short = F.concat(head, F.regexp_replace(F.array_join(F.slice(words, 1, F.col("n").cast("int")), ""), r"[\x20\x09-\x0D]+\z", ""))
+    text = F.when(F.col("n") < F.col("size"), short).otherwise(own)
+    out = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return d.select(*[out.get(c, F.col("row")[c]).alias(c) for c in docs.columns], *([F.col("position").alias(place)] if place else []))
 
 
 ORACLE_SQL = r"""

@@ -240,7 +240,7 @@ def pack(docs: DataFrame) -> DataFrame:
     histogram = {r["class"]: r["n"] for r in d.groupBy("class").agg(F.count("*").alias("n")).collect()}
     place = _place(slots(plan(histogram)))
     ranked = common.with_running(
-        d, ["class"], [F.col("u"), F.col("doc_id"), F.col("start"), F.col("crc")], F.lit(1), "rank", F.shiftright(F.col("u"), 60 - 9), "__n"
+        d, ["class"], [F.col("u"), F.col("doc_id"), F.col("start"), F.col("crc")], F.lit(1), "rank", F.shiftright(F.col("u"), 60 - 9)
     )
     placed = ranked.withColumn("sequence_id", place(F.col("class").cast("long"), F.col("rank")))
     before = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "rank").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,8 +15,11 @@ SCHEMAS = {
 }
 
 
-def errors_of(name: Column, arguments: Column) -> Column:
-    """What is wrong with ``arguments`` (JSON text) for tool ``name``: an array of messages, in fixed order.
+Schemas = dict[str, tuple[tuple[str, str, bool], ...]]
+
+
+def errors_of(name: Column, arguments: Column, schemas: Schemas = SCHEMAS) -> Column:
+    """What is wrong with ``arguments`` (JSON text) for tool ``name`` of ``schemas``: an array of messages, in fixed order.
 
     ``malformed``, ``not an object``, ``unknown tool``, or for each field in order ``missing f``,
     ``f is not T``, and ``unknown f`` for fields that the schema lacks. A null field counts as missing.
@@ -24,7 +27,7 @@ def errors_of(name: Column, arguments: Column) -> Column:
     v = F.try_parse_json(arguments)
     keys = F.coalesce(F.array_sort(F.json_object_keys(arguments)), F.array().cast("array<string>"))
     found = F.array(F.lit("unknown tool"))
-    for tool, fields in SCHEMAS.items():
+    for tool, fields in schemas.items():
         checks = []
         for f, kind, required in fields:
             what = F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
@@ -71,9 +74,10 @@ def _value(key: Column) -> Column:
     return F.when(key.startswith("="), F.substring(key, 2, 1 << 30))
 
 
-def link(calls: DataFrame, results: DataFrame) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: Schemas = SCHEMAS) -> DataFrame:
     """One row per call, and per result without a call: status, depth, position, errors, canonical JSON.
 
+    ``schemas``: the caller's tools, each with its fields (name, variant type, required).
     ``calls``: conv string, turn long, call_id, name, arguments (JSON text), after (call_id or null).
     ``results``: conv, turn, call_id, content. Of repeated calls or results of one conv and call_id the
     one of the earliest turn counts (then the smallest). status: ``linked``, ``pending`` (no result) or
@@ -93,7 +97,7 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     c = c.join(d, (F.col("conv") == F.col("dc")) & (F.col("call_id") == F.col("did")))
     c = c.join(known, (F.col("conv") == F.col("kc")) & (F.col("after") == F.col("kid")), "left")
     dangling = F.when(F.col("after").isNotNull() & F.col("kid").isNull(), F.array(F.lit("unknown after"))).otherwise(F.array().cast("array<string>"))
-    errors = F.concat(errors_of(F.coalesce("name", F.lit("")), F.coalesce("arguments", F.lit(""))), dangling)
+    errors = F.concat(errors_of(F.coalesce("name", F.lit("")), F.coalesce("arguments", F.lit("")), schemas), dangling)
     c = c.select("conv", "call_id", "turn", "name", "arguments", "after", "depth", errors.alias("errors"), F.lit(True).alias("call"))
     j = c.join(r, (F.col("conv") == F.col("rconv")) & (F.col("call_id") == F.col("rid")), "full_outer")
     status = F.when(F.col("call").isNull(), "orphan").when(F.col("depth").isNull(), "circular").when(F.col("has").isNull(), "pending").otherwise("linked")
@@ -109,8 +113,8 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     )
     order = F.coalesce("depth", F.lit(1 << 30)) * F.lit(1 << 32) + F.shiftright(F.col("turn"), 8)
     j = j.withColumn("__d", F.coalesce("depth", F.lit(1 << 30)))
-    j = common.with_running(j, ["conv"], [F.col("__d"), F.col("turn"), F.col("call_id")], F.lit(1), "position", order, "__n")
-    return j.drop("__d", "__n").withColumn("conv", _value(F.col("conv"))).withColumn("call_id", _value(F.col("call_id")))
+    j = common.with_running(j, ["conv"], [F.col("__d"), F.col("turn"), F.col("call_id")], F.lit(1), "position", order)
+    return j.drop("__d").withColumn("conv", _value(F.col("conv"))).withColumn("call_id", _value(F.col("call_id")))
 
 
 def traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -118,12 +122,13 @@ def traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The chat table has no tool messages. A call's arguments follow from its text's words; by their
     number some are malformed, of a wrong type, incomplete or have a field too many. A call waits for
-    the one two turns before; a user turn answers the turn before it.
+    the one two turns before; a user turn answers the turn before it. Turns without a conversation or a number stay
+    without, so that link() keeps each of them apart.
     """
     n = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(common.WORD), F.lit(0))), F.lit(0)).cast("long")
     word = F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0)
-    c = conversations.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text", n.alias("n"), word.alias("q"))
-    ident = lambda turn: F.concat(F.lit("c"), F.col("conv"), F.lit("-"), turn.cast("string"))
+    c = conversations.select(F.col("conv_id").cast("string").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text", n.alias("n"), word.alias("q"))
+    ident = lambda turn: F.concat(F.lit("c"), F.coalesce("conv", F.lit("")), F.lit("-"), turn.cast("string"))
     arguments = (
         F.when(F.col("n") % 11 == 3, F.concat(F.lit('{"query": "'), "q", F.lit('", "limit": ')))
         .when(F.col("n") % 5 == 0, F.concat(F.lit('{"query": "'), "q", F.lit('", "limit": "'), "n", F.lit('"}')))
@@ -143,33 +148,33 @@ def linked(conversations: DataFrame) -> DataFrame:
 
 ORACLE_SQL = r"""
 with c as (
-  select coalesce(conv_id::varchar, '') as conv, turn, role, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as n,
+  select conv_id::varchar as conv, turn, role, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as n,
     regexp_extract(coalesce(text, ''), '[A-Za-z]+') as q from conversations),
 calls as (
-  select conv, turn, 'c' || conv || '-' || turn as call_id, ['search', 'lookup', 'summarize'][n % 3 + 1] as name, n, q,
-    case when turn >= 2 then 'c' || conv || '-' || (turn - 2) end as after,
+  select conv, turn, 'c' || coalesce(conv, '') || '-' || turn as call_id, ['search', 'lookup', 'summarize'][n % 3 + 1] as name, n, q,
+    case when turn >= 2 then 'c' || coalesce(conv, '') || '-' || (turn - 2) end as after,
     case when n % 11 = 3 then 'malformed' when n % 5 = 0 then 'text' when n % 5 = 1 then 'less' when n % 5 = 2 then 'more' else 'good' end as kind
   from c where role = 'assistant'),
-res as (select conv, turn, 'c' || conv || '-' || (turn - 1) as call_id, text as content from c where role = 'user' and turn > 0),
+res as (select conv, turn, 'c' || coalesce(conv, '') || '-' || (turn - 1) as call_id, text as content, true as has from c where role = 'user' and turn > 0),
 chain as (
   select a.conv, a.turn, a.call_id, (select count(*) from calls b where b.conv = a.conv and b.turn < a.turn and b.turn % 2 = a.turn % 2
       and not exists (select 1 from range(0, 1000, 2) t(x) where x > 0 and b.turn + x < a.turn
         and not exists (select 1 from calls m where m.conv = a.conv and m.turn = b.turn + x))) as depth
   from calls a),
 e as (
-  select calls.*, chain.depth,
+  select calls.*, coalesce(chain.depth, 0) as depth, true as call,
     case kind when 'malformed' then 'malformed'
       when 'text' then 'limit is not bigint'
       when 'less' then case when name in ('search', 'lookup') then 'missing query' else '' end
       when 'more' then 'unknown extra' else '' end as e1,
     case when after is not null and not exists (select 1 from calls k where k.conv = calls.conv and k.call_id = calls.after) then 'unknown after' else '' end as e2
-  from calls join chain using (conv, call_id)),
+  from calls left join chain using (conv, call_id)),
 j as (
   select coalesce(e.conv, res.conv) as conv, coalesce(e.call_id, res.call_id) as call_id,
-    case when e.conv is null then 'orphan' when res.conv is null then 'pending' else 'linked' end as status, e.name,
+    case when e.call is null then 'orphan' when res.has is null then 'pending' else 'linked' end as status, e.name,
     coalesce(e.depth, 0)::bigint as depth, coalesce(e.turn, res.turn)::bigint as turn,
     coalesce(case when e1 <> '' and e2 <> '' then e1 || '; ' || e2 else e1 || e2 end, '') as errors,
-    case when e.conv is null then '' else '"arguments":' || case kind
+    case when e.call is null then '' else '"arguments":' || case kind
       when 'malformed' then to_json('{"query": "' || q || '", "limit": ')::varchar
       when 'text' then '{"limit":"' || n || '","query":"' || q || '"}'
       when 'less' then '{"limit":' || n || '}'
@@ -180,6 +185,6 @@ j as (
 select conv, call_id, status, name, depth, turn, errors,
   '{' || args || '"id":' || to_json(call_id)::varchar || case when name is not null then ',"name":"' || name || '"' else '' end
     || case when content is not null then ',"result":' || to_json(content)::varchar else '' end || '}' as canonical,
-  (row_number() over (partition by conv order by depth, turn, call_id) - 1)::bigint as position
+  case when conv is null then 0 else row_number() over (partition by conv order by depth, turn, call_id) - 1 end::bigint as position
 from j
 """

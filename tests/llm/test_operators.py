@@ -85,6 +85,14 @@ def test_rows_without_ids_are_kept_and_link_with_none(spark):
     assert {r.depth for r in got if r.name == 'sea"rch\n'} == {1} and all(json.loads(r.canonical) for r in got)
 
 
+def test_turns_without_a_conversation_stay_apart(spark):
+    rows = [(None, 1, "assistant", "one two"), (None, 1, "assistant", "one two"), (None, 1, "assistant", None), (None, 2, "user", "x"), (1, None, "assistant", "y"), (1, 1, "assistant", "z"), (1, 2, "user", None), (1, 3, "assistant", "long " * 200_000)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("conv", F.lit("clash")).withColumn("depth", F.lit("clash"))
+    got = tool_calls.linked(d).collect()
+    assert sorted((r.conv or "", r.status) for r in got) == sorted([("", "pending")] * 3 + [("", "orphan"), ("1", "pending"), ("1", "pending"), ("1", "linked")])
+    assert all(r.position == 0 for r in got if r.conv is None)
+
+
 def test_long_chains_take_few_rounds(spark):
     rows = [("c", str(k), str(k - 1) if k else None) for k in range(40)]
     got = tool_calls.depths(spark.createDataFrame(rows, "conv string, call_id string, after string")).collect()
@@ -206,10 +214,10 @@ def test_curriculum_rows_carry_the_words_taken(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     taken = {r.doc_id: r.taken for r in mixing.mixed(df).collect()}
     got = {}
-    out = mixing.curriculum(df).collect()
+    out = mixing.curriculum(df, "at").collect()
     for r in out:
-        assert r.n_chars == len(r.text) and 0 <= r["__position"] <= 1
+        assert r.n_chars == len(r.text) and 0 <= r["at"] <= 1
         got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
     assert got == {i: n for i, n in taken.items() if n}
-    assert [r["__position"] for r in out] == sorted(r["__position"] for r in out)
+    assert [r["at"] for r in out] == sorted(r["at"] for r in out)
     assert mixing.curriculum(df.limit(0)).count() == 0
