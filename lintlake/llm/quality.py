@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut
+from .common import cut, whole
 
 #: Rates of a text that are judged, each a whole number of thousandths.
 METRICS = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
-#: A rate is an outlier above q75 + FENCE * (q75 - q25), or, where both are equal, above the REST of 100 quantile.
+#: A rate is an outlier above q75 + FENCE * (q75 - q25), or, where both are equal, above the REST of 100 quantile
+#: or, if that is 0, above the median of the language's rates that aren't.
 FENCE, REST = 3, 98
 #: A group's sketch is its own and so many documents' worth of its language's: small groups lean on that.
 PRIOR = 100
@@ -96,12 +97,13 @@ def base_failed(f: Column) -> Column:
     return (f["n_words"] < 10) | (f["n_repeat_words"] * 100 > f["n_words"] * 20)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with __f (counts), __r (rates) and __failed (the base rule)."""
+def measured(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """row (by default all of it), lang, source, f (counts), r (rates) and failed (the base rule) for each of ``docs``."""
     lines = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0))
-    d = docs.withColumn("__f", features("text"))
-    f = F.col("__f")
-    return d.withColumn("__r", F.struct(*[v.alias(k) for k, v in rates(f, lines).items()])).withColumn("__failed", base_failed(f))
+    d = docs.select((whole(docs) if row is None else row).alias("row"), "lang", "source", features("text").alias("f"), lines.alias("n_lines"))
+    f = F.col("f")
+    r = F.struct(*[v.alias(k) for k, v in rates(f, F.col("n_lines")).items()])
+    return d.select("row", "lang", "source", "f", r.alias("r"), base_failed(f).alias("failed"))
 
 
 def _shift(v: Column) -> Column:
@@ -120,8 +122,8 @@ def sketches(d: DataFrame) -> DataFrame:
     A histogram over bin_of: sketches merge by adding n, in any order, to the same result. Each map
     task sends at most one row for each group, metric and bin, so no group is gathered anywhere.
     """
-    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bin_of(F.col(f"__r.{m}")).alias("bin")) for m in METRICS]))
-    return d.where("not __failed").select("lang", "source", rows.alias("x")).groupBy("lang", "source", "x.metric", "x.bin").agg(F.count("*").alias("n"))
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bin_of(F.col(f"r.{m}")).alias("bin")) for m in METRICS]))
+    return d.where("not failed").select("lang", "source", rows.alias("x")).groupBy("lang", "source", "x.metric", "x.bin").agg(F.count("*").alias("n"))
 
 
 def shrunk(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
@@ -139,29 +141,45 @@ def shrunk(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
     return own.unionByName(lent).groupBy("lang", "source", "metric", "bin").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
 
 
+def _top(v: Column) -> Column:
+    """The highest number of a bin. Limits are made of these, so that a bin's width never counts against a document."""
+    return v + F.call_function("shiftleft", F.lit(1).cast("long"), _shift(v)) - 1
+
+
+def usual(sketch: DataFrame) -> DataFrame:
+    """of, m, usual: the bin of the median of each language's rates above 0, for each metric."""
+    every = Window.partitionBy("lang", "metric")
+    d = sketch.where("bin > 0").groupBy("lang", "metric", "bin").agg(F.sum("n").alias("n"))
+    d = d.select("lang", "metric", "bin", F.sum("n").over(every.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(every).alias("docs"))
+    return d.groupBy(F.col("lang").alias("of"), F.col("metric").alias("m")).agg(F.min(F.when(F.col("upto") * 2 >= F.col("docs"), F.col("bin"))).alias("usual"))
+
+
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row for each (lang, source) of ``sketch``, a column of each metric: its highest accepted rate.
 
-    From quantiles of the group's shrunk sketch alone: the fence above its quartiles, or, where most of
-    the group has one and the same rate and the quartiles are equal, the upper end of a high quantile's bin.
+    From quantiles of the group's shrunk sketch: the fence above its quartiles, or, where most of the group has one
+    and the same rate and the quartiles are equal, the end of a high quantile's bin. Where even that quantile is 0, a
+    rate that its language's documents usually have when they have any passes: a clean group takes an odd character.
     """
     group = Window.partitionBy("lang", "source", "metric")
     upto = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     q = shrunk(sketch).select("lang", "source", "metric", "bin", upto.cast("decimal(38,0)").alias("upto"), F.sum("n").over(group).cast("decimal(38,0)").alias("docs"))
     at = lambda part: F.min(F.when(F.col("upto") * 100 >= F.col("docs") * part, F.col("bin")))
     q = q.groupBy("lang", "source", "metric").agg(at(25).alias("q25"), at(75).alias("q75"), at(REST).alias("rest"))
-    end = F.col("rest") + F.call_function("shiftleft", F.lit(1).cast("long"), _shift(F.col("rest"))) - 1
-    up = F.when(F.col("q75") > F.col("q25"), F.col("q75") + FENCE * (F.col("q75") - F.col("q25"))).otherwise(end)
-    return q.groupBy(F.col("lang").alias("__t_lang"), F.col("source").alias("__t_source")).agg(*[F.max(F.when(F.col("metric") == m, up)).alias(f"__t_{m}") for m in METRICS])
+    q = q.join(usual(sketch), F.col("lang").eqNullSafe(F.col("of")) & (F.col("metric") == F.col("m")), "left")
+    rest = F.when((F.col("rest") == 0) & F.col("usual").isNotNull(), _top(F.col("usual"))).otherwise(_top(F.col("rest")))
+    high = _top(F.col("q75"))
+    up = F.when(F.col("q75") > F.col("q25"), high + FENCE * (high - F.col("q25"))).otherwise(rest)
+    return q.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*[F.max(F.when(F.col("metric") == m, up)).alias(f"t_{m}") for m in METRICS])
 
 
 def judged(d: DataFrame, limits: DataFrame) -> DataFrame:
-    """Adds __kept: passes the base rule and no rate is above its group's threshold."""
-    on = F.col("lang").eqNullSafe(F.col("__t_lang")) & F.col("source").eqNullSafe(F.col("__t_source"))
+    """Adds kept: passes the base rule and no rate is above its group's threshold."""
+    on = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
     fits = F.lit(True)
     for m in METRICS:
-        fits = fits & (F.col(f"__r.{m}") <= F.coalesce(F.col(f"__t_{m}"), F.lit(1 << 60)))
-    return d.join(limits, on, "left").withColumn("__kept", ~F.col("__failed") & fits).drop("__t_lang", "__t_source", *[f"__t_{m}" for m in METRICS])
+        fits = fits & (F.col(f"r.{m}") <= F.coalesce(F.col(f"t_{m}"), F.lit(1 << 60)))
+    return d.join(limits, on, "left").withColumn("kept", ~F.col("failed") & fits)
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -173,17 +191,18 @@ def keep(docs: DataFrame) -> DataFrame:
     size is known before the join, and texts are not shuffled for it.
     """
     d = cut(measured(docs))
-    return judged(d, cut(thresholds(sketches(d)))).where("__kept").select(docs.columns)
+    return judged(d, cut(thresholds(sketches(d)))).where("kept").select("row.*")
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row of ``docs``; texts are read once."""
-    slim = cut(measured(docs).select("doc_id", "lang", "source", "__f", "__r", "__failed"))
+    slim = cut(measured(docs, F.struct("doc_id")))
     out = judged(slim, thresholds(sketches(slim)))
-    return out.select("doc_id", "__f.*", F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"), "lang", "source")
+    return out.select("row.doc_id", "f.*", F.col("failed").alias("base_failed"), "kept", "lang", "source")
 
 
 _BIN = "(({0} >> greatest(length(bin({0})) - 6, 0)) << greatest(length(bin({0})) - 6, 0))"
+_TOP = "({0} + (1 << greatest(length(bin({0})) - 6, 0)) - 1)"
 ORACLE_SQL = rf"""
 with w as (select rowid_ as r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from (select row_number() over () as rowid_, text from documents)),
 d0 as (select row_number() over () as r, doc_id, text, lang, source from documents),
@@ -225,9 +244,14 @@ u as (
 q as (
   select lang, source, metric, min(case when upto * 100 >= docs * 25 then b end) as q25, min(case when upto * 100 >= docs * 75 then b end) as q75,
     min(case when upto * 100 >= docs * {REST} then b end) as rest from u group by all),
+us as (
+  select lang, metric, min(case when upto * 2 >= docs then b end) as usual from (
+    select lang, metric, b, sum(n) over (partition by lang, metric order by b rows between unbounded preceding and current row) as upto, sum(n) over (partition by lang, metric) as docs
+    from (select lang, metric, b, sum(n) as n from s where b > 0 group by all)) group by all),
 t as (
-  select lang, source, metric, case when q75 > q25 then q75 + {FENCE} * (q75 - q25)
-    else rest + (1 << greatest(length(bin(rest)) - 6, 0)) - 1 end as up from q),
+  select q.lang, source, q.metric, case when q75 > q25 then {_TOP.format("q75")} + {FENCE} * ({_TOP.format("q75")} - q25)
+    when rest = 0 and usual is not null then {_TOP.format("usual")} else {_TOP.format("rest")} end as up
+  from q left join us on q.lang is not distinct from us.lang and q.metric = us.metric),
 p as (select lang, source, max(up) filter (metric = 'symbol_rate') as a, max(up) filter (metric = 'dup_line_rate') as b,
     max(up) filter (metric = 'repeat_rate') as c, max(up) filter (metric = 'word_length') as e from t group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
