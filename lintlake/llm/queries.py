@@ -32,8 +32,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring.dedup(read(spark, sf_dir, "documents"))
-    return out.withColumnRenamed("__removed", "n_removed")
+    return substring.dedup(read(spark, sf_dir, "documents"), "n_removed")
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

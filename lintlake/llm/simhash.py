@@ -149,18 +149,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     prints = common.cut(docs.select("doc_id", fingerprints("text").alias("fp")))
     found = clustered(prints.where("doc_id is not null"))
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__twice"))
-    marked = left.join(twice, F.col("doc_id") == F.col("__twice"), "left")
+    rows = docs.select(common.whole(docs).alias("row"), "doc_id", F.xxhash64("text").alias("h"))
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    twice = prints.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("twice"))
+    marked = rows.where("doc_id is not null").join(gone, "doc_id", "left_anti").join(twice, "doc_id", "left")
 
     def smallest(d: DataFrame, key: str) -> DataFrame:
-        order = Window.partitionBy(key).orderBy(F.xxhash64("text"))
-        return d.withColumn("__k", F.row_number().over(order)).where("__k = 1").select(docs.columns)
-
-    single = marked.where("__twice is null").select(docs.columns)
-    repeated = smallest(marked.where("__twice is not null"), "__twice")
-    known = prints.where("doc_id is not null").select(F.col("fp").alias("__known")).distinct()
-    loose = docs.where("doc_id is null").withColumn("__fp", fingerprints("text"))
-    loose = smallest(loose.join(known, F.col("__fp") == F.col("__known"), "left_anti"), "__fp")
-    return single.unionByName(repeated).unionByName(loose)
+        order = Window.partitionBy(key).orderBy("h")
+        return d.withColumn("k", F.row_number().over(order)).where("k = 1").select("row.*")
+
+    single = marked.where("twice is null").select("row.*")
+    repeated = smallest(marked.where("twice"), "doc_id")
+    known = prints.where("doc_id is not null").select("fp").distinct()
+    loose = docs.where("doc_id is null").select(common.whole(docs).alias("row"), F.xxhash64("text").alias("h"), fingerprints("text").alias("fp"))
+    return single.unionByName(repeated).unionByName(smallest(loose.join(known, "fp", "left_anti"), "fp"))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -16,7 +16,8 @@ from . import common
 
 #: Consecutive sentences in a span. Longer repeats are unions of such spans.
 SENTENCES = 2
-#: A passage, a run of covered sentences, goes if it has so many words; a shorter one is a stock phrase.
+#: Default of ``least``: a passage, a run of covered sentences, goes if it has so many words; a shorter one is a stock
+#: phrase that documents share by chance. 1 removes every covered sentence.
 LEAST = 20
 
 #: A sentence ends at a line's end, or after a stop (with closing quotes) before white space.
@@ -63,7 +64,7 @@ def span_hashes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 _CUT = StructType([StructField("text", StringType()), StructField("removed", IntegerType())])
 
 
-def without_spans(text: str, starts: set[int]) -> tuple[str, int]:
+def without_spans(text: str, starts: set[int], least: int = LEAST) -> tuple[str, int]:
     """The text less its passages, and how many sentences went: ``starts`` are the repeated spans' places."""
     cuts = segments(text)
     said = [k for k, s in enumerate(cuts) if s.strip("\t\n\x0b\x0c\r ")]
@@ -74,22 +75,26 @@ def without_spans(text: str, starts: set[int]) -> tuple[str, int]:
         if i in covered and i < len(said):
             run.append(said[i])
         elif run:
-            if sum(len(_words(cuts[k])) for k in run) >= LEAST:
+            if sum(len(_words(cuts[k])) for k in run) >= least:
                 gone.update(run)
             run = []
     return "".join(s for k, s in enumerate(cuts) if k not in gone), len(gone)
 
 
-@F.pandas_udf(_CUT)
-def without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """For texts with repeated spans; the others come as nulls."""
-    for texts, starts in parts:
-        rows = [(None, 0) if text is None or at is None else without_spans(text, set(at)) for text, at in zip(texts, starts, strict=True)]
-        yield pd.DataFrame(rows, columns=["text", "removed"])
+def _without(text: Column, starts: Column, least: int) -> Column:
+    """text and removed for texts with repeated spans; the others come as nulls."""
+
+    @F.pandas_udf(_CUT)
+    def cut_texts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, starts in parts:
+            rows = [(None, 0) if text is None or at is None else without_spans(text, set(at), least) for text, at in zip(texts, starts, strict=True)]
+            yield pd.DataFrame(rows, columns=["text", "removed"])
+
+    return cut_texts(text, starts)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """Non-first repeated spans of ``docs`` (doc_id, text): __id, __h (the text's hash), __at (places of spans).
+    """Non-first repeated spans of ``docs`` (doc_id, text): of (the doc_id), of_h (the text's hash), at (places of spans).
 
     The first of equal spans is that of the smallest (doc_id, text hash, place); a null doc_id comes
     last. The texts are hashed once and their spans' hashes written. First halves of the hashes are
@@ -106,22 +111,24 @@ def repeated(docs: DataFrame) -> DataFrame:
     # written, so that the join below is between two plain shuffles, whose hot hashes Spark can split
     first = common.cut(first.where("first != last").select("key", "rest", "first"))
     later = may.join(first, ["key", "rest"]).where(place != F.col("first")).groupBy("doc_id", "h")
-    return later.agg(F.collect_set("at").alias("at")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("at").alias("__at"))
+    return later.agg(F.collect_set("at").alias("at")).select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "at")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with text cut, and __removed, the number of sentences that went.
+def dedup(docs: DataFrame, removed: str | None = None, least: int = LEAST) -> DataFrame:
+    """``docs`` with text cut; ``removed`` names a further column, the number of sentences that went.
 
     Every run of SENTENCES sentences is a span. Sentences in a non-first repeated span are covered;
-    covered sentences in a row are a passage and go, if they have LEAST words together. All rows and
+    covered sentences in a row are a passage and go, if they have ``least`` words together. All rows and
     columns stay; a text whose sentences all go becomes empty; null texts stay null. n_chars, if there,
     is set to the new length. Rows equal in doc_id and text are one document, which keeps its spans;
     rows without a doc_id but with the same text likewise. Texts of one sentence, and those with no
     repeated passage, come back unchanged to the byte. An empty table gives an empty one.
     """
     cover = repeated(docs)
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
-    d = docs.join(cover, on, "left").withColumn("__w", without(F.when(F.col("__at").isNotNull(), F.col("text")), "__at"))
-    text = F.coalesce(F.col("__w.text"), F.col("text"))
-    out = [text.alias(c) if c == "text" else F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias(c) if c == "n_chars" else d[c] for c in docs.columns]
-    return d.select(*out, F.coalesce("__w.removed", F.lit(0)).alias("__removed"))
+    d = docs.select(common.whole(docs).alias("row"), "doc_id", F.xxhash64("text").alias("h"))
+    d = d.join(cover, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h")), "left")
+    d = d.select("row", _without(F.when(F.col("at").isNotNull(), F.col("row.text")), F.col("at"), least).alias("cut"))
+    text = F.coalesce("cut.text", "row.text")
+    made = {"text": text, "n_chars": F.coalesce(F.char_length(text), F.lit(0)).cast("long")}
+    out = [made.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
+    return d.select(*out, *([F.coalesce("cut.removed", F.lit(0)).alias(removed)] if removed else []))

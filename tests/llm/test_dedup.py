@@ -115,10 +115,11 @@ def test_substring_dedup_against_brute_force(spark):
     pool = [" ".join(rng.choice("alpha beta gamma delta Epsilon zeta eta theta".split()) for _ in range(rng.randint(1, 30))) + rng.choice([". ", "!\n", '." ', "\n\n"]) for _ in range(60)]
     docs = {i: "".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for i in range(120)} | {500: None, 501: "", 502: " \n ", 503: "no end"}
     df = spark.createDataFrame([(i, t, "x", i) for i, t in docs.items()], "doc_id long, text string, at string, key int")
-    out = substring.dedup(df)
-    assert out.columns == [*df.columns, "__removed"]
-    want = brute.without_repeats(docs)
-    assert {r.doc_id: r.text for r in out.collect()} == want and sum(want[i] != docs[i] for i in docs) > 30
+    for least in (substring.LEAST, 1):
+        out = substring.dedup(df, "n", least)
+        assert out.columns == [*df.columns, "n"]
+        want = brute.without_repeats(docs, least=least)
+        assert {r.doc_id: r.text for r in out.collect()} == want and sum(want[i] != docs[i] for i in docs) > 30
     assert substring.dedup(df.limit(0)).count() == 0
 
 

@@ -6,6 +6,8 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lintlake.llm import packing, simhash
 
@@ -70,6 +72,19 @@ def test_stages_against_brute_force(spark):
     assert Counter((r.doc_id, r.start, r.ids_crc32) for r in five) == pieces
 
 
+def test_columns_of_any_name_come_through(spark):
+    """Names that the operators use themselves, or once did."""
+    names = ["row", "f", "r", "failed", "kept", "n_lines", "size", "u", "target", "taken", "before", "position", "copy", "n", "rest", "h", "of", "at", "cut", "k", "twice", "fp", "first", "__f", "__size", "__u", "__b", "__taken", "__k", "__id", "__h", "__w", "__v", "__before", "__n0", "__k0", "a.b"]
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    for name in names:
+        docs = docs.withColumn(name, F.concat("source", F.lit(name)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), *names], name
+        assert all(r[x] == f"{r.source}{x}" for r in docs.where("source is not null").limit(20).collect() for x in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 100
+
+
 def test_run_and_empty_table(spark, tmp_path):
     spark.createDataFrame(corpus(), SCHEMA).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 100
