@@ -33,7 +33,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null texts stay null; a text that is all repeats becomes empty; repeated rows count as one document.
     """
-    return substring.dedup(docs).select(docs.columns)
+    return substring.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no words and give no rows; a null source is a source; repeated rows count singly.
     """
-    return mixing.curriculum(docs).select(docs.columns)
+    return mixing.curriculum(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
