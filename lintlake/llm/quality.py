@@ -14,8 +14,7 @@ from .common import cut, whole
 
 #: Rates of a text that are judged, each a whole number of thousandths.
 METRICS = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
-#: A rate is an outlier above q75 + FENCE * (q75 - q25), or, where both are equal, above the REST of 100 quantile
-#: or, if that is 0, above the median of the language's rates that aren't.
+#: A rate is an outlier above q75 + FENCE * (q75 - q25), or, where both are equal, above the REST of 100 quantile.
 FENCE, REST = 3, 98
 #: A group's sketch is its own and so many documents' worth of its language's: small groups lean on that.
 PRIOR = 100
@@ -84,10 +83,12 @@ def _per(n: Column, of: Column) -> Column:
 
 
 def rates(f: Column, n_lines: Column) -> dict[str, Column]:
+    """A first symbol or repeated line isn't counted: one of a kind is no rate, and a clean group doesn't reject it."""
     w = f["n_words"]
+    past = lambda n: F.greatest(n - 1, F.lit(0))
     return {
-        "symbol_rate": _per(f["n_symbols"], w),
-        "dup_line_rate": _per(f["n_dup_lines"], n_lines),
+        "symbol_rate": _per(past(f["n_symbols"]), w),
+        "dup_line_rate": _per(past(f["n_dup_lines"]), n_lines),
         "repeat_rate": _per(f["n_repeat_words"], w),
         "word_length": _per(f["word_chars"], w),
     }
@@ -146,30 +147,19 @@ def _top(v: Column) -> Column:
     return v + F.call_function("shiftleft", F.lit(1).cast("long"), _shift(v)) - 1
 
 
-def usual(sketch: DataFrame) -> DataFrame:
-    """of, m, usual: the bin of the median of each language's rates above 0, for each metric."""
-    every = Window.partitionBy("lang", "metric")
-    d = sketch.where("bin > 0").groupBy("lang", "metric", "bin").agg(F.sum("n").alias("n"))
-    d = d.select("lang", "metric", "bin", F.sum("n").over(every.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(every).alias("docs"))
-    return d.groupBy(F.col("lang").alias("of"), F.col("metric").alias("m")).agg(F.min(F.when(F.col("upto") * 2 >= F.col("docs"), F.col("bin"))).alias("usual"))
-
-
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row for each (lang, source) of ``sketch``, a column of each metric: its highest accepted rate.
 
     From quantiles of the group's shrunk sketch: the fence above its quartiles, or, where most of the group has one
-    and the same rate and the quartiles are equal, the end of a high quantile's bin. Where even that quantile is 0, a
-    rate that its language's documents usually have when they have any passes: a clean group takes an odd character.
+    and the same rate and the quartiles are equal, the end of a high quantile's bin.
     """
     group = Window.partitionBy("lang", "source", "metric")
     upto = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     q = shrunk(sketch).select("lang", "source", "metric", "bin", upto.cast("decimal(38,0)").alias("upto"), F.sum("n").over(group).cast("decimal(38,0)").alias("docs"))
     at = lambda part: F.min(F.when(F.col("upto") * 100 >= F.col("docs") * part, F.col("bin")))
     q = q.groupBy("lang", "source", "metric").agg(at(25).alias("q25"), at(75).alias("q75"), at(REST).alias("rest"))
-    q = q.join(usual(sketch), F.col("lang").eqNullSafe(F.col("of")) & (F.col("metric") == F.col("m")), "left")
-    rest = F.when((F.col("rest") == 0) & F.col("usual").isNotNull(), _top(F.col("usual"))).otherwise(_top(F.col("rest")))
     high = _top(F.col("q75"))
-    up = F.when(F.col("q75") > F.col("q25"), high + FENCE * (high - F.col("q25"))).otherwise(rest)
+    up = F.when(F.col("q75") > F.col("q25"), high + FENCE * (high - F.col("q25"))).otherwise(_top(F.col("rest")))
     return q.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*[F.max(F.when(F.col("metric") == m, up)).alias(f"t_{m}") for m in METRICS])
 
 
@@ -220,8 +210,8 @@ f as (
   from d0 left join w using (r) left join rep using (r) left join dup using (r)),
 m as (
   select *, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
-    case when n_words > 0 then n_symbols * 1000 // n_words else 0 end as symbol_rate,
-    case when n_lines > 0 then n_dup_lines * 1000 // n_lines else 0 end as dup_line_rate,
+    case when n_words > 0 then greatest(n_symbols - 1, 0) * 1000 // n_words else 0 end as symbol_rate,
+    case when n_lines > 0 then greatest(n_dup_lines - 1, 0) * 1000 // n_lines else 0 end as dup_line_rate,
     case when n_words > 0 then n_repeat_words * 1000 // n_words else 0 end as repeat_rate,
     case when n_words > 0 then word_chars * 1000 // n_words else 0 end as word_length from f),
 s as (
@@ -244,14 +234,8 @@ u as (
 q as (
   select lang, source, metric, min(case when upto * 100 >= docs * 25 then b end) as q25, min(case when upto * 100 >= docs * 75 then b end) as q75,
     min(case when upto * 100 >= docs * {REST} then b end) as rest from u group by all),
-us as (
-  select lang, metric, min(case when upto * 2 >= docs then b end) as usual from (
-    select lang, metric, b, sum(n) over (partition by lang, metric order by b rows between unbounded preceding and current row) as upto, sum(n) over (partition by lang, metric) as docs
-    from (select lang, metric, b, sum(n) as n from s where b > 0 group by all)) group by all),
 t as (
-  select q.lang, source, q.metric, case when q75 > q25 then {_TOP.format("q75")} + {FENCE} * ({_TOP.format("q75")} - q25)
-    when rest = 0 and usual is not null then {_TOP.format("usual")} else {_TOP.format("rest")} end as up
-  from q left join us on q.lang is not distinct from us.lang and q.metric = us.metric),
+  select lang, source, metric, case when q75 > q25 then {_TOP.format("q75")} + {FENCE} * ({_TOP.format("q75")} - q25) else {_TOP.format("rest")} end as up from q),
 p as (select lang, source, max(up) filter (metric = 'symbol_rate') as a, max(up) filter (metric = 'dup_line_rate') as b,
     max(up) filter (metric = 'repeat_rate') as c, max(up) filter (metric = 'word_length') as e from t group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
