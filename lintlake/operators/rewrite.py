@@ -43,11 +43,6 @@ def _upto():
     return _order().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _all():
-    return _order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-
-
 def lines_of(files: DataFrame) -> DataFrame:
     return explode_lines(files).withColumn("sub", F.lit(0))
 
@@ -75,10 +70,13 @@ def b1_props(lines: DataFrame) -> DataFrame:
     prop = (F.col("in_script") == 1) & matches(F.col("text"), PROP)
     default = trim(group(F.col("text"), PROP, 2))
     part = F.when(prop, F.when(default != "", F.concat(group(F.col("text"), PROP, 1), F.lit(" = "), default)).otherwise(group(F.col("text"), PROP, 1)))
-    d = d.withColumn("part", part)
-    place = F.struct("line", "sub")
-    d = d.withColumn("parts", F.collect_list("part").over(_all())).withColumn("first", F.min(F.when(F.col("part").isNotNull(), place)).over(_all()))
-    first = F.col("part").isNotNull() & (place == F.col("first"))
+    # the props of a file are a window of their own, in the same partition: other lines don't carry them
+    d = d.withColumn("part", part).withColumn("is_prop", F.col("part").isNotNull())
+    own = Window.partitionBy("project", "path", "is_prop").orderBy("line", "sub")
+    d = d.withColumn("parts", F.collect_list("part").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    first = F.col("is_prop") & (F.row_number().over(own) == 1)
+    d = d.withColumn("first", first)
+    first = F.col("first")
     d = d.where(F.col("part").isNull() | first)
     return _done(d, F.concat(F.lit("  let { "), F.array_join("parts", ", "), F.lit(" } = $props();")), first)
 
@@ -93,8 +91,10 @@ def b2_reactive(lines: DataFrame) -> DataFrame:
     net = (F.length(F.translate(text, "}", "")) - F.length(F.translate(text, "{", ""))).cast("int")
     d = lines.withColumn("in_script", _region("script")).withColumn("net", net)
     d = d.withColumn("at", F.row_number().over(_order())).withColumn("sum", F.sum("net").over(_upto()))
-    d = d.withColumn("declared", F.collect_set(F.when(matches(text, DECLARED), group(text, DECLARED))).over(_all()))
     d = d.withColumn("statement", F.when((F.col("in_script") == 1) & matches(text, REACTIVE), group(text, REACTIVE, 2)))
+    # declarations and assignments of one name in a file are a window of their own: does it hold a declaration?
+    d = d.withColumn("named", F.when(matches(text, DECLARED), group(text, DECLARED)).otherwise(group(F.col("statement"), r"^(\w+)\s*=")))
+    d = d.withColumn("declared", F.max(matches(text, DECLARED)).over(Window.partitionBy("project", "path", "named")))
     block = trim(F.col("statement")).startswith("{")
     opens = d.where(block & (F.col("net") != 0)).select(F.col("project").alias("p"), F.col("path").alias("f"), F.col("at").alias("from"), (F.col("sum") - F.col("net")).alias("level"))
     ends = opens.join(d.select("project", "path", "at", "sum"), (F.col("p") == F.col("project")) & (F.col("f") == F.col("path")) & (F.col("level") == F.col("sum")) & (F.col("at") > F.col("from")))
@@ -115,7 +115,7 @@ def b2_reactive(lines: DataFrame) -> DataFrame:
 
     def derived(p: str) -> Column:
         name = group(statement, p, 1)
-        word = F.when(F.array_contains("declared", name), "").otherwise("const ")
+        word = F.when(F.col("declared"), "").otherwise("const ")
         return F.concat(indent, word, name, F.lit(" = $derived("), group(statement, p, 2), F.lit(");"))
 
     new = (

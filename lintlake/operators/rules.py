@@ -44,6 +44,8 @@ LONG, DEEP = 300, 3
 
 #: Rules beside the array of line rules that read the lines.
 LINE_READERS = ("no-public-env-secrets", "no-giant-component", "no-deep-nesting", "no-multi-script", "no-client-fetch", "form-action-no-validation", "no-unnecessary-state")
+#: Rules in one array expression: more of them outgrow the 64 KB of a compiled method, and Spark then interprets them all.
+TOGETHER = 12
 FOUND = ("project", "path", "rule", "line", "col", "message")
 _HIT = "array<struct<rule:string,col:int,message:string>>"
 
@@ -291,19 +293,29 @@ def calls(files: DataFrame, opener: str, part: str, has: Callable[[Column], Colu
     )
 
 
+def _named(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once, however often it is used: Spark would write it out each time."""
+    return F.transform(F.array(value), of)[0]
+
+
 def _effect_for_derived(files: DataFrame) -> DataFrame:
     """Only calls that begin with an assignment in an arrow function are joined with their file's text."""
     sv = files.where(F.col("path").endswith(".svelte"))
     ahead = F.col("ahead")
     begins = matches(ahead[0], r"^\s*\($") & matches(ahead[1], r"^\s*\)$") & matches(ahead[2], r"^\s*=>\s*\{?\s*\w+\s*=[^=]")
     d = calls(sv, EFFECT, "$effect", lambda t: F.lit(False)).where(begins).join(sv.select("project", "path", "content"), ["project", "path"])
-    d = d.withColumn("body", trim(F.substring("content", F.col("start") + 1, F.col("stop") - F.col("start")))).where(matches(F.col("body"), r"^\(\s*\)\s*=>"))
-    inner = trim(F.regexp_replace("body", java(r"^\(\s*\)\s*=>"), ""))
-    braced = inner.startswith("{") & inner.endswith("}")
-    inner = F.when(braced, trim(F.substring(inner, F.lit(2), F.greatest(F.length(inner) - 2, F.lit(0))))).otherwise(inner)
-    d = d.withColumn("stmt", trim(F.regexp_replace(inner, java(r";\s*$"), "")))
-    right = F.regexp_replace("stmt", java(r"^\w+\s*=\s*"), "")
-    ok = matches(F.col("stmt"), r"^\w+\s*=[^=]") & ~_any(matches(right, p) for p in (r"\bconsole\.\w+\s*\(", *SIDE_EFFECTS[1:])) & ~F.col("stmt").contains(";")
+    arrow = java(r"^\(\s*\)\s*=>")
+
+    def statement(body: Column) -> Column:
+        """What the arrow function does, without its braces and last semicolon."""
+        braced = lambda t: F.when(t.startswith("{") & t.endswith("}"), trim(F.substring(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0))))).otherwise(t)
+        bare = lambda t: trim(F.regexp_replace(t, java(r";\s*$"), ""))
+        return _named(_named(trim(F.regexp_replace(body, arrow, "")), braced), bare)
+
+    body = trim(F.substring("content", F.col("start") + 1, F.col("stop") - F.col("start")))
+    d = d.withColumn("stmt", _named(body, lambda b: F.when(b.rlike(arrow), statement(b))))
+    harmless = lambda right: ~_any(matches(right, p) for p in (r"\bconsole\.\w+\s*\(", *SIDE_EFFECTS[1:]))
+    ok = _named(F.col("stmt"), lambda t: matches(t, r"^\w+\s*=[^=]") & ~t.contains(";") & _named(F.regexp_replace(t, java(r"^\w+\s*=\s*"), ""), harmless))
     return _rows(d.where(ok), "no-effect-for-derived", F.col("line"), F.col("col"))
 
 
@@ -342,8 +354,9 @@ def evaluate(files: DataFrame, profiles: DataFrame, names: Iterable[str] | None
             lines = written(lines)
     hits = [line_hit(r) for r in chosen if r.line] + [c for n, c in _special_line_hits().items() if n.split("/")[0] in want]
     parts: list[DataFrame] = []
-    if hits:
-        x = lines.select("project", "path", "line", F.explode(F.array_compact(F.array(*hits))).alias("h"))
+    for k in range(0, len(hits), TOGETHER):
+        # outer, since else Spark infers a filter from the array, which evaluates every rule twice
+        x = lines.select("project", "path", "line", F.explode_outer(F.array_compact(F.array(*hits[k : k + TOGETHER]))).alias("h")).where("h is not null")
         parts.append(x.select("project", "path", "h.rule", F.col("line").cast("int").alias("line"), "h.col", "h.message"))
     known = files.join(gates.select("project"), "project", "left_semi")
     special = {

@@ -89,15 +89,16 @@ def _b2(head: str = _BASE, source: str = "lines", tail: str = "") -> str:
     end = _replace("start", r"\}\s*$", "});")
     return f"""{head}, a as (select *, {net}::int as net from {source}),
   b as (select *, sum(net) over (partition by project, path order by line rows between unbounded preceding and current row) as total,
-    list(case when {sql_matches("text", W.DECLARED)} then {sql_group("text", W.DECLARED)} end) over (partition by project, path) as declared,
     case when in_script = 1 and {sql_matches("text", W.REACTIVE)} then {sql_group("text", W.REACTIVE, 2)} end as statement from a),
   o as (select project, path, line, total - net as level from b where starts_with({sql_trim("statement")}, '{{') and net <> 0),
-  e as (select o.project, o.path, o.line, min(b.line) as till from o join b on b.project = o.project and b.path = o.path and b.line > o.line and b.total = o.level group by all),
-  f as (select b.*, exists (select 1 from e where e.project = b.project and e.path = b.path and e.line = b.line) as opens, exists (select 1 from e where e.project = b.project and e.path = b.path and e.till = b.line) as closes from b),
+  e as (select o.project, o.path, o.line, b.line as till from o asof join b on b.project = o.project and b.path = o.path and b.total = o.level and b.line > o.line),
+  dl as (select project, path, list(distinct {sql_group("text", W.DECLARED)}) as declared from a where {sql_matches("text", W.DECLARED)} group by project, path),
+  f as (select b.*, eo.line is not null as opens, ec.line is not null as closes from b left join (select distinct project, path, line from e) eo using (project, path, line)
+    left join (select distinct project, path, till as line from e) ec using (project, path, line)),
   g as (select *, case when closes then {_replace("text", r"\}\s*$", "});")} else text end as c from f),
   h as (select *, {st} as st, {indent} as ind from g where closes or (in_script = 1 and {sql_matches("c", W.REACTIVE)})),
   i as (select *, {sql_trim("st")} as t, ind || '$effect(() => ' || st as start, in_script = 1 and {sql_matches("c", W.REACTIVE)} as again from h),
-  k as (select *, {sql_matches("t", r"^\w+[\w.]*\s*\(")} or starts_with(t, 'if ') or {sql_matches("t", r"\bawait\b")} as eff from i){"," if tail else ""}
+  k as (select i.*, dl.declared, {sql_matches("t", r"^\w+[\w.]*\s*\(")} or starts_with(t, 'if ') or {sql_matches("t", r"\bawait\b")} as eff from i left join dl using (project, path)){"," if tail else ""}
   {"b2done as (" if tail else ""}select project, path, line, 0 as sub, case when not again then c when starts_with(t, '{{') and net = 0 then {end} when starts_with(t, '{{') and opens then start
     when not {sql_matches("t", r"\bawait\b")} and {sql_matches("t", r"^\w+\s*=\s*.+")} and not eff and {sql_matches("st", W.ASSIGN)} then {derive(W.ASSIGN)}
     when not {sql_matches("t", r"\bawait\b")} and {sql_matches("t", r"^\w+\s*=\s*.+")} and not eff and {sql_matches("st", W.ASSIGN_OPEN)} then {derive(W.ASSIGN_OPEN)}

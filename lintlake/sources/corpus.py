@@ -173,18 +173,25 @@ _PATH = """case when doc_id % 10 in (0, 1, 2) then concat('src/routes/d', doc_id
   when doc_id % 10 = 9 then concat('src/lib/u', doc_id, '.ts') end"""
 
 
-def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source files made from the documents table by arithmetic: one for each document with a path.
+def made_files(documents: DataFrame) -> DataFrame:
+    """doc_id, project, path, content: a source file for each document (doc_id, source, text) with a path, row by row.
 
-    A stand-in for a fleet of repositories: each file holds its document's whole text, in the template or
-    in a string of the script, so that files grow with the table. Row by row, no shuffle.
+    Several documents of a project may share the path of its error page.
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("source").alias("project"), F.coalesce("text", F.lit("")).alias("body"))
+    d = documents.select("doc_id", "source", F.col("source").alias("project"), F.coalesce("text", F.lit("")).alias("body"))
     d = d.withColumn("path", F.expr(_PATH)).where("path is not null and project is not null")
     held = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     lines = F.array(*[F.when(F.expr(c), F.expr(t)) for c, t in _parts(held)])
-    # several documents of a project share the path of its error page; the smallest id's file counts
-    d = d.withColumn("content", F.array_join(F.array_compact(lines), "\n"))
+    return d.select("doc_id", "project", "path", F.array_join(F.array_compact(lines), "\n").alias("content"))
+
+
+def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files made from the documents table by arithmetic: one for each document with a path.
+
+    A stand-in for a fleet of repositories: each file holds its document's whole text, in the template or
+    in a string of the script, so that files grow with the table. Where documents share a path, the smallest id's file counts.
+    """
+    d = made_files(table(spark, sf_dir, "documents"))
     fixed = d.where("path = 'src/routes/+error.svelte'").groupBy("project", "path").agg(F.min_by("content", "doc_id").alias("content"))
     return d.where("path != 'src/routes/+error.svelte'").select("project", "path", "content").unionByName(fixed)
 

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from lintlake.sources.corpus import read_corpus
 from lintlake.sources.parts import PartedTable
 from lintlake.sources.shared import written
 from lintlake.streaming import live
+from lintlake.streaming.scan import LiveScan
 
 FILES = "project string, path string, content string"
 FOUND = "project string, path string, rule string, severity string, category string, message string, help string, line int, col int, weight double"
@@ -192,10 +194,95 @@ def test_live_totals_in_any_split_of_batches(spark, tmp_path, parts):
         spark.createDataFrame(rows[k * 40 // parts : (k + 1) * 40 // parts], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     stream = stream.withColumn("project", F.lit("p")).withColumn("ts", F.timestamp_seconds("s"))
-    got = live.run_once(live.live_totals(stream)).orderBy("seq").collect()
+    got = live.live_totals(stream).orderBy("seq").collect()
     assert [(r.seq, r.penalty, r.score, r.delta, r.runes) for r in got] == fold(rows)
 
 
+def stream_of(spark, folder, schema, *batches):
+    """A stream that takes each of ``batches`` as a batch of its own."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        for f in glob.glob(f"{folder}/*.parquet"):
+            os.utime(f, (k + 1, k + 1)) if os.stat(f).st_mtime > 1000 else None
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+CHANGE = "project string, path string, ts timestamp, seq long, op string, plain long, gated long, runes boolean"
+
+
+def change(path, s, op="upsert", plain=10, gated=0, runes=False, seq=None):
+    return ("p", path, datetime.fromtimestamp(1_700_000_000 + s, timezone.utc), s if seq is None else seq, op, plain, gated, runes)
+
+
+def test_late_changes_are_refused_and_deleted_files_forgotten(spark, tmp_path):
+    day = 86_400
+    batches = [[change("a", 0), change("b", 5)], [change("a", 3600, plain=30), change("b", 3601, "delete")], [change("a", 3000, plain=99, seq=9000), change("c", 100, plain=50), change("c", 3602, plain=7)], [change("d", 40 * day)], [change("d", 41 * day, plain=1)]]
+    stream = stream_of(spark, tmp_path / "in", CHANGE, *batches)
+    live_ = live.LiveTotals(spark, str(tmp_path / "out"))
+    totals = live_.run(stream).orderBy("seq").collect()
+    assert [(r.seq, r.penalty) for r in totals] == [(0, 10), (5, 20), (3600, 40), (3601, 30), (3602, 37), (40 * day, 47), (41 * day, 38)]
+    # one is older than the file's last change, the other than the newest change by more than is allowed
+    assert sorted((r.path, r.seq) for r in live_.refused().collect()) == [("a", 9000), ("c", 100)]
+    state = spark.read.format("statestore").option("stateVarName", "file").load(str(tmp_path / "out" / "state"))
+    assert sorted(r.key.path for r in state.collect()) == ["a", "c", "d"]  # the deleted file's state is gone
+
+
+def test_totals_begin_with_a_first_scan(spark, tmp_path):
+    first = spark.createDataFrame([("p", "a", 40, 5, True), ("p", "b", 7, 9, False), ("q", "z", 3, 0, False)], "project string, path string, plain long, gated long, runes boolean")
+    stream = stream_of(spark, tmp_path / "in", CHANGE, [change("a", 1, "delete"), change("b", 2, plain=8, gated=1, runes=True)], [change("b", 3, "delete")])
+    got = [(r.seq, r.penalty, r.delta, r.runes) for r in live.live_totals(stream, first).orderBy("seq").collect()]
+    score = lambda p: max(0, min(100, math.floor(100 * math.exp(-p / 800) + 0.5)))
+    assert got == [(1, 7, score(7) - score(61), False), (2, 9, score(9) - score(7), True), (3, 0, 100 - score(9), False)]
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    found = spark.createDataFrame([("p", f"f{k}", 1000 * k, k, "upsert", False, k, 0, 0, None, None, 0, 0, 0) for k in range(20)], live.DIFFERENCE)
+    t = live.LiveTotals(spark, str(tmp_path / "t"))
+    for turn in (0, 1, 1, 0):
+        t.write(found.where(f"seq % 2 = {turn}"), turn)
+    assert t.totals().count() == 20 and t.totals().where("seq = 19").first().penalty == sum(range(20))
+
+
+def test_debounce_closes_every_run(spark, tmp_path):
+    at = lambda ms: datetime.fromtimestamp(1_700_000_000 + ms / 1000, timezone.utc)
+    rows = [("p", "a", at(0), 1), ("p", "a", at(149), 2), ("p", "a", at(300), 3), ("p", "b", at(100), 4), ("p", "b", at(200), 5), ("p", "b", at(349), 6)]
+    stream = stream_of(spark, tmp_path / "in", "project string, path string, ts timestamp, seq long", rows[:3], rows[3:])
+    got = live.run_flushed(stream, live.debounce).collect()
+    assert sorted((r.path, r.seq, r.n) for r in got) == [("a", 2, 2), ("a", 3, 1), ("b", 6, 3)]
+
+
+CONTENT = "project string, path string, ts timestamp, seq long, op string, content string"
+
+
+def test_live_scan_equals_a_scan_of_the_last_state(spark, tmp_path):
+    manifest = lambda **d: json.dumps({"devDependencies": d, "lintlake": {"ignore": {"rules": ["no-moment"]}}})
+    put = lambda path, s, text, op="upsert": ("p", path, datetime.fromtimestamp(1_700_000_000 + s, timezone.utc), s, op, text)
+    legacy, modern = "<script>\nexport let x;\nimport m from 'moment';\n</script>\n<slot />", "<script>\nlet s = $state(1);\ns = 2;\n</script>"
+    batches = [
+        [put("package.json", 0, manifest(svelte="^5.0.0", **{"@sveltejs/kit": "1"})), put("src/a.svelte", 1, legacy), put("src/u.ts", 2, "eval(1);"), put("src/u.ts", 3, "eval(1);\neval(2);"), put("src/routes/+layout.svelte", 4, "<p>x</p>")],
+        [put("src/b.svelte", 10, modern), put("src/routes/+error.svelte", 11, "<p>e</p>")],  # runes in the project from now on
+        [put("src/u.ts", 12, "", "delete"), put("src/u.ts", 5, "eval(3);"), put("tsconfig.json", 13, "{}"), put("src/routes/+page.ts", 14, "export const load = async () => {};")],
+        [put("src/b.svelte", 20, "", "delete"), put("src/routes/+error.svelte", 21, None, "delete"), put("src/a.svelte", 0, "eval(9)")],
+        [put("package.json", 30, manifest(vite="1"))], [put("src/c.ts", 31, "eval(1);")], [put("package.json", 40, manifest(svelte="^5.0.0"))],
+    ]
+    scan = LiveScan(spark, str(tmp_path / "live"))
+    state = {}
+    for k, batch in enumerate(batches):
+        for _ in range(2 if k in (1, 3) else 1):  # twice, as after a failure
+            scan.write(spark.createDataFrame(batch, CONTENT), k)
+        for _, path, ts, _, op, text in sorted(batch, key=lambda r: r[2]):
+            if path not in state or state[path][0] <= ts:
+                state[path] = (ts, None if op == "delete" else text)
+        if k in (0, 2, 5):
+            continue
+        files = spark.createDataFrame([("p", p, t) for p, (_, t) in state.items() if t is not None], FILES)
+        want = api.diagnose(files, dead_code=False).findings.select("path", "rule", "line", "col", "message")
+        got = scan.findings().select("path", "rule", "line", "col", "message")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), k
+        assert (got.count() == 0) == (k == 4)
+    assert {(r.path, r.seq) for r in scan.refused().collect()} == {("src/a.svelte", 0)}
+
+
 def test_change_filter(spark):
     paths = ["a.ts", "x/b.svelte", "c.css", "node_modules/d.js", "x/dist/e.js", "../f.ts", "/g.ts", "distant/h.json"]
     df = spark.createDataFrame([(p,) for p in paths], "path string")
