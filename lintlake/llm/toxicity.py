@@ -26,6 +26,8 @@ ORDINARY_BYTES, FIRST_BYTES, TOXIC_BYTES = 100_000, 100_000, 3072
 FOLDS, ROUNDS = 4, 5
 #: Windows that a toxic text gives to the next round: its best, if they save more than this part of ordinary windows.
 PICKED, RARE = 4, 0.997
+#: Ordinary texts, about, whose windows tell what is rare among ordinary ones: of the sample's other half, evenly taken.
+JUDGES = 400
 #: Saved bytes from which a window counts as a hit, at two levels.
 LEVELS = (2, 4)
 #: Every window ends with these bytes and so does every dictionary: a window is never stored uncompressed.
@@ -82,14 +84,15 @@ def score_of(x: Sequence[float], model: Model) -> float:
 
 
 def _dictionary(size: int, samples: list[bytes], segment: int) -> bytes:
-    """The content of a dictionary that zstandard trains on ``samples``; all of them where they are no longer than it."""
-    content = b"".join(samples)
-    if len(content) <= 2 * size:
-        return content[-size:]
+    """The content of a dictionary of ``size`` bytes, or of its samples' where those are fewer, that zstandard trains on ``samples``.
+
+    Samples that it refuses to train on, a handful, are the dictionary as they are; none is left out.
+    """
+    size = min(size, sum(map(len, samples)))
     try:
-        return zstd.train_dictionary(size + 400, samples, k=segment, d=6).as_bytes()[-size:]
-    except zstd.ZstdError:  # too few samples to train on
-        return content[-size:]
+        return zstd.train_dictionary(max(size, 256) + 400, samples, k=segment, d=6).as_bytes()[-size:]  # a header comes first
+    except zstd.ZstdError:
+        return b"".join(samples)
 
 
 def _distinct(texts: list[list[bytes]]) -> list[list[bytes]]:
@@ -151,7 +154,7 @@ def train(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model:
     other = ordinary[1::2] or ordinary
     folds = min(FOLDS, len(toxic))
     cost = [_lengths(t, base) for t in toxic]
-    plain = [w for t in other[:: max(1, len(other) // 400)] for w in t]
+    plain = [w for t in other[:: max(1, len(other) // JUDGES)] for w in t]
     plain_cost = _lengths(plain, base)
 
     def trained(samples: list[list[bytes]], size: int, segment: int) -> list[bytes]:

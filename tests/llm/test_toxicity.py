@@ -62,3 +62,14 @@ def test_long_labelled_texts_give_a_bounded_sample(spark, monkeypatch):
     toxicity.learned(docs, known)
     for part in seen.values():
         assert 2000 < sum(map(len, part)) < 4000 and len(part) > 10
+
+
+def test_every_dictionary_is_trained_whatever_its_size():
+    rng = random.Random(4)
+    for n, size in ((40, 3072), (300, 3072), (3000, 100_000)):
+        samples = [w for _ in range(n) for w in toxicity.windows(" ".join(rng.choices(PLAIN, k=20)))]
+        trained = toxicity._dictionary(size, samples, 16)
+        whole = b"".join(samples)
+        assert 1000 < len(trained) <= min(size, len(whole)) and trained not in whole
+    few = [b"one sample only", b"and another"]
+    assert toxicity._dictionary(3072, few, 16) == b"".join(few)
