@@ -67,18 +67,20 @@ def content_changes(spark: SparkSession, sf_dir: str, round_: int) -> DataFrame:
     """
     schema = table(spark, sf_dir, "documents").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    d = made_files(docs).withColumn("own", F.col("path") != ERROR_PAGE)
+    page = F.col("path").endswith("/+error.svelte")
+    d = made_files(docs).withColumn("own", ~page)
     k = F.regexp_extract("project", r"(\d+)$", 1).cast("int")
     third, gone = F.col("own") & (F.col("doc_id") % 3 == 0), F.col("own") & (F.col("doc_id") % 9 == 4)
     keep = (F.lit(True), third, gone)[round_]
     op = F.lit("delete" if round_ == 2 else "upsert")
     content = F.when(third, F.concat(F.lit("eval(1);\n"), "content")).otherwise(F.col("content")) if round_ == 0 else F.col("content")
     file = F.when(keep, F.struct("path", op.alias("op"), content.alias("content")))
+    top = F.when(page & F.lit(round_ == 0), F.struct(F.lit(ERROR_PAGE).alias("path"), op.alias("op"), F.col("content")))  # of the smallest id: the latest
     version = F.lit(',"svelte":"^5.1.0"') if round_ == 0 else F.lit("")
     manifest = F.concat(F.lit('{"name":"'), "project", F.lit('","dependencies":{"@sveltejs/kit":"^2.0.0"'), F.when(k != 19, version).otherwise(F.lit("")), F.lit("}}"))
     told = F.lit(True) if round_ == 0 else (k % 6 == 1) & F.lit(round_ == 2)
     root = F.when(told, F.struct(F.lit("package.json").alias("path"), F.lit("upsert").alias("op"), manifest.alias("content")))
-    d = d.select("project", F.lit(0).cast("long").alias("seq"), F.timestamp_seconds(F.lit((round_ + 1) * 10**9) - F.col("doc_id")).alias("ts"), F.explode(F.array_compact(F.array(file, root))).alias("f"))
+    d = d.select("project", F.lit(0).cast("long").alias("seq"), F.timestamp_seconds(F.lit((round_ + 1) * 10**9) - F.col("doc_id")).alias("ts"), F.explode(F.array_compact(F.array(file, top, root))).alias("f"))
     return d.select("project", "seq", "ts", "f.*")
 
 
@@ -89,7 +91,7 @@ def live_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.findings().select("project", "path", "rule", "severity", "category", "line", "col", "message")
 
 
-_LEFT = FILES_SQL.replace("where path is not null and project is not null", "where path is not null and project is not null and (doc_id % 9 <> 4 or path = 'src/routes/+error.svelte')")
+_LEFT = FILES_SQL.replace("where path is not null and project is not null", "where path is not null and project is not null and (doc_id % 9 <> 4 or ends_with(path, '/+error.svelte'))")
 _LIVE = fleet_queries._DIAGNOSED.replace("<> '19'", "not in ('19') and regexp_extract(project, '([0-9]+)$', 1)::int % 6 <> 1")
 register(
     "stream_live_findings", live_findings,

@@ -163,7 +163,7 @@ def _parts(literal) -> list[tuple[str, str]]:
 _PATH = """case when doc_id % 10 in (0, 1, 2) then concat('src/routes/d', doc_id, '/+page.svelte')
   when doc_id % 10 = 3 then concat('src/routes/d', doc_id, '/+page.ts')
   when doc_id % 10 = 4 then concat('src/routes/d', doc_id, '/+page.server.ts')
-  when doc_id % 70 = 5 and source <> 'src5' then 'src/routes/+error.svelte'
+  when doc_id % 70 = 5 and source <> 'src5' then concat('src/routes/d', doc_id, '/+error.svelte')
   when doc_id % 10 = 5 then concat('pkg', doc_id, '/src/routes/+layout.svelte')
   when doc_id % 20 = 6 then concat('src/lib/x', doc_id, '.test.ts')
   when doc_id % 20 = 16 then concat('src/__mocks__/m', doc_id, '.ts')
@@ -174,10 +174,7 @@ _PATH = """case when doc_id % 10 in (0, 1, 2) then concat('src/routes/d', doc_id
 
 
 def made_files(documents: DataFrame) -> DataFrame:
-    """doc_id, project, path, content: a source file for each document (doc_id, source, text) with a path, row by row.
-
-    Several documents of a project may share the path of its error page.
-    """
+    """doc_id, project, path, content: a source file for each document (doc_id, source, text) with a path, row by row."""
     d = documents.select("doc_id", "source", F.col("source").alias("project"), F.coalesce("text", F.lit("")).alias("body"))
     d = d.withColumn("path", F.expr(_PATH)).where("path is not null and project is not null")
     held = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -189,11 +186,11 @@ def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files made from the documents table by arithmetic: one for each document with a path.
 
     A stand-in for a fleet of repositories: each file holds its document's whole text, in the template or
-    in a string of the script, so that files grow with the table. Where documents share a path, the smallest id's file counts.
+    in a string of the script, so that files grow with the table. A project's first error page is also its root's.
     """
     d = made_files(table(spark, sf_dir, "documents"))
-    fixed = d.where("path = 'src/routes/+error.svelte'").groupBy("project", "path").agg(F.min_by("content", "doc_id").alias("content"))
-    return d.where("path != 'src/routes/+error.svelte'").select("project", "path", "content").unionByName(fixed)
+    first = d.where(F.col("path").endswith("/+error.svelte")).groupBy("project").agg(F.min_by("content", "doc_id").alias("content"))
+    return d.select("project", "path", "content").unionByName(first.withColumn("path", F.lit("src/routes/+error.svelte")))
 
 
 def _content_sql() -> str:
@@ -204,8 +201,8 @@ def _content_sql() -> str:
 FILES_SQL = f"""
 derived as (select doc_id, source as project, coalesce(text, '') as body, {_PATH} as path from documents),
 made as (select doc_id, project, path, {_content_sql()} as content from derived where path is not null and project is not null),
-files as (select project, path, content from made where path <> 'src/routes/+error.svelte'
-  union all select project, path, min_by(content, doc_id) from made where path = 'src/routes/+error.svelte' group by project, path)"""
+files as (select project, path, content from made
+  union all select project, 'src/routes/+error.svelte', min_by(content, doc_id) from made where ends_with(path, '/+error.svelte') group by project)"""
 
 
 def _number(project: Column) -> Column:
