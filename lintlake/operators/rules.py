@@ -44,8 +44,6 @@ LONG, DEEP = 300, 3
 
 #: Rules beside the array of line rules that read the lines.
 LINE_READERS = ("no-public-env-secrets", "no-giant-component", "no-deep-nesting", "no-multi-script", "no-client-fetch", "form-action-no-validation", "no-unnecessary-state")
-#: Rules in one array expression: more of them outgrow the 64 KB of a compiled method, and Spark then interprets them all.
-TOGETHER = 12
 FOUND = ("project", "path", "rule", "line", "col", "message")
 _HIT = "array<struct<rule:string,col:int,message:string>>"
 
@@ -354,9 +352,9 @@ def evaluate(files: DataFrame, profiles: DataFrame, names: Iterable[str] | None
             lines = written(lines)
     hits = [line_hit(r) for r in chosen if r.line] + [c for n, c in _special_line_hits().items() if n.split("/")[0] in want]
     parts: list[DataFrame] = []
-    for k in range(0, len(hits), TOGETHER):
+    if hits:
         # outer, since else Spark infers a filter from the array, which evaluates every rule twice
-        x = lines.select("project", "path", "line", F.explode_outer(F.array_compact(F.array(*hits[k : k + TOGETHER]))).alias("h")).where("h is not null")
+        x = lines.select("project", "path", "line", F.explode_outer(F.array_compact(F.array(*hits))).alias("h")).where("h is not null")
         parts.append(x.select("project", "path", "h.rule", F.col("line").cast("int").alias("line"), "h.col", "h.message"))
     known = files.join(gates.select("project"), "project", "left_semi")
     special = {
