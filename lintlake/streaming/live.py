@@ -88,30 +88,30 @@ class Differences(StatefulProcessor):
         self.file.update((FIRST, -1, int(first["plain"]), int(first["gated"]), bool(first["runes"]), False))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = self.file.get() if self.file.exists() else None
-        changes = pd.concat(list(rows)).sort_values(["at", "seq"])
+        old = self.file.get()  # one call of the state store for each file, and one to store
+        timed = bool(old and old[5])
+        changes = sorted(row for part in rows for row in zip(*[part[c].tolist() for c in _READ], strict=True))
         # the watermark stands KEPT behind the newest change, so that late rows come here to be refused and not lost
         mark = timerValues.getCurrentWatermarkInMs()
         oldest = (mark + self.kept_ms - self.late_ms) * 1000 if mark > 0 else None
         out = []
-        for c in changes.itertuples():
-            at, seq = int(c.at), int(c.seq)
+        for at, seq, op, plain, gated, runes in changes:
             before = (int(old[2]), int(old[3]), int(old[4])) if old else (0, 0, 0)
             place = (int(old[0]), int(old[1])) if old else (None, None)
             refused = (old is not None and at < place[0]) or (oldest is not None and at < oldest)
-            if c.op == _GATE or refused:
+            if op == _GATE or refused:
                 now = before
             else:
-                now = (0, 0, 0) if c.op == "delete" else (int(c.plain), int(c.gated), int(c.runes))
-                old = (at, seq, now[0], now[1], bool(now[2]), c.op == "delete")
-            out.append((key[0], key[1], at, seq, c.op, refused, *now, *place, *before))
+                now = (0, 0, 0) if op == "delete" else (int(plain), int(gated), int(runes))
+                old = (at, seq, now[0], now[1], bool(now[2]), op == "delete")
+            out.append((key[0], key[1], at, seq, op, refused, *now, *place, *before))
         if old is not None:
             self.file.update(old)
-            for timer in list(self.handle.listTimers()):
+            for timer in list(self.handle.listTimers()) if timed else ():
                 self.handle.deleteTimer(timer)
             if old[5]:
                 self.handle.registerTimer(max(int(old[0]) // 1000, mark) + 1)  # the watermark gets there KEPT later
-        yield pd.DataFrame(out, columns=_NAMES).astype({"old_at": "Int64", "old_seq": "Int64"})
+        yield pd.DataFrame(out, columns=_NAMES, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.file.exists() and self.file.get()[5]:
@@ -122,6 +122,7 @@ class Differences(StatefulProcessor):
         pass
 
 
+_READ = ("at", "seq", "op", "plain", "gated", "runes")
 _NAMES = [field.split()[0] for field in DIFFERENCE.split(", ")]
 #: The time of a first scan: before all changes.
 FIRST = -(1 << 62)
