@@ -37,3 +37,15 @@ def test_one_pattern_says_what_trimming_did(spark):
     for name in ("script", "style"):
         checks += [opens_region(text, name) == t.rlike(java(rf"^<{name}[\s>]")), closes_region(text, name) == (t == f"</{name}>")]
     assert [r.text for r in d.where(~F.forall(F.array(*checks), lambda x: x)).collect()] == []
+
+
+def test_files_are_matched_once_for_all_patterns(spark, monkeypatch):
+    """Imports are found by one pass over the files and exports by another, however many patterns there are."""
+    from lintlake.operators import graph
+
+    files = spark.createDataFrame([("p", "src/a.ts", "import { b, type C } from './b';\nconst l = import('./b');\nexport * from './b';"), ("p", "src/b.ts", "export const b = 1;")], "project string, path string, content string")
+    passes = []
+    monkeypatch.setattr(graph, "_code", lambda files, word, of=graph._code: passes.append(word) or of(files, word))
+    edges = {(r.symbol, r.exported_as) for r in graph.import_edges(files).collect()}
+    assert edges == {("b", None), ("C", None), ("*", None), ("*", "*")} and passes == ["import", "export"]
+    assert "ExistingRDD" not in graph.requests(files)._jdf.queryExecution().optimizedPlan().toString()  # what follows reads the matches, not the files
