@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions.text import group, java, matches, trim
-from lintlake.operators.lines import explode_lines
+from lintlake.operators.lines import closes_region, explode_lines, opens_region
 
 #: Patterns that are rewritten, what they become, and the names of changes in their order.
 PROP = r"^\s*export\s+let\s+(\w+)\s*(?::\s*[^=;]+)?\s*(?:=\s*(.+?))?\s*;?\s*$"
@@ -44,12 +44,12 @@ def _upto():
 
 
 def lines_of(files: DataFrame) -> DataFrame:
-    return explode_lines(files).withColumn("sub", F.lit(0))
+    """Files are dealt before they are exploded: content moves once, and patterns are searched on all cores."""
+    return explode_lines(files.repartition("project", "path")).withColumn("sub", F.lit(0))
 
 
 def _region(name: str) -> Column:
-    t = trim(F.col("text"))
-    marker = F.when(matches(t, rf"^<{name}[\s>]"), 1).when(t == f"</{name}>", 0)
+    marker = F.when(opens_region(F.col("text"), name), 1).when(closes_region(F.col("text"), name), 0)
     return F.when(marker.isNotNull(), 0).otherwise(F.coalesce(F.last(marker, ignorenulls=True).over(_upto()), F.lit(0)))
 
 
@@ -57,6 +57,11 @@ def _replace(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, java(pattern), by)
 
 
+def _like(made: Column, pattern: str) -> Column:
+    """matches() of a text that is itself worked out: written out once, without a search before."""
+    return made.rlike(java(pattern))
+
+
 def _done(d: DataFrame, text: Column, hit: Column) -> DataFrame:
     """The pass's lines; flags of earlier passes go along."""
     hit = F.coalesce(hit, F.lit(False))
@@ -104,12 +109,12 @@ def b2_reactive(lines: DataFrame) -> DataFrame:
     d = d.join(marks, (F.col("project") == F.col("p")) & (F.col("path") == F.col("f")) & (F.col("at") == F.col("k")), "left")
     ended = F.col("closes") == 1
     closed = F.when(ended, _replace(text, r"\}\s*$", "});")).otherwise(text)
-    again = (F.col("in_script") == 1) & matches(closed, REACTIVE)
+    again = (F.col("in_script") == 1) & _like(closed, REACTIVE)
     statement, indent = group(closed, REACTIVE, 2), group(closed, REACTIVE, 1)
     t = trim(statement)
-    waits = matches(t, r"\bawait\b")
-    effect = matches(t, r"^\w+[\w.]*\s*\(") | t.startswith("if ") | waits
-    plain = ~waits & matches(t, r"^\w+\s*=\s*.+") & ~effect
+    waits = _like(t, r"\bawait\b")
+    effect = _like(t, r"^\w+[\w.]*\s*\(") | t.startswith("if ") | waits
+    plain = ~waits & _like(t, r"^\w+\s*=\s*.+") & ~effect
     whole = t.startswith("{") & ((F.col("opens") == 1) | (F.col("net") == 0))
     start = F.concat(indent, F.lit("$effect(() => "), statement)
 
@@ -121,8 +126,8 @@ def b2_reactive(lines: DataFrame) -> DataFrame:
     new = (
         F.when(whole & (F.col("net") == 0), _replace(start, r"\}\s*$", "});"))
         .when(whole, start)
-        .when(plain & matches(statement, ASSIGN), derived(ASSIGN))
-        .when(plain & matches(statement, ASSIGN_OPEN), derived(ASSIGN_OPEN))
+        .when(plain & _like(statement, ASSIGN), derived(ASSIGN))
+        .when(plain & _like(statement, ASSIGN_OPEN), derived(ASSIGN_OPEN))
         .when(effect, F.concat(indent, F.lit("$effect(() => { "), statement, F.when(statement.endswith(";"), "").otherwise(";"), F.lit(" });")))
         .otherwise(F.concat(indent, F.lit("$effect(() => { "), statement, F.lit(" });")))
     )
@@ -133,7 +138,7 @@ def b3_dispatcher(lines: DataFrame) -> DataFrame:
     text = F.col("text")
     imported, only = matches(text, DISPATCHER_IMPORT), matches(text, DISPATCHER_ONLY)
     fewer = F.when(imported, _replace(text, r"^(.*?)(?:,?\s*createEventDispatcher\s*,?)", "$1")).otherwise(text)
-    made = matches(fewer, DISPATCHER_CONST)
+    made = _like(fewer, DISPATCHER_CONST)
     return _done(lines, F.when(imported & only, F.lit(DISPATCHER_TODO)).when(made, F.lit(DISPATCH_TODO)).otherwise(fewer), imported | made)
 
 
@@ -160,8 +165,7 @@ def b4_lifecycle(lines: DataFrame) -> DataFrame:
 
 
 def _template(lines: DataFrame) -> DataFrame:
-    style = trim(F.col("text"))
-    marker = matches(style, r"^<style[\s>]") | (style == "</style>")
+    marker = opens_region(F.col("text"), "style") | closes_region(F.col("text"), "style")
     return lines.withColumn("open", (_region("script") == 0) & (_region("style") == 0) & ~marker)
 
 
@@ -197,8 +201,18 @@ def b8_text(text: Column) -> Column:
     return F.when(F.size(names) == 0, text).when(F.contains(left, F.lit(">")), inside).otherwise(at_end)
 
 
+#: What a line holds if a change of the template can touch it.
+TOUCHED = {b5_text: "on:", b6_text: "on:", b7_text: "slot", b8_text: "let:"}
+
+
+def _changed(change) -> Column:
+    """The line as ``change`` leaves it; only open lines that hold what it looks for are worked on."""
+    text = F.col("text")
+    return F.when(F.col("open") & F.contains(text, F.lit(TOUCHED[change])), change(text)).otherwise(text)
+
+
 def template_pass(lines: DataFrame, change) -> DataFrame:
-    d = _template(lines).withColumn("new", change(F.col("text")))
+    d = _template(lines).withColumn("new", _changed(change))
     return _done(d, F.col("new"), F.col("open") & (F.col("new") != F.col("text")))
 
 
@@ -217,7 +231,7 @@ def rewrite_corpus(files: DataFrame) -> DataFrame:
         flags.append(name)
     d = _template(lines)
     for name, change in TEMPLATE.items():
-        d = d.withColumn("new", F.when(F.col("open"), change(F.col("text"))).otherwise(F.col("text")))
+        d = d.withColumn("new", _changed(change))
         d = d.withColumn(name, F.col("new") != F.col("text")).withColumn("text", F.col("new")).drop("new")
         flags.append(name)
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "sub", "text"))), lambda x: x["text"]), "\n")

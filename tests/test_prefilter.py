@@ -49,3 +49,15 @@ def test_files_are_matched_once_for_all_patterns(spark, monkeypatch):
     edges = {(r.symbol, r.exported_as) for r in graph.import_edges(files).collect()}
     assert edges == {("b", None), ("C", None), ("*", None), ("*", "*")} and passes == ["import", "export"]
     assert "ExistingRDD" not in graph.requests(files)._jdf.queryExecution().optimizedPlan().toString()  # what follows reads the matches, not the files
+
+
+def test_rewrites_work_on_lines_that_hold_what_they_change(spark):
+    """Files are dealt before they are cut into lines, and what a change looks for is in each line that it changes."""
+    from lintlake.operators import rewrite as W
+
+    files = spark.createDataFrame([("p", "a.svelte", "\n".join(s for _, s in SNIPPETS))], "project string, path string, content string")
+    plan = W.lines_of(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("RepartitionByExpression")
+    for change, part in W.TOUCHED.items():
+        changed = W.lines_of(files).where(change(F.col("text")) != F.col("text")).select("text").collect()
+        assert changed and all(part in r.text for r in changed)
