@@ -1,6 +1,9 @@
 """What the scan moves and looks at: files are dealt evenly, and windows see only lines that a rule reads."""
 
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from lintlake.operators import lines as L
 from lintlake.operators import rules as R
@@ -44,3 +47,22 @@ def test_elements_and_imports_are_put_together(spark):
     got = {r.line: (r.element, r.import_up, r.import_text) for r in L.with_regions(L.explode_lines(files, joined=True)).collect()}
     assert got[4][0] == "<img   src=a   alt=b>" and got[8][0] == "<p>" and got[9][0] == "<div >" and got[5][0] is None
     assert got[3][1:] == (2, "import {   A } from '$env/static/public';") and got[11][1:] == (10, "import {   A } from '$env/static/public'; <img   src=a   alt=b> <p> <div > from $env")
+
+
+def test_a_line_tells_which_rules_look_at_it(spark):
+    """The rules' parts of a scan read bits instead of searching all lines again, each for its own texts."""
+    texts = [s for _, s in SNIPPETS] + ["<script>", "</style>", "plain words (of a text): more", "", "a \u00a0 import\ttype {"]
+    files = spark.createDataFrame([("p", f"f{k}.svelte", t) for k, t in enumerate(texts)], FILE)
+    lines = R.scan_lines(files, spark.createDataFrame([("p", "vite", True, True)], PROFILE))
+    rules = R._line_rules(NAMES)
+    got = lines.select("text", "asked", *[R._may_hit(n).alias(f"r{k}") for k, n in enumerate(rules)]).collect()
+    assert len(got) == len(texts) and any(r.asked for r in got)
+    assert all(bool(r.asked & R._bits([n])) == r[f"r{k}"] for r in got for k, n in enumerate(rules))
+    assert all(bool(r.asked & R.TAGGED) == (any(t in r.text for t in R._TAGS) or r.text.startswith("</")) for r in got)
+
+
+def test_texts_are_cut_after_each_parenthesis(spark):
+    texts = ["", "(", "f(a)(b) c", "no", "))((", "\0(a)\0", "x(\n\u00e9)"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: list(r.p) for r in df.select("t", R._pieces(F.col("t")).alias("p")).collect()}
+    assert got == {t: re.split(r"(?<=[()])", t) for t in texts}
