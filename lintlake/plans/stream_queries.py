@@ -129,7 +129,7 @@ _E1 = f"{_E}, e1 as (select *, k % 5 * 10 as plain, k % 7 * 15 as gated, k % 3 =
 
 
 def snapshot_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals on top of a first scan, which is the files' initial state: one stream, and no join after it."""
+    """Totals on top of a first scan, which is joined to the stream for its files' first values."""
     key = F.col("c_custkey")
     c = table(spark, sf_dir, "customer")
     first = c.select(F.concat(F.lit("p"), key % 10).alias("project"), F.concat(F.lit("src/f"), "c_custkey", F.lit(".ts")).alias("path"), (key % 4 * 10).cast("long").alias("plain"), (key % 3 * 15).cast("long").alias("gated"), (key % 997 == 1).alias("runes"))

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -73,7 +73,9 @@ class Differences(StatefulProcessor):
     """Keeps what each file (project, path) adds; gives, for each change, the new values beside the old ones.
 
     A change older than the one known, or later than allowed, is refused: its row says so and has the old values
-    as new ones. A timer drops a deleted file's state. A first scan comes as initial state.
+    as new ones. A timer drops a deleted file's state. What a first scan has of a file stands beside its changes, so that
+    files without a change never come here; a deleted file of that scan keeps its state, lest the scan's values return.
+    Rows are plain ones, many files in a batch: a data frame for each file costs several times the work on it.
     """
 
     def __init__(self, late_ms: int, kept_ms: int) -> None:
@@ -83,19 +85,19 @@ class Differences(StatefulProcessor):
         self.handle = handle
         self.file = handle.getValueState("file", STATE)
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        first = initialState.iloc[0]
-        self.file.update((FIRST, -1, int(first["plain"]), int(first["gated"]), bool(first["runes"]), False))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         old = self.file.get()  # one call of the state store for each file, and one to store
-        timed = bool(old and old[5])
-        changes = sorted(row for part in rows for row in zip(*[part[c].tolist() for c in _READ], strict=True))
+        changes = sorted((tuple(row[c] for c in _READ) for row in rows), key=lambda c: c[:6])
+        first = changes[0][6:]
+        scanned = first[0] is not None
+        timed = bool(old and old[5] and not scanned)
+        if old is None and scanned:
+            old = (FIRST, -1, int(first[0]), int(first[1]), bool(first[2]), False)
         # the watermark stands KEPT behind the newest change, so that late rows come here to be refused and not lost
         mark = timerValues.getCurrentWatermarkInMs()
         oldest = (mark + self.kept_ms - self.late_ms) * 1000 if mark > 0 else None
         out = []
-        for at, seq, op, plain, gated, runes in changes:
+        for at, seq, op, plain, gated, runes, *_ in changes:
             before = (int(old[2]), int(old[3]), int(old[4])) if old else (0, 0, 0)
             place = (int(old[0]), int(old[1])) if old else (None, None)
             refused = (old is not None and at < place[0]) or (oldest is not None and at < oldest)
@@ -104,26 +106,26 @@ class Differences(StatefulProcessor):
             else:
                 now = (0, 0, 0) if op == "delete" else (int(plain), int(gated), int(runes))
                 old = (at, seq, now[0], now[1], bool(now[2]), op == "delete")
-            out.append((key[0], key[1], at, seq, op, refused, *now, *place, *before))
+            out.append(_ROW(key[0], key[1], at, seq, op, refused, *now, *place, *before))
         if old is not None:
             self.file.update(old)
             for timer in list(self.handle.listTimers()) if timed else ():
                 self.handle.deleteTimer(timer)
-            if old[5]:
+            if old[5] and not scanned:
                 self.handle.registerTimer(max(int(old[0]) // 1000, mark) + 1)  # the watermark gets there KEPT later
-        yield pd.DataFrame(out, columns=_NAMES, dtype=object)
+        return iter(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.file.exists() and self.file.get()[5]:
             self.file.clear()
-        yield pd.DataFrame(columns=_NAMES)
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-_READ = ("at", "seq", "op", "plain", "gated", "runes")
-_NAMES = [field.split()[0] for field in DIFFERENCE.split(", ")]
+_READ = ("at", "seq", "op", "plain", "gated", "runes", "first_plain", "first_gated", "first_runes")
+_ROW = Row(*[field.split()[0] for field in DIFFERENCE.split(", ")])
 #: The time of a first scan: before all changes.
 FIRST = -(1 << 62)
 
@@ -140,9 +142,15 @@ def differences(changes: DataFrame, first: DataFrame | None = None, late: str =
     """
     path = F.when(F.col("op") == _GATE, F.lit("")).otherwise(F.col("path"))
     d = changes.select("project", path.alias("path"), "ts", F.unix_micros("ts").alias("at"), "seq", "op", "plain", "gated", "runes")
-    known = None if first is None else first.select("project", "path", "plain", "gated", "runes").groupBy("project", "path")
-    return d.withWatermark("ts", kept).groupBy("project", "path").transformWithStateInPandas(
-        statefulProcessor=Differences(_ms(late), _ms(kept)), outputStructType=DIFFERENCE, outputMode="append", timeMode="eventtime", initialState=known
+    none = [F.lit(None).cast(t).alias(f"first_{c}") for c, t in (("plain", "long"), ("gated", "long"), ("runes", "boolean"))]
+    if first is None:
+        d = d.select("*", *none)
+    else:
+        # a file that both have is looked up in the scan, which isn't read into the state
+        known = first.dropDuplicates(["project", "path"]).select(F.col("project").alias("_p"), F.col("path").alias("_f"), *[F.coalesce(c, F.lit(zero)).alias(f"first_{c}") for c, zero in (("plain", 0), ("gated", 0), ("runes", False))])
+        d = d.join(known, F.col("project").eqNullSafe(F.col("_p")) & F.col("path").eqNullSafe(F.col("_f")), "left").drop("_p", "_f")
+    return d.withWatermark("ts", kept).groupBy("project", "path").transformWithState(
+        statefulProcessor=Differences(_ms(late), _ms(kept)), outputStructType=DIFFERENCE, outputMode="append", timeMode="eventtime"
     )
 
 
@@ -211,7 +219,7 @@ def totals_of(found: DataFrame, sums: DataFrame) -> tuple[DataFrame, DataFrame]:
 class LiveTotals:
     """Totals of projects after each change, kept below ``path`` by batches; a repeated batch gives the same files.
 
-    ``first``: project, path, plain, gated, runes of a first scan: the files' initial state, and the first sums.
+    ``first``: project, path, plain, gated, runes of a first scan: the files' first values, and the first sums.
     """
 
     def __init__(self, spark: SparkSession, path: str, first: DataFrame | None = None) -> None:

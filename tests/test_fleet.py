@@ -235,6 +235,17 @@ def test_totals_begin_with_a_first_scan(spark, tmp_path):
     assert got == [(1, 7, score(7) - score(61), False), (2, 9, score(9) - score(7), True), (3, 0, 100 - score(9), False)]
 
 
+def test_a_first_scan_is_looked_up_and_not_read_into_the_state(spark, tmp_path):
+    day = 86_400
+    first = spark.createDataFrame([("p", "a", 40, 0, False), ("p", "b", 7, 0, False), ("p", "z", 3, 0, False)], "project string, path string, plain long, gated long, runes boolean")
+    batches = [[change("a", 0, "delete")], [change("b", 40 * day, plain=8)], [change("c", 41 * day, plain=1)], [change("a", 42 * day, plain=5)]]
+    live_ = live.LiveTotals(spark, str(tmp_path / "out"), first)
+    got = [r.penalty for r in live_.run(stream_of(spark, tmp_path / "in", CHANGE, *batches)).orderBy("seq").collect()]
+    assert got == [10, 11, 12, 17]  # a file deleted long ago does not get the scan's values again
+    state = spark.read.format("statestore").option("stateVarName", "file").load(str(tmp_path / "out" / "state"))
+    assert sorted(r.key.path for r in state.collect()) == ["a", "b", "c"]
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     found = spark.createDataFrame([("p", f"f{k}", 1000 * k, k, "upsert", False, k, 0, 0, None, None, 0, 0, 0) for k in range(20)], live.DIFFERENCE)
     t = live.LiveTotals(spark, str(tmp_path / "t"))
