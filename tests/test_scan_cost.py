@@ -66,3 +66,34 @@ def test_texts_are_cut_after_each_parenthesis(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = {r.t: list(r.p) for r in df.select("t", R._pieces(F.col("t")).alias("p")).collect()}
     assert got == {t: re.split(r"(?<=[()])", t) for t in texts}
+
+
+def test_calls_are_looked_at_in_their_files_own_rows(spark):
+    """Only files with a call that goes on past the next one, or that stays open, are cut into rows and windowed."""
+    effect, derived = "no-effect-for-derived", "no-derived-side-effect"
+    texts = {
+        "near": "x\nlet a = $derived(f(g(1)));\nlet \u00e9 = $derived.by(() => {\n  console.log((1));\n});\n$effect(() => {\n  b = c + 1;\n});\n$effect(() => { go()",
+        "inner": "$derived(a + $derived(fetch(1)))", "open": "\n$effect(() => a = b;", "beside": "$derived(1); $derived(fetch(2));", "many": "$derived(window.x)\n" * (R.NEAR + 5),
+        "deep": "$derived" + "(" * 9 + "window.x" + ")" * 9, "empty": "$derived()\n$derived (\n)", "names": "$derivedly (fetch(1)) $effects(() => { a = b; })",
+    }
+    files = spark.createDataFrame([("p", f"{k}.svelte", t) for k, t in texts.items()] + [("p", "code.ts", "$effect(() => { a = b; })"), ("p", "null.svelte", None)], FILE)
+    seen = R.near_calls(files, NAMES)
+    far = {r.path[:-7]: set(r.far) for r in seen.where(F.size("far") > 0).collect()}
+    assert far == {"inner": {derived}, "open": {effect}, "beside": {derived}, "many": {effect, derived}, "deep": {derived}}
+    assert {r.path for r in seen.where("content is not null").collect()} == {f"{k}.svelte" for k in far}
+    found = R.evaluate(files, spark.createDataFrame([("p", "vite", True, True)], PROFILE), [effect, derived]).collect()
+    got = sorted((r.path[:-7], r.rule == effect, r.line, r.col) for r in found if r.path != "many.svelte")
+    assert got == [("beside", False, 1, 14), ("deep", False, 1, 1), ("inner", False, 1, 1), ("inner", False, 1, 14), ("near", False, 3, 9), ("near", True, 6, 1), ("open", True, 2, 1)]
+    assert sorted(r.line for r in found if r.path == "many.svelte") == list(range(1, R.NEAR + 6))
+
+
+def test_written_names_of_declared_state_are_the_same(spark):
+    rng = random.Random(3)
+    parts = ["let a = $state(1);", "let bc = $state<x>(2);", "\n", "\n", "a", "bc", " = 1;", "++", ".push(", "[0", "] = 2", "// ", "d = 3", "\n  .x = 1"]
+    texts = {f"{k}.svelte": "".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for k in range(400)}
+    files = spark.createDataFrame([("p", k, t) for k, t in texts.items()], FILE)
+    names = {k: {m for line in t.split("\n") for m in re.findall(r"let (\w+) = \$state", line)} for k, t in texts.items()}
+    every = {(r.path, r.name) for r in R._written_names(files).collect()}
+    some = {(r.path, r.name) for r in R._written_names(files, declared=True).collect()}
+    of_names = lambda found: {(k, n) for k, n in found if n in names[k]}
+    assert of_names(every) == of_names(some) and of_names(some)
