@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from lintlake.operators import lines as L
+from lintlake.operators import report
 from lintlake.operators import rules as R
 from lintlake.operators.catalog import RULES
 from lintlake.sources.corpus import SNIPPETS, derived_files
@@ -97,3 +98,16 @@ def test_written_names_of_declared_state_are_the_same(spark):
     some = {(r.path, r.name) for r in R._written_names(files, declared=True).collect()}
     of_names = lambda found: {(k, n) for k, n in found if n in names[k]}
     assert of_names(every) == of_names(some) and of_names(some)
+
+
+def test_two_scans_are_dealt_once_to_compare_them(spark):
+    rows = [("p", "a", "r", 1, 1, "m", "error"), ("p", "a", "r", 1, 2, "m", "error"), ("p", "a", "r", 2, 1, "m", "warning"), ("q", None, "r", 1, 1, "m", "error")]
+    schema = "project string, path string, rule string, line int, col int, message string, severity string"
+    before, after = spark.createDataFrame(rows, schema), spark.createDataFrame([rows[0], ("p", "b", "r", 1, 1, "m", "error"), rows[3]], schema)
+    counts, changed = report.gate_diff(before, after)
+    plan = changed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    assert sorted((r.project, str(r.path), r.line, r.nth, r.change) for r in changed.collect()) == [
+        ("p", "a", 1, 2, "resolved"), ("p", "a", 2, 1, "resolved"), ("p", "b", 1, 1, "new"), ("q", "None", 1, 1, "new"), ("q", "None", 1, 1, "resolved")]
+    got = {r.project: (r.errors_before, r.warnings_before, r.errors_after, r.warnings_after, r.errors_increased, r.improved) for r in counts.collect()}
+    assert got == {"p": (2, 1, 2, 0, False, True), "q": (1, 0, 1, 0, False, False)}
